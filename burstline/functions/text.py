@@ -13,7 +13,7 @@ from burstline.functions.words import STOP_WORDS
 LINK_PATTERN = r"(www\.\S+)|(https?://\S+)|(pic\.twitter\.com/\S+)"
 # a link, a mention or a hashtag, each up to the next white space
 MARKED_PATTERN = r"(www\.|https?://|pic\.twitter\.com/|@|#)\S+"
-BLANKED_CHARS = ":;>?<=*+()/,-#!$%{}[]^_@|1234567890˜’‘'\" —“”€£«❤"
+BLANKED_CHARS = ":;>?<=*+()/,-#!$%{}[]^_@|1234567890˜’‘'\"\u00a0—“”€£«❤"
 DELETED_CHARS = "."
 EMOJI_PATTERN = r"[\x{10000}-\x{10FFFF}]"
 SPACE_PATTERN = r"[ \t\n\r\f\x0B]+"

@@ -1,25 +1,37 @@
-"""Cutting lineage so that executor loss never replays a loop."""
+"""Cutting lineage: write a step to the folder all executors share, and go on from the written table.
+
+A lost executor then never replays a loop, later plans start from a plain scan with true sizes, and
+several readers share one result.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: tempfile.TemporaryDirectory | None = None
+
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir` of the session; a temporary folder only for local sessions without it."""
+    global _local
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="burstline-")
-    sc.setCheckpointDir(shared)
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+              or sc.getCheckpointDir())
+    if folder:
+        return folder
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if _local is None:
+        _local = tempfile.TemporaryDirectory(prefix="burstline-", ignore_cleanup_errors=True)
+    return _local.name
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from the written copy."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` out once and return a scan of the written table."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/burstline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -120,7 +120,7 @@ def first_by_post_id(posts: DataFrame) -> DataFrame:
     """One row per post id, the earliest."""
     cols = posts.columns
     row = F.struct(*cols)
-    return (posts.groupBy("post_id").agg(F.min_by(row, "ts").alias("_row"))
+    return (posts.groupBy("post_id").agg(F.min_by(row, F.struct("ts", "text")).alias("_row"))
             .select(*[F.col("_row")[c].alias(c) for c in cols]))
 
 
