@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstline.functions.words import STOP_WORDS
@@ -13,12 +16,23 @@ from burstline.functions.words import STOP_WORDS
 LINK_PATTERN = r"(www\.\S+)|(https?://\S+)|(pic\.twitter\.com/\S+)"
 # a link, a mention or a hashtag, each up to the next white space
 MARKED_PATTERN = r"(www\.|https?://|pic\.twitter\.com/|@|#)\S+"
+MARKS = ["@", "#", "http", "www.", "pic.twitter.com/"]
 BLANKED_CHARS = ":;>?<=*+()/,-#!$%{}[]^_@|1234567890˜’‘'\"\u00a0—“”€£«❤"
 DELETED_CHARS = "."
 EMOJI_PATTERN = r"[\x{10000}-\x{10FFFF}]"
 SPACE_PATTERN = r"[ \t\n\r\f\x0B]+"
 
 
+def with_columns_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions read many times.
+
+    A plain projection may be copied into each place that reads it, even into the body of a lambda,
+    and then be worked out again per array element. A generator keeps it in one place.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def strip_links(text: Column) -> Column:
     return F.regexp_replace(text, LINK_PATTERN, "")
 
@@ -30,7 +44,11 @@ def display_text(text: Column) -> Column:
 
 def normalized_text(text: Column) -> Column:
     """Drop links, mentions and hashtags; blank punctuation, digits, quotes and emoji; delete periods."""
-    bare = F.regexp_replace(F.regexp_replace(text, MARKED_PATTERN, ""), EMOJI_PATTERN, " ")
+    # most posts hold no mark and only ASCII: look before running the patterns
+    marked = reduce(or_, [text.contains(m) for m in MARKS])
+    wide = F.octet_length(text) > F.length(text)
+    bare = F.when(marked, F.regexp_replace(text, MARKED_PATTERN, "")).otherwise(text)
+    bare = F.when(wide, F.regexp_replace(bare, EMOJI_PATTERN, " ")).otherwise(bare)
     return F.translate(bare, BLANKED_CHARS + DELETED_CHARS, " " * len(BLANKED_CHARS))
 
 

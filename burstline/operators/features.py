@@ -10,8 +10,8 @@ from burstline.functions import text as tx
 
 def post_terms(eligible: DataFrame) -> DataFrame:
     """One row per post and distinct 2- or 3-gram of its tokens."""
-    terms = tx.ngrams(tx.feature_tokens(F.col("bag")))
-    return eligible.select("window_id", "post_id", "ts", F.explode(terms).alias("term"))
+    tokens = tx.with_columns_once(eligible, tokens=tx.feature_tokens(F.col("bag")))
+    return tokens.select("window_id", "post_id", "ts", F.explode(tx.ngrams(F.col("tokens"))).alias("term"))
 
 
 def share_or_floor(count: Column, share: float, floor: int) -> Column:

@@ -23,8 +23,9 @@ def spam_filter(posts: DataFrame, phrases: Sequence[str] = SPAM_PHRASES) -> Data
 def with_tokens(posts: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Add `words` (content words of the text) and `bag` (mentions, tags, words)."""
     words = tx.content_words(tx.normalized_text(F.col("text")), stop_words)
-    return (posts.withColumn("words", words)
-            .withColumn("bag", tx.token_bag(F.col("users"), F.col("hashtags"), F.col("words"), stop_words)))
+    worded = tx.with_columns_once(posts, words=words)
+    return tx.with_columns_once(
+        worded, bag=tx.token_bag(F.col("users"), F.col("hashtags"), F.col("words"), stop_words))
 
 
 def eligible_posts(tokens: DataFrame) -> DataFrame:
