@@ -164,13 +164,25 @@ def window_sequence(windowed: DataFrame, history_windows: int = 4) -> DataFrame:
     )
 
 
-def drop_triggers(windowed: DataFrame) -> DataFrame:
-    """Drop the post that closes the window before, i.e. the first of each window but the earliest."""
+def with_trigger(windowed: DataFrame, open_anchor: int | None = None) -> DataFrame:
+    """Add `trigger`: whether the post closes the window before, i.e. is the first post of its window.
+
+    The earliest window of all has no such post, nor has the rest of a window already open.
+    """
     firsts = windowed.groupBy("window_id").agg(F.min(F.struct("ts", "post_id")).alias("_first"))
-    earliest = firsts.agg(F.min("window_id").alias("_earliest"))
+    if open_anchor is None:
+        earliest = firsts.agg(F.min("window_id").alias("_earliest"))
+    else:
+        earliest = windowed.sparkSession.range(1).select(F.lit(open_anchor).alias("_earliest"))
     triggers = (firsts.join(F.broadcast(earliest), F.col("window_id") > F.col("_earliest"))
-                .select("window_id", F.col("_first.post_id").alias("post_id")))
-    return windowed.join(triggers, ["window_id", "post_id"], "left_anti")
+                .select("window_id", F.col("_first.post_id").alias("post_id"), F.lit(True).alias("trigger")))
+    return (windowed.join(triggers, ["window_id", "post_id"], "left")
+            .withColumn("trigger", F.coalesce("trigger", F.lit(False))))
+
+
+def drop_triggers(windowed: DataFrame) -> DataFrame:
+    """Drop the posts that close windows."""
+    return with_trigger(windowed).filter(~F.col("trigger")).drop("trigger")
 
 
 def drop_open_tail(windowed: DataFrame) -> DataFrame:

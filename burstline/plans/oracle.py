@@ -182,7 +182,8 @@ def _anchored_windows() -> str:
         placed AS MATERIALIZED (SELECT post_id, second, u AS window_id FROM clean ASOF JOIN chain ON second >= u),
         kept AS (SELECT * FROM placed QUALIFY (row_number() OVER (PARTITION BY window_id ORDER BY second, post_id) > 1
                  OR window_id = (SELECT min(u) FROM chain)) AND window_id < (SELECT max(window_id) FROM placed))
-        SELECT post_id, window_id, dense_rank() OVER (ORDER BY window_id) AS window_seq FROM kept"""
+        SELECT post_id, window_id, window_seq FROM kept
+        JOIN (SELECT u AS window_id, row_number() OVER (ORDER BY u) AS window_seq FROM chain) USING (window_id)"""
 
 
 def _anchored_events() -> str:

@@ -72,11 +72,13 @@ def window_posts(posts: DataFrame, params: TopicParams, anchored: bool = False,
         windowed = wn.anchored_windows(clean, params.window_minutes)
     else:
         windowed = wn.aligned_windows(clean, params.window_minutes)
-    if drop_trigger if drop_trigger is not None else anchored:
-        windowed = wn.drop_triggers(windowed)
     if drop_tail if drop_tail is not None else anchored:
         windowed = wn.drop_open_tail(windowed)
-    return windowed, wn.window_sequence(windowed, params.history_windows)
+    # a window counts even if its opening post is all it had
+    sequence = wn.window_sequence(windowed, params.history_windows)
+    if drop_trigger if drop_trigger is not None else anchored:
+        windowed = wn.drop_triggers(windowed)
+    return windowed, sequence
 
 
 def window_corpus(posts: DataFrame, params: TopicParams | None = None, *,
