@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from burstline.lineage import cut
 
-# anchored windows are resolved in stretches of about this many seconds, at least 16 windows
+# anchored windows are resolved in stretches of about this many seconds, at least 64 windows
 _STRETCH_SECONDS = 262_144
 
 
@@ -65,12 +65,13 @@ def anchor_of_seconds(seconds: DataFrame, length: int) -> DataFrame:
     """Map every distinct second `u` to the start of its anchored window.
 
     The chain of window starts is sequential, so it is composed per stretch of the time line: each
-    stretch (of fixed length, hence a bounded number of distinct seconds) reports for each
-    second at which the chain may enter it where the chain leaves it; the entries are then followed
-    by pointer doubling, and each stretch marks its own windows. The un-partitioned window frames
-    below only see one row per non-empty stretch.
+    stretch (of fixed length, hence a bounded number of distinct seconds) reports for each second at
+    which the chain may enter it where the chain leaves it; the entries are then followed from
+    stretch to stretch, and each stretch marks its own windows. What one task sees is bounded by the
+    span of the time line, not by the posts: the seconds of one stretch, or for the following at
+    most one window length of seconds per stretch.
     """
-    stretch = length * max(16, _STRETCH_SECONDS // length)
+    stretch = length * max(64, _STRETCH_SECONDS // length)
     secs = cut(seconds.select("u", F.floor(F.col("u") / stretch).alias("stretch")))
     by_time = Window.orderBy("stretch")
     order = secs.groupBy("stretch").agg(F.min("u").alias("first_u")).select(
@@ -78,7 +79,6 @@ def anchor_of_seconds(seconds: DataFrame, length: int) -> DataFrame:
         F.lag("stretch", 1).over(by_time).alias("before"),
         F.lag("stretch", 2).over(by_time).alias("before2"),
     )
-    order = cut(order)
 
     # a stretch also sees where the chain can enter the next one: its first window length and the
     # first second after that; if it has none, the first second of the stretch after the next
@@ -106,18 +106,28 @@ def anchor_of_seconds(seconds: DataFrame, length: int) -> DataFrame:
         early = int(np.searchsorted(u[:mine], begin + length))
         keep = np.arange(min(early + 1, mine))
         left = pd.array([int(u[e]) if e < len(u) else None for e in exit_at[keep]], dtype="Int64")
-        return pd.DataFrame({"u": u[keep], "exit_u": left, "last_anchor": u[last[keep]]})
+        return pd.DataFrame({"stretch": pdf["stretch"].iloc[0], "u": u[keep], "exit_u": left,
+                             "last_anchor": u[last[keep]]})
 
-    hops = cut(seen.groupBy("stretch").applyInPandas(leave, "u long, exit_u long, last_anchor long"))
-    entries = _reach(order, hops)
+    hops = seen.groupBy("stretch").applyInPandas(
+        leave, "stretch long, u long, exit_u long, last_anchor long")
 
-    entered = (order.select("stretch")
-               .join(entries.join(hops.select("u", "last_anchor"), "u")
-                     .select(F.floor(F.col("u") / stretch).alias("stretch"),
-                             F.col("u").alias("entry"), "last_anchor"), "stretch", "left"))
-    earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    marks = entered.select(
-        "stretch", "entry", F.last("last_anchor", ignorenulls=True).over(earlier).alias("carried"))
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("u")
+        places = {u: (s, e, a) for s, u, e, a in zip(pdf["stretch"], pdf["u"], pdf["exit_u"], pdf["last_anchor"])}
+        entry, last, at = {}, {}, int(pdf["u"].iloc[0])
+        while at is not None:
+            where, onward, last[where] = places[at]
+            entry[where] = at
+            at = None if pd.isna(onward) else int(onward)
+        rows, carried = [], None
+        for where in pdf["stretch"].drop_duplicates():
+            rows.append((where, entry.get(where), carried))
+            carried = last.get(where, carried)
+        out = pd.DataFrame(rows, columns=["stretch", "entry", "carried"])
+        return out.astype({"entry": "Int64", "carried": "Int64"})
+
+    marks = hops.groupBy().applyInPandas(follow, "stretch long, entry long, carried long")
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         u = np.sort(pdf["u"].to_numpy())
@@ -134,22 +144,6 @@ def anchor_of_seconds(seconds: DataFrame, length: int) -> DataFrame:
             .applyInPandas(mark, "u long, window_id long"))
 
 
-def _reach(order: DataFrame, hops: DataFrame) -> DataFrame:
-    """Seconds at which the chain enters a stretch, by pointer doubling from the first second."""
-    reached = cut(order.agg(F.min("first_u").alias("u")).filter("u is not null"))
-    jump = hops.select("u", "exit_u").filter("exit_u is not null")
-    known = reached.count()
-    while True:
-        step = reached.join(jump, "u").select(F.col("exit_u").alias("u"))
-        reached = cut(reached.union(step).distinct())
-        now = reached.count()
-        if now == known:
-            return reached
-        known = now
-        onward = jump.select(F.col("u").alias("exit_u"), F.col("exit_u").alias("_to"))
-        jump = cut(jump.join(onward, "exit_u").select("u", F.col("_to").alias("exit_u")))
-
-
 def window_sequence(windowed: DataFrame, history_windows: int = 4) -> DataFrame:
     """One row per window: its number, its history block and its place in the block.
 
