@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from burstline.operators.distance import DIGITS
 from burstline.operators.features import pattern_of_post, share_or_floor
 from burstline.params import TopicParams
 
@@ -49,7 +50,7 @@ def cluster_scores(pats: DataFrame, labels: DataFrame, weights: DataFrame, param
              .select("window_id", "cluster_id", F.explode("terms").alias("term")).distinct())
     best = (terms.join(weights.select("window_id", "term", "boosted"), ["window_id", "term"])
             .groupBy("window_id", "cluster_id").agg(F.max("boosted").alias("_best")))
-    by_score = Window.partitionBy("window_id").orderBy(F.desc("score"), F.asc("first"))
+    by_score = Window.partitionBy("window_id").orderBy(F.desc(F.round("score", DIGITS)), F.asc("first"))
     return (listed.join(best, ["window_id", "cluster_id"], "left")
             .withColumn("score", F.coalesce(F.col("_best") / F.col("size"), F.lit(0.0)))
             .withColumn("rank", F.row_number().over(by_score))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstline.functions import text as tx
-from burstline.operators.distance import profile_matrix
+from burstline.operators.distance import DIGITS, profile_matrix
 from burstline.operators.linkage import link
 from burstline.operators.windows import window_label, window_start
 from burstline.params import TopicParams
@@ -63,7 +63,7 @@ def topic_scores(headlines: DataFrame, groups: DataFrame, params: TopicParams) -
     item = F.struct(
         "rank", "cluster_id", "post_id", "media_urls", "bag", shown.alias("shown"),
         F.array_join(tx.headline_tokens(F.col("bag")), " ").alias("words"))
-    by_score = Window.partitionBy("window_id").orderBy(F.desc("score"), F.asc("first"))
+    by_score = Window.partitionBy("window_id").orderBy(F.desc(F.round("score", DIGITS)), F.asc("first"))
     return (headlines.join(groups, ["window_id", "rank"])
             .groupBy("window_id", "topic")
             .agg(F.max("score").alias("score"), F.min("first").alias("first"),

@@ -1,7 +1,7 @@
 """The registered queries again as plain SQL, for comparison in DuckDB.
 
-The SQL follows the definitions directly: all pairs of posts, all terms, recursion for the windows.
-Clusters have no short SQL form; they are compared with a dense computation in the tests.
+The SQL follows the definitions directly: all pairs of posts, all terms, recursion for the windows and
+for the merges of clusters, one at a time.
 """
 
 from __future__ import annotations
@@ -30,6 +30,25 @@ def _distinct(items: str) -> str:
     return f"list_filter({items}, lambda v, k: list_position({items}, v) = k)"
 
 
+def _millionths(x: str, name: str) -> str:
+    return f"CAST(round({x} * 1000000) AS BIGINT) AS {name}"
+
+
+def _merging(points: str, name: str, profiles: str, cuts: str) -> str:
+    """Average linkage, one merge per window and step, down to the cut."""
+    return f"""
+        SELECT window_id, {name}, {name} AS label, 0 AS step FROM {points}
+        UNION ALL
+        SELECT m.window_id, m.{name}, CASE WHEN m.label = b THEN a ELSE m.label END, step + 1
+        FROM @self m JOIN (
+            SELECT window_id, arg_min(a, (d, a, b)) AS a, arg_min(b, (d, a, b)) AS b FROM (
+                SELECT l.window_id, l.label AS a, r.label AS b, round(avg(e), 9) AS d
+                FROM @self l JOIN {profiles} p ON p.window_id = l.window_id AND p.x = l.{name}
+                JOIN @self r ON r.window_id = p.window_id AND r.{name} = p.y
+                WHERE l.label < r.label GROUP BY ALL) JOIN {cuts} USING (window_id)
+            WHERE d <= round(cut, 9) GROUP BY window_id) USING (window_id)"""
+
+
 # steps by name: each may read the steps it lists
 _STEPS: dict[str, tuple[list[str], str]] = {
     "all_posts": ([], f"""
@@ -120,6 +139,81 @@ _STEPS: dict[str, tuple[list[str], str]] = {
         JOIN (SELECT window_id, pattern_id AS x, n_posts AS wx FROM pats) USING (window_id, x)
         JOIN (SELECT window_id, pattern_id AS y, n_posts AS wy FROM pats) USING (window_id, y)
         WHERE x < y AND d <= cut / sqrt(wx + wy) + 1e-9"""),
+    "profiles": (["distances"], """
+        SELECT window_id, p.x, q.x AS y, sqrt(sum((p.d - q.d) * (p.d - q.d))) AS e
+        FROM distances p JOIN distances q USING (window_id) WHERE p.y = q.y GROUP BY ALL"""),
+    "merging": (["pruned", "profiles", "cuts"], _merging("pruned", "post_id", "profiles", "cuts")),
+    "labels": (["merging"], """
+        SELECT window_id, post_id, arg_max(label, step) AS cluster_id FROM merging GROUP BY ALL"""),
+    "sizes": (["labels", "windowed"], """
+        SELECT window_id, cluster_id, count(*) AS size, min((second, post_id)) AS first,
+               arg_min(post_id, (second, post_id)) AS post_id
+        FROM labels JOIN windowed USING (window_id, post_id) GROUP BY ALL"""),
+    "listed": (["sizes"], f"""
+        SELECT *, size >= gate AS gated FROM (
+            SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY size DESC, first) AS by_size,
+                   greatest(floor(sum(size) OVER (PARTITION BY window_id) * CAST({PARAMS.cluster_share} AS DOUBLE)),
+                            {PARAMS.cluster_floor}) AS gate
+            FROM sizes)
+        QUALIFY by_size <= {PARAMS.max_clusters}
+            AND (gated OR by_size = 1 OR lag(gated) OVER (PARTITION BY window_id ORDER BY by_size))"""),
+    "scored": (["listed", "labels", "held", "weights"], f"""
+        SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY round(score, 9) DESC, first) AS rank FROM (
+            SELECT l.*, CASE WHEN gated THEN best / size ELSE 0 END AS score
+            FROM listed l JOIN (
+                SELECT window_id, cluster_id, max(boosted) AS best FROM labels JOIN held USING (window_id, post_id)
+                JOIN weights USING (window_id, term) GROUP BY ALL) USING (window_id, cluster_id))
+        QUALIFY rank <= {PARAMS.max_headlines}"""),
+    "headlines": (["scored", "eligible"], """
+        SELECT s.*, text, media_urls, bag,
+               list_filter(bag, lambda t: NOT contains(t, '@') AND NOT contains(t, '#')) AS said,
+               list_distinct(list_transform(said, lambda t: lower(trim(t)))) AS words
+        FROM scored s JOIN eligible USING (window_id, post_id)"""),
+    "h_distances": (["headlines"], """
+        SELECT window_id, i.rank AS x, j.rank AS y, CASE WHEN i.rank = j.rank THEN 0
+               ELSE 1 - len(list_intersect(i.words, j.words)) / sqrt(len(i.words) * len(j.words)) END AS d
+        FROM headlines i JOIN headlines j USING (window_id)"""),
+    "h_profiles": (["h_distances"], """
+        SELECT window_id, p.x, q.x AS y, sqrt(sum((p.d - q.d) * (p.d - q.d))) AS e
+        FROM h_distances p JOIN h_distances q USING (window_id) WHERE p.y = q.y GROUP BY ALL"""),
+    "h_cuts": (["h_distances"], f"""
+        SELECT window_id, max(d) * CAST({PARAMS.headline_cut_share} AS DOUBLE) AS cut FROM h_distances GROUP BY ALL"""),
+    "h_merging": (["headlines", "h_profiles", "h_cuts"], _merging("headlines", "rank", "h_profiles", "h_cuts")),
+    "grouped": (["h_merging", "headlines"], """
+        SELECT h.*, topic FROM headlines h
+        JOIN (SELECT window_id, rank, arg_max(label, step) AS topic FROM h_merging GROUP BY ALL) USING (window_id, rank)"""),
+    "ranked": (["grouped"], f"""
+        SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY round(score, 9) DESC, first) AS rank
+        FROM (SELECT window_id, topic, max(score) AS score, min(first) AS first FROM grouped GROUP BY ALL)
+        QUALIFY rank <= {PARAMS.max_topics}"""),
+    "members": (["ranked", "grouped", "cleaned"], """
+        SELECT r.window_id, r.topic, g.rank AS place, g.cluster_id, g.post_id, g.media_urls, g.bag, g.said, c.shown
+        FROM ranked r JOIN grouped g USING (window_id, topic) JOIN cleaned c USING (post_id)"""),
+    "cleaned": (["shown", "eligible"], """
+        SELECT post_id, window_id, second, shown, media_urls FROM eligible JOIN shown USING (post_id)"""),
+    "fallback": (["members", "labels", "cleaned"], """
+        SELECT window_id, topic, arg_min(post_id, (place, second, post_id)) AS extra,
+               arg_min(media_urls, (place, second, post_id)) AS extra_media
+        FROM (SELECT m.window_id, m.topic, m.place, c.second, c.post_id, c.media_urls, c.shown
+              FROM members m JOIN labels l USING (window_id, cluster_id)
+              JOIN cleaned c ON c.post_id = l.post_id
+              WHERE len(c.media_urls) > 0
+                AND NOT EXISTS (SELECT 1 FROM members n WHERE n.window_id = m.window_id AND n.topic = m.topic
+                    AND (len(n.media_urls) > 0 OR n.post_id = c.post_id OR trim(n.shown) = trim(c.shown))))
+        GROUP BY ALL"""),
+    "topics": (["ranked", "members", "fallback"], f"""
+        SELECT window_id, strftime(make_timestamp(window_id * 1000000), '%d-%m-%Y %H:%M') AS window_label, rank,
+               {_millionths('score', 'score')}, headline, label,
+               array_to_string(list_sort(list_distinct(list_transform(bags, lambda t: lower(t)))), ', ') AS keywords,
+               array_to_string(CASE WHEN extra IS NULL THEN posts ELSE list_append(posts, extra) END, ', ') AS post_ids,
+               coalesce(array_to_string(list_sort(list_distinct(list_concat(media, coalesce(extra_media, [])))), ', '), '')
+                   AS media_urls
+        FROM ranked JOIN (
+            SELECT window_id, topic, arg_min(shown, place) AS headline,
+                   string_agg(array_to_string(said, ' ') || '//', '' ORDER BY place) AS label,
+                   flatten(list(bag)) AS bags, list(post_id ORDER BY place) AS posts, flatten(list(media_urls)) AS media
+            FROM members GROUP BY ALL) USING (window_id, topic)
+        LEFT JOIN fallback USING (window_id, topic)"""),
     "eligible": (["words"], """
         SELECT * FROM bags WHERE len(users) < 3 AND len(hashtags) < 3 AND len(words) > 3 AND len(bag) >= 4
             AND upper(array_to_string(words, ' ')) <> array_to_string(words, ' ')"""),
@@ -159,12 +253,10 @@ def _with(final: str, *needs: str, base: str = "windowed") -> str:
 
     for need in needs:
         add(need)
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({sql})" for n, sql in done.items())
-    return f"WITH {ctes}\n{final}"
-
-
-def _millionths(x: str, name: str) -> str:
-    return f"CAST(round({x} * 1000000) AS BIGINT) AS {name}"
+    ctes = ",\n".join(
+        f"{n} AS ({sql.replace('@self', n)})" if "@self" in sql else f"{n} AS MATERIALIZED ({sql})"
+        for n, sql in done.items())
+    return f"WITH RECURSIVE {ctes}\n{final}"
 
 
 def _anchored(source: str, second: str, length: int) -> str:
@@ -178,7 +270,7 @@ def _anchored(source: str, second: str, length: int) -> str:
 
 def _anchored_windows() -> str:
     base = _with("", "clean").rstrip()
-    return "WITH RECURSIVE " + base[len("WITH "):] + "," + _anchored("clean", "second", _LENGTH) + """,
+    return base + "," + _anchored("clean", "second", _LENGTH) + """,
         placed AS MATERIALIZED (SELECT post_id, second, u AS window_id FROM clean ASOF JOIN chain ON second >= u),
         kept AS (SELECT * FROM placed QUALIFY (row_number() OVER (PARTITION BY window_id ORDER BY second, post_id) > 1
                  OR window_id = (SELECT min(u) FROM chain)) AND window_id < (SELECT max(window_id) FROM placed))
@@ -240,4 +332,15 @@ ORACLE: dict[str, str] = {
         SELECT window_id, n.x, n.y, {_millionths('sqrt(sum((p.d - q.d) * (p.d - q.d)))', 'e')}
         FROM near n JOIN distances p USING (window_id) JOIN distances q USING (window_id)
         WHERE p.x = n.x AND q.x = n.y AND p.y = q.y GROUP BY window_id, n.x, n.y""", "near"),
+    "post_clusters": _with("SELECT window_id, post_id, cluster_id FROM labels", "labels"),
+    "cluster_sizes": _with("SELECT window_id, cluster_id, size FROM sizes", "sizes"),
+    "cluster_scores": _with(f"SELECT window_id, cluster_id, size, {_millionths('score', 'score')}, rank FROM scored",
+                            "scored"),
+    "cluster_headlines": _with("SELECT window_id, rank, post_id, array_to_string(bag, ',') AS bag FROM headlines",
+                               "headlines"),
+    "headline_cosine": _with(f"SELECT window_id, x, y, {_millionths('d', 'd')} FROM h_distances WHERE x < y",
+                             "h_distances"),
+    "headline_topics": _with("SELECT window_id, rank, topic FROM grouped", "grouped"),
+    "topics": _with("SELECT * FROM topics", "topics"),
+    "topic_lines": _with("SELECT window_label, headline, keywords, post_ids, media_urls FROM topics", "topics"),
 }

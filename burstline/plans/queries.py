@@ -37,6 +37,10 @@ def millionths(x: Column) -> Column:
     return F.round(x * 1_000_000).cast("bigint")
 
 
+def _long(column: str) -> Column:
+    return F.col(column).cast("bigint").alias(column)
+
+
 def _joined(column: str, by: str = " ") -> Column:
     return F.array_join(column, by).alias(column)
 
@@ -151,7 +155,7 @@ def anchored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     windowed, sequence = pt.window_posts(_posts(spark, sf_dir), PARAMS, anchored=True, dedupe=False,
                                          spam_phrases=PHRASES)
     return windowed.join(sequence, "window_id").select(
-        "post_id", "window_id", F.col("window_seq").cast("bigint").alias("window_seq"))
+        "post_id", "window_id", _long("window_seq"))
 
 
 def anchored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +166,7 @@ def anchored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     windowed = _windowed(spark, sf_dir)
     return wn.window_sequence(windowed, PARAMS.history_windows).select(
-        "window_id", *[F.col(c).cast("bigint").alias(c) for c in ("window_seq", "block", "place")])
+        "window_id", *[_long(c) for c in ("window_seq", "block", "place")])
 
 
 def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +215,7 @@ def boosted_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounded = _weights(spark, sf_dir).withColumn("boosted", F.round("boosted", 9))
     return wt.top_terms(rounded, TOP_TERMS).select(
-        "window_id", F.col("rank").cast("bigint").alias("rank"), "term",
+        "window_id", _long("rank"), "term",
         millionths(F.col("boosted")).alias("boosted"))
 
 
@@ -256,26 +260,27 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(spark, sf_dir).scores.select(
-        "window_id", "cluster_id", "size", millionths(F.col("score")).alias("score"), "rank")
+        "window_id", "cluster_id", "size", millionths(F.col("score")).alias("score"), _long("rank"))
 
 
 def cluster_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tables(spark, sf_dir).headlines.select("window_id", "rank", "post_id", _joined("bag", ","))
+    return _tables(spark, sf_dir).headlines.select("window_id", _long("rank"), "post_id", _joined("bag", ","))
 
 
 def headline_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.headline_distances(_tables(spark, sf_dir).headlines).select(
-        "window_id", "x", "y", millionths(F.col("d")).alias("d"))
+        "window_id", _long("x"), _long("y"), millionths(F.col("d")).alias("d"))
 
 
 def headline_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tp.headline_topics(_tables(spark, sf_dir).headlines, PARAMS)
+    return tp.headline_topics(_tables(spark, sf_dir).headlines, PARAMS).select(
+        "window_id", _long("rank"), _long("topic"))
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _tables(spark, sf_dir).topics
     return found.select(
-        "window_id", "window_label", "rank", millionths(F.col("score")).alias("score"), "headline", "label",
+        "window_id", "window_label", _long("rank"), millionths(F.col("score")).alias("score"), "headline", "label",
         *[F.array_join(F.col(c).cast("array<string>"), ", ").alias(c)
           for c in ("keywords", "post_ids", "media_urls")])
 
