@@ -130,12 +130,19 @@ def write_posts(posts: DataFrame, path: str, mode: str = "errorifexists") -> Non
      .write.mode(mode).partitionBy("event_date").parquet(path))
 
 
-def read_posts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(POST_SCHEMA).parquet(path)
+def read_posts(spark: SparkSession, path: str, first_day: str | None = None,
+               last_day: str | None = None) -> DataFrame:
+    """Extracted posts; with days given, only the folders of those dates are listed and read."""
+    posts = spark.read.schema(POST_SCHEMA).parquet(path)
+    if first_day is not None:
+        posts = posts.filter(F.col("event_date") >= F.lit(first_day).cast("date"))
+    if last_day is not None:
+        posts = posts.filter(F.col("event_date") <= F.lit(last_day).cast("date"))
+    return posts.select(*POST_SCHEMA.fieldNames())
 
 
 def read_posts_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(POST_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return reader.parquet(path).select(*POST_SCHEMA.fieldNames())

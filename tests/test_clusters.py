@@ -25,7 +25,7 @@ def pruned_frame(spark, windows):
     return spark.createDataFrame(rows, "window_id long, post_id long, ts timestamp, terms array<string>")
 
 
-@pytest.mark.parametrize("seed,block_rows", [(1, 512), (2, 7), (3, 4)])
+@pytest.mark.parametrize("seed,block_rows", [(1, 512), (2, 7)])
 def test_distances_and_clusters_equal_dense_results(spark, seed, block_rows):
     windows = windows_of(seed)
     pruned = pruned_frame(spark, windows)
