@@ -52,22 +52,29 @@ def anchored_windows(posts: DataFrame, minutes: float, open_anchor: int | None =
     second = epoch_second(F.col("ts"))
     if open_anchor is not None:
         second = F.greatest(second, F.lit(open_anchor))
+    length = window_length(minutes)
     timed = posts.withColumn("_u", second)
-    seconds = timed.select("_u").distinct()
+    seconds = timed.select(F.col("_u").alias("u")).distinct()
     if open_anchor is not None:
-        opened = posts.sparkSession.range(open_anchor, open_anchor + 1).select(F.col("id").alias("_u"))
+        opened = posts.sparkSession.range(open_anchor, open_anchor + 1).select(F.col("id").alias("u"))
         seconds = seconds.union(opened).distinct()
-    anchors = anchor_of_seconds(seconds.withColumnRenamed("_u", "u"), window_length(minutes))
-    return (timed.join(anchors.select(F.col("u").alias("_u"), "window_id"), "_u").drop("_u"))
+    # a post lies less than one length after the start of its window, so the start falls into the
+    # same length-sized slot of the time line or the one before; slots hold one start at most
+    starts = anchored_starts(seconds, length)
+    slots = starts.select("window_id", F.explode(F.array(
+        F.floor(F.col("window_id") / length), F.floor(F.col("window_id") / length) + 1)).alias("_slot"))
+    return (timed.withColumn("_slot", F.floor(F.col("_u") / length)).join(slots, "_slot")
+            .filter((F.col("_u") >= F.col("window_id")) & (F.col("_u") < F.col("window_id") + length))
+            .drop("_u", "_slot"))
 
 
-def anchor_of_seconds(seconds: DataFrame, length: int) -> DataFrame:
-    """Map every distinct second `u` to the start of its anchored window.
+def anchored_starts(seconds: DataFrame, length: int) -> DataFrame:
+    """Starts of the anchored windows over distinct seconds `u`.
 
     The chain of window starts is sequential, so it is composed per stretch of the time line: each
     stretch (of fixed length, hence a bounded number of distinct seconds) reports for each second at
     which the chain may enter it where the chain leaves it; the entries are then followed from
-    stretch to stretch, and each stretch marks its own windows. What one task sees is bounded by the
+    stretch to stretch, and each stretch marks its own starts. What one task sees is bounded by the
     span of the time line, not by the posts: the seconds of one stretch, or for the following at
     most one window length of seconds per stretch.
     """
@@ -96,52 +103,39 @@ def anchor_of_seconds(seconds: DataFrame, length: int) -> DataFrame:
         pdf = pdf.sort_values("u")
         u, mine = pdf["u"].to_numpy(), int(pdf["own"].sum())
         nxt = np.searchsorted(u, u[:mine] + length)
-        exit_at, last = np.empty(mine, dtype=np.int64), np.arange(mine)
+        exit_at = np.empty(mine, dtype=np.int64)
         for i in range(mine - 1, -1, -1):
-            inside = nxt[i] < mine
-            exit_at[i] = exit_at[nxt[i]] if inside else nxt[i]
-            if inside:
-                last[i] = last[nxt[i]]
+            exit_at[i] = exit_at[nxt[i]] if nxt[i] < mine else nxt[i]
         begin = int(pdf["stretch"].iloc[0]) * stretch
         early = int(np.searchsorted(u[:mine], begin + length))
         keep = np.arange(min(early + 1, mine))
         left = pd.array([int(u[e]) if e < len(u) else None for e in exit_at[keep]], dtype="Int64")
-        return pd.DataFrame({"stretch": pdf["stretch"].iloc[0], "u": u[keep], "exit_u": left,
-                             "last_anchor": u[last[keep]]})
+        return pd.DataFrame({"stretch": pdf["stretch"].iloc[0], "u": u[keep], "exit_u": left})
 
     hops = seen.groupBy("stretch").applyInPandas(
-        leave, "stretch long, u long, exit_u long, last_anchor long")
+        leave, "stretch long, u long, exit_u long")
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("u")
-        places = {u: (s, e, a) for s, u, e, a in zip(pdf["stretch"], pdf["u"], pdf["exit_u"], pdf["last_anchor"])}
-        entry, last, at = {}, {}, int(pdf["u"].iloc[0])
-        while at is not None:
-            where, onward, last[where] = places[at]
-            entry[where] = at
-            at = None if pd.isna(onward) else int(onward)
-        rows, carried = [], None
-        for where in pdf["stretch"].drop_duplicates():
-            rows.append((where, entry.get(where), carried))
-            carried = last.get(where, carried)
-        out = pd.DataFrame(rows, columns=["stretch", "entry", "carried"])
-        return out.astype({"entry": "Int64", "carried": "Int64"})
-
-    marks = hops.groupBy().applyInPandas(follow, "stretch long, entry long, carried long")
+        onward = {u: (s, e) for s, u, e in zip(pdf["stretch"], pdf["u"], pdf["exit_u"])}
+        entries, at = [], pdf["u"].iloc[0]
+        while not pd.isna(at):
+            where, to = onward[int(at)]
+            entries.append((where, int(at)))
+            at = to
+        return pd.DataFrame(entries, columns=["stretch", "entry"])
+
+    entries = hops.groupBy().applyInPandas(follow, "stretch long, entry long")
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         u = np.sort(pdf["u"].to_numpy())
-        entry, carried = pdf["entry"].iloc[0], pdf["carried"].iloc[0]
-        anchors = [] if pd.isna(carried) else [int(carried)]
-        at = len(u) if pd.isna(entry) else int(np.searchsorted(u, int(entry)))
+        starts, at = [], int(np.searchsorted(u, pdf["entry"].iloc[0]))
         while at < len(u):
-            anchors.append(int(u[at]))
+            starts.append(u[at])
             at = int(np.searchsorted(u, u[at] + length))
-        anchors = np.array(anchors)
-        return pd.DataFrame({"u": u, "window_id": anchors[np.searchsorted(anchors, u, side="right") - 1]})
+        return pd.DataFrame({"window_id": starts})
 
-    return (secs.join(marks, "stretch").groupBy("stretch")
-            .applyInPandas(mark, "u long, window_id long"))
+    return secs.join(entries, "stretch").groupBy("stretch").applyInPandas(mark, "window_id long")
 
 
 def window_sequence(windowed: DataFrame, history_windows: int = 4) -> DataFrame:

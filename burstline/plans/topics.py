@@ -68,7 +68,8 @@ def window_posts(posts: DataFrame, params: TopicParams, anchored: bool = False,
         posts = first_by_post_id(posts)
     clean = fl.spam_filter(posts, spam_phrases)
     if anchored:
-        clean = cut(clean)  # read for the seconds and again for the posts
+        if dedupe:
+            clean = cut(clean)  # read for the seconds and again for the posts
         windowed = wn.anchored_windows(clean, params.window_minutes)
     else:
         windowed = wn.aligned_windows(clean, params.window_minutes)
