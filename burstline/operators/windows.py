@@ -60,7 +60,7 @@ def anchored_windows(posts: DataFrame, minutes: float, open_anchor: int | None =
         seconds = seconds.union(opened).distinct()
     # a post lies less than one length after the start of its window, so the start falls into the
     # same length-sized slot of the time line or the one before; slots hold one start at most
-    starts = anchored_starts(seconds, length)
+    starts = cut(anchored_starts(seconds, length))  # one row per window, read by every later step
     slots = starts.select("window_id", F.explode(F.array(
         F.floor(F.col("window_id") / length), F.floor(F.col("window_id") / length) + 1)).alias("_slot"))
     return (timed.withColumn("_slot", F.floor(F.col("_u") / length)).join(slots, "_slot")
