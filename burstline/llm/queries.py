@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from burstline.llm import op6
+from burstline.llm import op6, op10
 
 QUERIES = {
     "op6_exact_dedup": op6.op6_exact_dedup,
+    "op10_quality": op10.op10_quality,
 }
 ORACLE = {
     "op6_exact_dedup": op6.ORACLE,
