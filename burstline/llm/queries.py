@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from burstline.llm import op6, op10
+from burstline.llm import op4, op6, op10
 
 QUERIES = {
+    "op4_url_filter": op4.op4_url_filter,
     "op6_exact_dedup": op6.op6_exact_dedup,
     "op10_quality": op10.op10_quality,
 }
