@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from burstline.llm import op4, op6, op10
+from burstline.llm import op4, op6, op9, op10
 
 QUERIES = {
     "op4_url_filter": op4.op4_url_filter,
     "op6_exact_dedup": op6.op6_exact_dedup,
+    "op9_mixing": op9.op9_mixing,
     "op10_quality": op10.op10_quality,
 }
 ORACLE = {
     "op6_exact_dedup": op6.ORACLE,
+    "op9_mixing": op9.ORACLE,
 }
