@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from burstline.llm import op3, op4, op5, op6, op9, op10
+from burstline.llm import op3, op4, op5, op6, op7, op9, op10
 
 QUERIES = {
     "op3_main_text": op3.op3_main_text,
     "op4_url_filter": op4.op4_url_filter,
     "op5_fingerprints": op5.op5_fingerprints,
     "op6_exact_dedup": op6.op6_exact_dedup,
+    "op7_ngram_join": op7.op7_ngram_join,
     "op9_mixing": op9.op9_mixing,
     "op10_quality": op10.op10_quality,
 }
