@@ -10,9 +10,10 @@ one of the rarest shingles of each (the first n - ceil(t n) + 1 in one order for
 for every shingle that is among the rarest of two sets or more. The order puts common shingles last: those
 that many documents of some part of the input hold, by count, and the others before them by hash.
 
-Documents with equal sets are one point. Before the trees are built, each set is verified against the one
-that most of its trees have as their centre, which joins nearly all members of large groups of near copies;
-trees then only look for pairs that are not connected yet. A crowded tree is cut into leaves by size, and
+Documents with equal sets are one point. Before the trees are searched, each set is verified against the one
+that most of its trees have as their centre, if the bound allows, which joins nearly all members of large
+groups of near copies; trees then only look for pairs that are not connected yet. Full sets are only made
+again, from the texts, for pairs that the bound has let through. A crowded tree is cut into leaves by size, and
 pairs of leaves whose boxes may meet are worked on apart, so no task holds a whole crowded tree.
 """
 
@@ -43,7 +44,7 @@ _FILTER_BITS = 1 << 25
 class JoinParams:
     size: int = 4  # words in a shingle
     percent: int = 85  # least similarity: 100 * shared >= percent * all
-    groups: int = 64  # coordinates of a point, more for long documents
+    groups: int = 128  # coordinates of a point
     leaf: int = 512  # points in a leaf that is worked on by itself
 
 
@@ -80,23 +81,26 @@ def _identity(sets: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _measure(docs: DataFrame, params: JoinParams, seed: int) -> DataFrame:
-    """(doc_id, n, h, check) of each row, and rows (n null, h a shingle, check its count) of common shingles."""
+    """(doc_id, n, h, check, point) of each row, and rows (n null, h a shingle, check its count) of common shingles."""
+    names = ["doc_id", "n", "h", "check", "point"]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
             for part, sets in _sets(f.column("text"), params.size):
                 n, h, check = _identity(sets, seed)
                 ids = f.column("doc_id").slice(part.start, len(part))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(h), pa.array(check)], ["doc_id", "n", "h", "check"])
+                points = [point(x, params.groups) for x in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(n), pa.array(h), pa.array(check), pa.array(points, pa.binary())], names)
                 seen, count = np.unique(np.concatenate(sets), return_counts=True)
                 often = count >= _COMMON_IN_PART
                 if often.any():
                     k = int(often.sum())
                     yield pa.RecordBatch.from_arrays(
                         [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(seen[often].view(np.int64)),
-                         pa.array(count[often].astype(np.int64))], ["doc_id", "n", "h", "check"])
+                         pa.array(count[often].astype(np.int64)), pa.nulls(k, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, h long, check long")
+    return docs.mapInArrow(run, "doc_id long, n long, h long, check long, point binary")
 
 
 def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], params: JoinParams, seed: int) -> DataFrame:
@@ -132,7 +136,10 @@ def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], params: Jo
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, params: JoinParams, seed: int) -> DataFrame:
-    """(h, n, members) of the sets whose h is in `wanted`; the texts are read again by a filter of fixed size."""
+    """(h, members) of the sets whose h is in `wanted`, and by chance a few others.
+
+    The texts are read again through a filter of fixed size.
+    """
     slot = F.col("h").bitwiseAND(F.lit(_FILTER_BITS - 1))
     words = (wanted.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
              .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))).toArrow()
@@ -154,8 +161,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, params: JoinParams, seed: int)
                         [pa.array(h[first]), pa.array(n[first].astype(np.int32)),
                          pa.array([sets[i].tobytes() for i in first], pa.binary())], ["h", "n", "members"])
 
-    found = docs.mapInArrow(run, "h long, n int, members binary")
-    return found.join(wanted.select("h").distinct(), "h", "left_semi").groupBy("h", "n").agg(F.first("members").alias("members"))
+    return docs.mapInArrow(run, "h long, n int, members binary").groupBy("h").agg(F.first("members").alias("members"))
 
 
 # ---- verification and points ------------------------------------------------------------------------------
@@ -178,32 +184,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFram
             .select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def point(members: np.ndarray, groups: int) -> np.ndarray:
-    """Counts of the shingles in the groups; a power of two of them, one for 16 shingles and `groups` at least."""
-    while groups * 16 < len(members) and groups < 4096:
-        groups *= 2
-    return np.bincount((mixed(members) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint32)
-
-
-def _points(sets: DataFrame, params: JoinParams) -> DataFrame:
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f in frames:
-            made = [point(np.frombuffer(m, np.uint64), params.groups) for m in f.column("members").to_pylist()]
-            small = [(b"\0" + p.astype(np.uint8).tobytes()) if p.max() < 256 else b"\1" + p.tobytes() for p in made]
-            yield pa.RecordBatch.from_arrays([f.column("h"), pa.array(small, pa.binary())], ["h", "point"])
-
-    return sets.mapInArrow(run, "h long, point binary")
+def point(members: np.ndarray, groups: int) -> bytes:
+    """Counts of the shingles in the groups, 16 bits each; the largest number stands for all beyond."""
+    counts = np.bincount((mixed(members) % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return np.minimum(counts, 65535).astype("<u2").tobytes()
 
 
-def _unpacked(raw: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(p, np.uint8, offset=1).astype(np.uint32) if p[:1] == b"\0" else np.frombuffer(p[1:], np.uint32)
-            for p in raw]
+def unpacked(points: list[bytes]) -> np.ndarray:
+    """One row a point. A count beyond 16 bits becomes so large that no bound can rule it out."""
+    out = np.frombuffer(b"".join(points), "<u2").reshape(len(points), -1).astype(np.int64)
+    out[out == 65535] = 1 << 40
+    return out
 
 
-def folded(points: list[np.ndarray]) -> np.ndarray:
-    """Points of different lengths brought to the shortest: groups are by low bits, so halves add up."""
-    least = min(len(p) for p in points)
-    return np.stack([p.reshape(-1, least).sum(axis=0) for p in points])
+def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of points (sizes n and m) the sum of smaller coordinates cannot rule out."""
+    out = (100 * m >= percent * n) & (100 * n >= percent * m)
+    rows = np.flatnonzero(out)
+    for part in np.array_split(rows, len(rows) // 20_000 + 1):
+        out[part] = np.minimum(x[part], y[part]).sum(axis=1) >= needed(n[part], m[part], percent)
+    return out
 
 
 class CountTree:
@@ -245,20 +245,53 @@ class CountTree:
         return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _tree_pairs(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of one tree, or of two leaves of a crowded one, that lie in different components."""
-    points = folded(_unpacked(list(frame["point"])))
-    h, n, root, other = (frame[c].to_numpy() for c in ("h", "n", "root", "other"))
-    one, two = np.flatnonzero(~other), np.flatnonzero(other)
-    if not len(one):
-        one = two
-    a = CountTree(points[one], n[one].astype(np.int64))
-    b = CountTree(points[two], n[two].astype(np.int64)) if len(two) else a
-    x, y = a.pairs(b, percent)
-    x, y = one[x], (two if len(two) else one)[y]
-    x, y = np.where(h[x] < h[y], x, y), np.where(h[x] < h[y], y, x)
-    out = pd.DataFrame({"a": h[x], "b": h[y]})[(root[x] != root[y])]
-    return out.drop_duplicates()
+# trees of so few points are searched pair by pair, many at once
+_FEW = 48
+
+
+def _few(starts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs inside each of many small trees, in parts of bounded size."""
+    for size in np.unique(counts):
+        one, two = np.triu_indices(int(size), 1)
+        own = starts[counts == size]
+        for part in np.array_split(own, len(own) * len(one) // 1_000_000 + 1):
+            yield (part[:, None] + one).ravel(), (part[:, None] + two).ravel()
+
+
+def _searched(batch: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs (a, b) in different components that the bound lets through, in each tree of `batch`.
+
+    Rows of a tree, or of two leaves of a crowded one, stand together in the order of `other` and n.
+    """
+    h, n, root, other = (batch[c].to_numpy() for c in ("h", "n", "root", "other"))
+    n, points = n.astype(np.int64), unpacked(list(batch["point"]))
+    tree = batch[["key", "from", "to"]].to_numpy()
+    starts = np.flatnonzero(np.append(True, (tree[1:] != tree[:-1]).any(axis=1)))
+    ends = np.append(starts[1:], len(batch))
+    few = (ends - starts <= _FEW) & (tree[starts, 1] == tree[starts, 2])
+    found = [np.empty((0, 2), np.int64)]
+
+    def keep(x: np.ndarray, y: np.ndarray, bounded: bool) -> None:
+        ok = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        pairs = np.sort(np.stack([h[x], h[y]], axis=1), axis=1)
+        if len(pairs):
+            pairs, at = np.unique(pairs, axis=0, return_index=True)
+            if not bounded:
+                pairs = pairs[possible(points[x[at]], points[y[at]], n[x[at]], n[y[at]], percent)]
+            found.append(pairs)
+
+    for x, y in _few(starts[few], (ends - starts)[few]):
+        keep(x, y, False)
+    for lo, hi in zip(starts[~few], ends[~few]):
+        cut_at = lo + int((~other[lo:hi]).sum())
+        one, two = np.arange(lo, cut_at), np.arange(cut_at, hi)
+        a = CountTree(points[one], n[one])
+        b = CountTree(points[two], n[two]) if len(two) else a
+        x, y = a.pairs(b, percent)
+        keep(one[x], (two if len(two) else one)[y], True)
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _candidates(members: DataFrame, points: DataFrame, params: JoinParams) -> DataFrame:
@@ -274,8 +307,37 @@ def _candidates(members: DataFrame, points: DataFrame, params: JoinParams) -> Da
              .union(meet.where("to > leaf").select("key", F.col("leaf").alias("from"), "to", F.col("to").alias("leaf"), F.lit(True))))
     rows = placed.join(sides, ["key", "leaf"]).join(points, "h").select("key", "from", "to", "h", "n", "root", "other", "point")
     percent = params.percent
-    return (rows.groupBy("key", "from", "to")
-            .applyInPandas(lambda frame: _tree_pairs(frame, percent), "a long, b long").distinct())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for f in frames:
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            last = f[["key", "from", "to"]].iloc[-1]
+            open_tree = (f["key"] == last["key"]) & (f["from"] == last["from"]) & (f["to"] == last["to"])
+            held = f[open_tree].reset_index(drop=True)
+            if not open_tree.all():
+                yield _searched(f[~open_tree].reset_index(drop=True), percent)
+        if held is not None:
+            yield _searched(held, percent)
+
+    return (rows.repartition("key", "from", "to").sortWithinPartitions("key", "from", "to", "other", "n", "h")
+            .mapInPandas(run, "a long, b long").distinct())
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, params: JoinParams) -> DataFrame:
+    """The rows of `pairs` (a, b, votes) that the bound lets through."""
+    percent = params.percent
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            x, y = (unpacked(f.column(c).to_pylist()) for c in ("x", "y"))
+            n, m = (f.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+            yield f.select(["a", "b", "votes"]).filter(pa.array(possible(x, y, n, m, percent)))
+
+    return (pairs.join(points.select(F.col("h").alias("a"), "n", F.col("point").alias("x")), "a")
+            .join(points.select(F.col("h").alias("b"), F.col("n").alias("m"), F.col("point").alias("y")), "b")
+            .where(F.least("n", "m").cast("long") * 100 >= F.greatest("n", "m").cast("long") * percent)
+            .select("a", "b", "votes", "n", "m", "x", "y").mapInArrow(run, "a long, b long, votes long"))
 
 
 # ---- the join ---------------------------------------------------------------------------------------------
@@ -289,28 +351,32 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], top.column("count").to_numpy()[order]
 
 
-def _links(docs: DataFrame, measured: DataFrame, params: JoinParams, seed: int) -> DataFrame:
+def _links(docs: DataFrame, measured: DataFrame, classes: DataFrame, params: JoinParams, seed: int) -> DataFrame:
     """(node, root) of the sets that are linked with another one."""
     keys = _prefixes(docs, _common(measured), params, seed)
     tree = Window.partitionBy("key")
     keys = keys.select("*", F.min("h").over(tree).alias("centre"), F.max("h").over(tree).alias("last"))
     members = cut(keys.where("centre <> last").select("key", "h", "n", "centre").distinct())
-    sets = cut(_sets_of(docs, members.select("h"), params, seed))
+    points = classes.select("h", "n", "point")
     # each set is first held against its commonest centre
-    votes = members.where("h <> centre").groupBy("h", "n", "centre").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("h").agg(F.max(F.struct("votes", "centre")).alias("best"))
-    star = cut(_verified(best.select(F.col("h").alias("a"), F.col("best.centre").alias("b")), sets, params))
+    votes = members.where("h <> centre").groupBy(F.col("h").alias("a"), F.col("centre").alias("b")).agg(F.count("*").alias("votes"))
+    best = (_bounded(votes, points, params).groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best"))
+            .select("a", F.col("best.b").alias("b")))
+    best = cut(best)
+    both = F.explode(F.array("a", "b")).alias("h")
+    star = cut(_verified(best, cut(_sets_of(docs, best.select(both).distinct(), params, seed)), params))
     roots = components(star)
     rooted = (members.join(roots.withColumnRenamed("node", "h"), "h", "left")
               .select("key", "h", "n", F.coalesce("root", "h").alias("root")))
     # trees of one component have nothing left to find; equal lists of members make equal trees
-    open_trees = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                           F.expr("bit_xor(xxhash64(h))").alias("list"), F.count("*").alias("k")).where("lo <> hi")
-    once = open_trees.groupBy("list", "k").agg(F.min("key").alias("key"))
+    open_trees = rooted.groupBy("key").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.expr("bit_xor(xxhash64(h))").alias("one"),
+        F.sum(F.xxhash64(F.lit(1), "h").cast("decimal(38,0)")).alias("two"), F.count("*").alias("k")).where("lo <> hi")
+    once = open_trees.groupBy("one", "two", "k").agg(F.min("key").alias("key"))
     rooted = cut(rooted.join(once.select("key"), "key", "left_semi"))
-    points = cut(_points(sets.join(rooted.select("h").distinct(), "h", "left_semi"), params))
-    more = _verified(cut(_candidates(rooted, points, params)), sets, params)
-    return components(star.union(more))
+    pairs = cut(_candidates(rooted, points.select("h", "point"), params))
+    sets = cut(_sets_of(docs, pairs.select(both).distinct(), params, seed))
+    return components(star.union(_verified(pairs, sets, params)))
 
 
 def linked_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -329,12 +395,14 @@ def linked_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for seed in range(8):
         measured = cut(_measure(rows, params, seed))
         base = measured.where("n IS NOT NULL")
+        classes = cut(base.where("n > 0").groupBy("h").agg(
+            F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("doc_id").alias("least"),
+            F.min("n").cast("int").alias("n"), F.min("point").alias("point")))
         # two different sets with one 64-bit hash: take another hash
-        if base.where("n > 0").groupBy("h").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").isEmpty():
+        if classes.where("lo <> hi").isEmpty():
             break
-    roots = _links(rows, measured, params, seed).withColumnRenamed("node", "h")
-    classes = base.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least")).join(roots, "h", "left")
-    classes = cut(classes.select("h", "least", F.coalesce("root", "h").alias("root")))
+    roots = _links(rows, measured, classes, params, seed).withColumnRenamed("node", "h")
+    classes = cut(classes.join(roots, "h", "left").select("h", "least", F.coalesce("root", "h").alias("root")))
     least = classes.groupBy("root").agg(F.min("least").alias("component"))
     parts = cut(classes.join(least, "root").select("h", "component"))
     # a class that a third of all rows share is one row here and many there: Spark splits such joins
