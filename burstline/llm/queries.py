@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from burstline.llm import op3, op4, op5, op6, op7, op9, op10
+from burstline.llm import op1, op3, op4, op5, op6, op7, op9, op10
 
 QUERIES = {
+    "op1_packing": op1.op1_packing,
     "op3_main_text": op3.op3_main_text,
     "op4_url_filter": op4.op4_url_filter,
     "op5_fingerprints": op5.op5_fingerprints,
