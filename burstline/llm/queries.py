@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from burstline.llm import op1, op3, op4, op5, op6, op7, op9, op10
+from burstline.llm import op1, op3, op4, op5, op6, op7, op8, op9, op10
 
 QUERIES = {
     "op1_packing": op1.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_fingerprints": op5.op5_fingerprints,
     "op6_exact_dedup": op6.op6_exact_dedup,
     "op7_ngram_join": op7.op7_ngram_join,
+    "op8_suffix_dedup": op8.op8_suffix_dedup,
     "op9_mixing": op9.op9_mixing,
     "op10_quality": op10.op10_quality,
 }
