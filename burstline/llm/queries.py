@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from burstline.llm import op1, op3, op4, op5, op6, op7, op8, op9, op10
+from burstline.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
 QUERIES = {
     "op1_packing": op1.op1_packing,
+    "op2_line_dedup": op2.op2_line_dedup,
     "op3_main_text": op3.op3_main_text,
     "op4_url_filter": op4.op4_url_filter,
     "op5_fingerprints": op5.op5_fingerprints,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_quality": op10.op10_quality,
 }
 ORACLE = {
+    "op2_line_dedup": op2.ORACLE,
     "op6_exact_dedup": op6.ORACLE,
     "op9_mixing": op9.ORACLE,
 }
