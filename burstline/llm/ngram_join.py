@@ -81,26 +81,26 @@ def _identity(sets: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _measure(docs: DataFrame, params: JoinParams, seed: int) -> DataFrame:
-    """(doc_id, n, h, check, point) of each row, and rows (n null, h a shingle, check its count) of common shingles."""
-    names = ["doc_id", "n", "h", "check", "point"]
+    """(doc_id, key, n, h, check, point) of each row, and rows (n null, h a shingle, check its count) of common shingles."""
+    names = ["doc_id", "key", "n", "h", "check", "point"]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
             for part, sets in _sets(f.column("text"), params.size):
                 n, h, check = _identity(sets, seed)
-                ids = f.column("doc_id").slice(part.start, len(part))
+                ids, keys = (f.column(c).slice(part.start, len(part)) for c in ("doc_id", "key"))
                 points = [point(x, params.groups) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n), pa.array(h), pa.array(check), pa.array(points, pa.binary())], names)
+                    [ids, keys, pa.array(n), pa.array(h), pa.array(check), pa.array(points, pa.binary())], names)
                 seen, count = np.unique(np.concatenate(sets), return_counts=True)
                 often = count >= _COMMON_IN_PART
                 if often.any():
                     k = int(often.sum())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(seen[often].view(np.int64)),
+                        [*[pa.nulls(k, pa.int64())] * 3, pa.array(seen[often].view(np.int64)),
                          pa.array(count[often].astype(np.int64)), pa.nulls(k, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, h long, check long, point binary")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, h long, check long, point binary")
 
 
 def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], params: JoinParams, seed: int) -> DataFrame:
@@ -379,6 +379,24 @@ def _links(docs: DataFrame, measured: DataFrame, classes: DataFrame, params: Joi
     return components(star.union(_verified(pairs, sets, params)))
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, params: JoinParams) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, key, n, h), and of each set with shingles (h, root, least): its group and the first row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    keyed = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    for seed in range(8):
+        measured = cut(_measure(keyed, params, seed))
+        base = measured.where("n IS NOT NULL")
+        classes = cut(base.where("n > 0").groupBy("h").agg(
+            F.min("check").alias("lo"), F.max("check").alias("hi"), first.alias("least"),
+            F.min("n").cast("int").alias("n"), F.min("point").alias("point")))
+        # two different sets with one 64-bit hash: take another hash
+        if classes.where("lo <> hi").isEmpty():
+            break
+    roots = _links(rows.select("text"), measured, classes, params, seed).withColumnRenamed("node", "h")
+    return base, cut(classes.join(roots, "h", "left").select("h", "least", F.coalesce("root", "h").alias("root")))
+
+
 def linked_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                      params: JoinParams = JoinParams()) -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id, and class_id, a hash that equal sets share.
@@ -391,19 +409,8 @@ def linked_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     link; null ids take part and are never the smallest unless a component has no other; repeated rows link;
     other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    for seed in range(8):
-        measured = cut(_measure(rows, params, seed))
-        base = measured.where("n IS NOT NULL")
-        classes = cut(base.where("n > 0").groupBy("h").agg(
-            F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("doc_id").alias("least"),
-            F.min("n").cast("int").alias("n"), F.min("point").alias("point")))
-        # two different sets with one 64-bit hash: take another hash
-        if classes.where("lo <> hi").isEmpty():
-            break
-    roots = _links(rows, measured, classes, params, seed).withColumnRenamed("node", "h")
-    classes = cut(classes.join(roots, "h", "left").select("h", "least", F.coalesce("root", "h").alias("root")))
-    least = classes.groupBy("root").agg(F.min("least").alias("component"))
+    base, classes = _groups(docs, id_col, text_col, params)
+    least = classes.groupBy("root").agg(F.min("least")["doc_id"].alias("component"))
     parts = cut(classes.join(least, "root").select("h", "component"))
     # a class that a third of all rows share is one row here and many there: Spark splits such joins
     return base.join(parts, "h", "left").select(
@@ -415,11 +422,14 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                       params: JoinParams = JoinParams()) -> DataFrame:
     """`docs` with the row of the smallest id of each group of linked rows, all columns as they were.
 
-    Rows without shingles stay; of rows that are repeated with one id, one stays.
+    Rows without shingles stay; of rows that are repeated with id and text, one stays.
     """
-    found = linked_documents(docs, id_col=id_col, text_col=text_col, params=params)
-    dropped = found.where("n_shingles > 0 AND NOT (doc_id <=> component_id)").select("doc_id").distinct()
-    rows = docs.select(F.struct("*").alias("rec"), F.col(id_col).cast("long").alias("doc_id"))
-    left = rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
-    return left.withColumn("nth", nth).where("nth = 1 OR doc_id IS NULL").select("rec.*")
+    base, classes = _groups(docs, id_col, text_col, params)
+    kept = cut(classes.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.key")
+               .union(base.where("n = 0").select("doc_id", "key").distinct()))
+    ids = F.col(id_col).cast("long")
+    rows = docs.select(F.struct("*").alias("rec"), ids.alias("doc_id"),
+                       F.xxhash64(ids, text_or_empty(text_col)).alias("key"))
+    left = rows.join(kept, (rows["key"] == kept["key"]) & rows["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("key", "doc_id").orderBy(F.lit(0)))
+    return left.withColumn("nth", nth).where("nth = 1").select("rec.*")
