@@ -44,7 +44,7 @@ _FILTER_BITS = 1 << 25
 class JoinParams:
     size: int = 4  # words in a shingle
     percent: int = 85  # least similarity: 100 * shared >= percent * all
-    groups: int = 128  # coordinates of a point
+    groups: int = 128  # coordinates of a point, more for large sets
     leaf: int = 512  # points in a leaf that is worked on by itself
 
 
@@ -185,24 +185,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFram
 
 
 def point(members: np.ndarray, groups: int) -> bytes:
-    """Counts of the shingles in the groups, 16 bits each; the largest number stands for all beyond."""
+    """Counts of the shingles in the groups, 16 bits each; the largest number stands for all beyond.
+
+    There are `groups` of them, for large sets a multiple by a power of two, so that a group has few members.
+    """
+    while groups * 8 < len(members) and groups < 8192:
+        groups *= 2
     counts = np.bincount((mixed(members) % np.uint64(groups)).astype(np.int64), minlength=groups)
     return np.minimum(counts, 65535).astype("<u2").tobytes()
 
 
-def unpacked(points: list[bytes]) -> np.ndarray:
-    """One row a point. A count beyond 16 bits becomes so large that no bound can rule it out."""
-    out = np.frombuffer(b"".join(points), "<u2").reshape(len(points), -1).astype(np.int64)
-    out[out == 65535] = 1 << 40
+def unpacked(points: list[bytes], width: int) -> np.ndarray:
+    """One row a point, brought to `width` groups: those whose numbers agree modulo `width` add up.
+
+    A count beyond 16 bits becomes so large that no bound can rule it out.
+    """
+    out = np.empty((len(points), width), np.int64)
+    sizes = np.fromiter((len(p) // 2 for p in points), np.int64, len(points))
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        own = np.frombuffer(b"".join([points[i] for i in rows]), "<u2").astype(np.int64)
+        own[own == 65535] = 1 << 40
+        out[rows] = own.reshape(len(rows), size // width, width).sum(axis=1)
     return out
 
 
-def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+def possible(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of points (sizes n and m) the sum of smaller coordinates cannot rule out."""
     out = (100 * m >= percent * n) & (100 * n >= percent * m)
-    rows = np.flatnonzero(out)
-    for part in np.array_split(rows, len(rows) // 20_000 + 1):
-        out[part] = np.minimum(x[part], y[part]).sum(axis=1) >= needed(n[part], m[part], percent)
+    width = np.fromiter((min(len(a), len(b)) // 2 for a, b in zip(x, y)), np.int64, len(n))
+    for w in np.unique(width[out]):
+        rows = np.flatnonzero(out & (width == w))
+        for part in np.array_split(rows, len(rows) * int(w) // (2 << 20) + 1):
+            shared = np.minimum(unpacked([x[i] for i in part], int(w)), unpacked([y[i] for i in part], int(w))).sum(axis=1)
+            out[part] = shared >= needed(n[part], m[part], percent)
     return out
 
 
@@ -264,32 +280,32 @@ def _searched(batch: pd.DataFrame, percent: int) -> pd.DataFrame:
     Rows of a tree, or of two leaves of a crowded one, stand together in the order of `other` and n.
     """
     h, n, root, other = (batch[c].to_numpy() for c in ("h", "n", "root", "other"))
-    n, points = n.astype(np.int64), unpacked(list(batch["point"]))
+    n, points = n.astype(np.int64), batch["point"].tolist()
     tree = batch[["key", "from", "to"]].to_numpy()
     starts = np.flatnonzero(np.append(True, (tree[1:] != tree[:-1]).any(axis=1)))
     ends = np.append(starts[1:], len(batch))
     few = (ends - starts <= _FEW) & (tree[starts, 1] == tree[starts, 2])
     found = [np.empty((0, 2), np.int64)]
 
-    def keep(x: np.ndarray, y: np.ndarray, bounded: bool) -> None:
+    def keep(x: np.ndarray, y: np.ndarray) -> None:
         ok = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
         x, y = x[ok], y[ok]
         pairs = np.sort(np.stack([h[x], h[y]], axis=1), axis=1)
         if len(pairs):
             pairs, at = np.unique(pairs, axis=0, return_index=True)
-            if not bounded:
-                pairs = pairs[possible(points[x[at]], points[y[at]], n[x[at]], n[y[at]], percent)]
-            found.append(pairs)
+            x, y = x[at], y[at]
+            found.append(pairs[possible([points[i] for i in x], [points[i] for i in y], n[x], n[y], percent)])
 
     for x, y in _few(starts[few], (ends - starts)[few]):
-        keep(x, y, False)
+        keep(x, y)
     for lo, hi in zip(starts[~few], ends[~few]):
         cut_at = lo + int((~other[lo:hi]).sum())
         one, two = np.arange(lo, cut_at), np.arange(cut_at, hi)
-        a = CountTree(points[one], n[one])
-        b = CountTree(points[two], n[two]) if len(two) else a
+        width = min(len(p) for p in points[lo:hi]) // 2
+        a = CountTree(unpacked(points[lo:cut_at], width), n[one])
+        b = CountTree(unpacked(points[cut_at:hi], width), n[two]) if len(two) else a
         x, y = a.pairs(b, percent)
-        keep(one[x], (two if len(two) else one)[y], True)
+        keep(one[x], (two if len(two) else one)[y])
     pairs = np.unique(np.concatenate(found), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -330,7 +346,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, params: JoinParams) -> DataFra
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            x, y = (unpacked(f.column(c).to_pylist()) for c in ("x", "y"))
+            x, y = (f.column(c).to_pylist() for c in ("x", "y"))
             n, m = (f.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
             yield f.select(["a", "b", "votes"]).filter(pa.array(possible(x, y, n, m, percent)))
 
