@@ -6,12 +6,15 @@ several readers share one result.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: tempfile.TemporaryDirectory | None = None
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,4 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/burstline-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def written_tables_freed(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what `cut` wrote inside: for jobs that have stored their result by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _written[before:]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        del _written[before:]

@@ -215,10 +215,13 @@ def near_pairs(vecs: DataFrame, extremes: DataFrame, cuts: DataFrame) -> DataFra
     rest of either post weighs less than that. Only those terms are indexed, and a pair is met at
     its first common term only. Near pairs without a common term come from `extremes`.
     """
-    least = vecs.groupBy("window_id").agg(F.min("norm").alias("n0"), F.min("a").alias("a0"))
+    least = vecs.groupBy("window_id").agg(
+        F.min("norm").alias("n0"), F.max("norm").alias("n1"), F.min("a").alias("a0"))
     bounded = vecs.filter(F.col("norm") > 0).join(least, "window_id").join(cuts, "window_id")
     cos_needed = 1 - F.col("cut") / F.sqrt(F.col("n_posts") + 1)
-    need = (cos_needed * F.col("norm") * F.col("n0") + F.col("a") + F.col("a0") - F.col("c")) * (1 - _SLACK) - _SLACK
+    # a negative cosine is furthest from zero with the longest partner
+    partner = F.when(cos_needed < 0, F.col("n1")).otherwise(F.col("n0"))
+    need = (cos_needed * F.col("norm") * partner + F.col("a") + F.col("a0") - F.col("c")) * (1 - _SLACK) - _SLACK
     vec = F.col("vec")
     rest = lambda k: _sum(F.slice(vec, k, F.size(vec)), _scale)
     starts = F.when(F.size(vec) > 0, F.sequence(F.lit(1), F.size(vec))).otherwise(F.array().cast("array<int>"))
@@ -272,15 +275,17 @@ def profile_space(vecs: DataFrame, pairs: DataFrame) -> ProfileSpace:
             .distinct())
     vec = F.col("vec")
     points = vecs.join(used, ["window_id", "pattern_id"], "left_semi")
-    # ids of one window's vocabulary: bounded, one row per window
-    wanted = (points.select("window_id", F.explode("ids").alias("id"))
-              .groupBy("window_id").agg(F.collect_set("id").alias("wanted")))
+    wanted = points.select("window_id", F.explode("ids").alias("id")).distinct()
     w = F.col("n_posts") / (F.col("norm") * F.col("norm"))
-    weighted = vecs.filter(F.col("norm") > 0).join(wanted, "window_id").withColumn("w", w)
+    weighted = (vecs.filter(F.col("norm") > 0).join(wanted.select("window_id").distinct(), "window_id", "left_semi")
+                .withColumn("w", w))
     totals = weighted.groupBy("window_id").agg(
         F.first("c").alias("c"), F.sum("w").alias("g"), F.sum(F.col("w") * F.col("a")).alias("r"),
         F.sum(F.col("w") * F.col("a") * F.col("a")).alias("b"))
-    held = weighted.select("window_id", "w", "a", F.array_intersect("ids", "wanted").alias("ids"))
+    held = (weighted.select("window_id", "pattern_id", "w", "a", F.explode("ids").alias("id"))
+            .join(wanted, ["window_id", "id"], "left_semi")
+            .groupBy("window_id", "pattern_id").agg(
+                F.first("w").alias("w"), F.first("a").alias("a"), F.collect_list("id").alias("ids")))
     common = (held.select("window_id", "w", "a", "ids", F.explode("ids").alias("i"))
               .select("window_id", "w", "a", "i", F.explode(F.filter("ids", lambda t: t >= F.col("i"))).alias("j"))
               .groupBy("window_id", "i", "j")

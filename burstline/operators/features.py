@@ -66,13 +66,15 @@ def term_df(pats: DataFrame, vocab: DataFrame) -> DataFrame:
             .select("window_id", "term", F.coalesce("df", F.lit(0).cast("bigint")).alias("df")))
 
 
-def window_stats(windowed: DataFrame, eligible: DataFrame, vocab: DataFrame, pruned: DataFrame) -> DataFrame:
-    """Per window: posts, eligible posts, vocabulary terms, posts left after pruning."""
+def window_stats(sequence: DataFrame, windowed: DataFrame, eligible: DataFrame, vocab: DataFrame,
+                 pruned: DataFrame) -> DataFrame:
+    """Per window of the sequence, also one that lost its only post: posts, eligible posts, vocabulary terms,
+    posts left after pruning."""
 
     def count(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("window_id").agg(F.count(F.lit(1)).alias(name))
 
-    out = windowed.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_posts"))
-    for part, name in ((eligible, "n_eligible"), (vocab, "n_terms"), (pruned, "n_pruned_posts")):
+    out = sequence.select("window_id").distinct()
+    for part, name in ((windowed, "n_posts"), (eligible, "n_eligible"), (vocab, "n_terms"), (pruned, "n_pruned_posts")):
         out = out.join(count(part, name), "window_id", "left")
     return out.na.fill(0).withColumn("window_start", F.timestamp_seconds("window_id"))

@@ -344,3 +344,5 @@ ORACLE: dict[str, str] = {
     "topics": _with("SELECT * FROM topics", "topics"),
     "topic_lines": _with("SELECT window_label, headline, keywords, post_ids, media_urls FROM topics", "topics"),
 }
+# the rounds give what one task gives
+ORACLE |= {"post_clusters_rounds": ORACLE["post_clusters"], "topics_rounds": ORACLE["topics"]}

@@ -62,9 +62,9 @@ def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pt.term_weights(_corpus(spark, sf_dir), tb.capital_words(spark, sf_dir))
 
 
-def _tables(spark: SparkSession, sf_dir: str) -> pt.TopicTables:
+def _tables(spark: SparkSession, sf_dir: str, **more) -> pt.TopicTables:
     corpus = _corpus(spark, sf_dir)
-    return pt.topics_of_corpus(corpus, pt.term_weights(corpus, tb.capital_words(spark, sf_dir)), PARAMS)
+    return pt.topics_of_corpus(corpus, pt.term_weights(corpus, tb.capital_words(spark, sf_dir)), PARAMS, **more)
 
 
 # -- filters and text -----------------------------------------------------------------------------
@@ -254,6 +254,11 @@ def post_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(spark, sf_dir).post_clusters().select("window_id", "post_id", "cluster_id")
 
 
+def post_clusters_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clusters with every window in the rounds that large windows go through."""
+    return _tables(spark, sf_dir, small_window=0).post_clusters().select("window_id", "post_id", "cluster_id")
+
+
 def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(spark, sf_dir).cluster_sizes()
 
@@ -277,8 +282,15 @@ def headline_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "window_id", _long("rank"), _long("topic"))
 
 
+def topics_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topic_columns(_tables(spark, sf_dir, small_window=0).topics)
+
+
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _tables(spark, sf_dir).topics
+    return _topic_columns(_tables(spark, sf_dir).topics)
+
+
+def _topic_columns(found: DataFrame) -> DataFrame:
     return found.select(
         "window_id", "window_label", _long("rank"), millionths(F.col("score")).alias("score"), "headline", "label",
         *[F.array_join(F.col(c).cast("array<string>"), ", ").alias(c)
@@ -298,7 +310,7 @@ ALL = [
     ngrams, min_df_vocabulary, pruned_posts, copies, term_df, history_mean, burst_weight,
     boosted_weight, top_terms,
     distance_cut, pair_cosine, profile_distance,
-    post_clusters, cluster_sizes, cluster_scores, cluster_headlines, headline_cosine,
-    headline_topics, topics, topic_lines,
+    post_clusters, post_clusters_rounds, cluster_sizes, cluster_scores, cluster_headlines, headline_cosine,
+    headline_topics, topics, topics_rounds, topic_lines,
 ]
 QUERIES = {f.__name__: f for f in ALL}

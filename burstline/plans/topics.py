@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from burstline.functions.words import SPAM_PHRASES, STOP_WORDS
-from burstline.lineage import cut
+from burstline.lineage import cut, written_tables_freed
 from burstline.operators import clusters as cl
 from burstline.operators import features as ft
 from burstline.operators import filters as fl
@@ -37,7 +37,7 @@ class Corpus:
     patterns: DataFrame
 
     def stats(self) -> DataFrame:
-        return ft.window_stats(self.windowed, self.eligible, self.vocab, self.pruned)
+        return ft.window_stats(self.sequence, self.windowed, self.eligible, self.vocab, self.pruned)
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,13 @@ def detect_topics(posts: DataFrame, params: TopicParams | None = None, *, lexico
 
 
 def run(spark: SparkSession, posts_path: str, out_path: str, minutes: float = 15.0,
-        mode: str = "errorifexists") -> None:
-    """Anchored windows over an extracted post table, topics as tab-separated text."""
-    tables = detect_topics(read_posts(spark, posts_path), TopicParams(window_minutes=minutes), anchored=True)
-    write_topics_tsv(tables.topics, out_path, mode)
+        mode: str = "errorifexists", *, lexicon: DataFrame | None = None,
+        stop_words: Sequence[str] = STOP_WORDS, spam_phrases: Sequence[str] = SPAM_PHRASES) -> None:
+    """Anchored windows over an extracted post table, topics as tab-separated text.
+
+    Intermediate tables are deleted when the topics are written.
+    """
+    with written_tables_freed(spark):
+        tables = detect_topics(read_posts(spark, posts_path), TopicParams(window_minutes=minutes), anchored=True,
+                               lexicon=lexicon, stop_words=stop_words, spam_phrases=spam_phrases)
+        write_topics_tsv(tables.topics, out_path, mode)

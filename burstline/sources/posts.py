@@ -51,23 +51,27 @@ CREATED_AT_FORMAT = "MMM dd HH:mm:ss Z yyyy"
 
 def read_raw_posts(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines with the fixed schema; broken lines keep their text in `_corrupt_record`."""
-    return (spark.read.schema(_READ_SCHEMA).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", _CORRUPT).json(path))
+    return parse_raw_lines(spark.read.text(path))
 
 
 def read_raw_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    reader = (spark.readStream.schema(_READ_SCHEMA).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", _CORRUPT))
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(path)
+    return parse_raw_lines(reader.text(path))
 
 
 def parse_raw_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """The same parse for text that is already a DataFrame column."""
-    parsed = F.from_json(F.col(column), _READ_SCHEMA,
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    return lines.select(parsed.alias("r")).select("r.*")
+    """One raw post per line that is not blank. A line that is not one whole JSON object is broken."""
+    line = F.col(column)
+    parsed = F.from_json(line, _READ_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    # the built-in parsers stop at the end of the first object: what follows it shows inside brackets
+    whole = ((F.json_array_length(F.concat(F.lit("["), line, F.lit("]"))) == 1)
+             & (F.size(F.json_object_keys(F.concat(F.lit('{"line":'), line, F.lit("}")))) == 1)
+             & F.startswith(F.ltrim(line), F.lit("{")))
+    broken = F.when(~F.coalesce(whole, F.lit(False)), line)
+    return (lines.filter(F.trim(line) != "").select(parsed.alias("r"), broken.alias("broken"))
+            .select("r.*", "broken").withColumn(_CORRUPT, F.coalesce(F.col("broken"), F.col(_CORRUPT))).drop("broken"))
 
 
 def language_filter(df: DataFrame, lang: str = "en") -> DataFrame:
@@ -101,16 +105,19 @@ def _post_columns() -> list[Column]:
 
 
 def extract_posts(raw: DataFrame, lang: str = "en") -> DataFrame:
-    """Posts of one language in the fixed post layout; rows lacking a required field are dropped."""
-    return language_filter(raw, lang).select(*_post_columns()).dropna(how="any")
+    """Posts of one language in the fixed post layout; broken rows and those lacking a required field are dropped."""
+    return language_filter(raw, lang).filter(F.col(_CORRUPT).isNull()).select(*_post_columns()).dropna(how="any")
 
 
 def rejected_posts(raw: DataFrame, lang: str = "en") -> DataFrame:
-    """What `extract_posts` drops as malformed, with the broken line where there is one."""
-    names = POST_SCHEMA.fieldNames()
+    """What `extract_posts` drops as malformed, with the broken line where there is one.
+
+    Each line of the language, or of none, is either here or among the extracted posts.
+    """
+    names = ["lang", *POST_SCHEMA.fieldNames()]
     missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in names])
-    return (raw.filter(F.col(_CORRUPT).isNotNull() | (F.col("lang") == lang))
-            .select(*_post_columns(), _CORRUPT)
+    return (raw.filter(F.col(_CORRUPT).isNotNull() | F.col("lang").isNull() | (F.col("lang") == lang))
+            .select("lang", *_post_columns(), _CORRUPT)
             .withColumn("missing", missing)
             .filter((F.col("missing") != "") | F.col(_CORRUPT).isNotNull())
             .select("post_id", "missing", F.col(_CORRUPT).alias("line")))

@@ -66,3 +66,28 @@ def test_distances_and_clusters_equal_dense_results(spark, seed, block_rows):
         for name, group in got.items():
             assert name == w * 1000 + min(group)
     assert merged > 0
+
+
+@pytest.mark.parametrize("share", [.5, 1.0])
+def test_no_near_pair_is_missed_with_opposite_posts(spark, share):
+    rng = np.random.default_rng(11)
+    terms = [f"t{i}" for i in range(12)]
+    windows = {}
+    for w in range(30):  # halves of the vocabulary against each other: cosines down to -1
+        half = set(rng.choice(12, 6, replace=False).tolist())
+        posts = [[t for i, t in enumerate(terms) if (i in half) == side] for side in (True, False) for _ in range(2)]
+        posts += [sorted(rng.choice(terms, rng.integers(2, 9), replace=False).tolist()) for _ in range(5)]
+        windows[w] = posts
+    pats = cut(ft.patterns(pruned_frame(spark, windows)))
+    vecs = cut(ds.vectors(pats))
+    extremes = cut(ds.block_extremes(vecs, share))
+    cuts = cut(ds.distance_cut(extremes, share))
+    found = ds.near_pairs(vecs, extremes, cuts).toPandas()
+    weights = {(r.window_id, r.pattern_id): r.n_posts for r in pats.collect()}
+    for w, posts in windows.items():
+        d = cosine_distances(posts)
+        ids = sorted(p - w * 1000 for v, p in weights if v == w)
+        want = {(i + w * 1000, j + w * 1000) for i in ids for j in ids if i < j and d[i, j] <= share * d.max() / np.sqrt(
+            weights[w, i + w * 1000] + weights[w, j + w * 1000]) - 1e-8}
+        mine = found[found.window_id == w]
+        assert want <= set(zip(mine.x, mine.y))

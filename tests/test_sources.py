@@ -52,3 +52,22 @@ def test_topic_lines_on_disk(spark, tmp_path):
     write_topics_tsv(df, str(tmp_path / "out"))
     text = [line for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
     assert text == ["w1\tfirst\ta, b\t3, 9\t", "w1\tsecond\tb\t4\thttp://m", 'w2\tsay "hi"\tc\t5\t']
+
+
+def test_each_line_is_extracted_or_rejected(spark, tmp_path):
+    def line(**more):
+        return json.dumps({"lang": "en", "created_at": "Mon Feb 17 14:14:44 +0000 2014", "id": 1, "text": "hello",
+                           "user": {"followers_count": 1, "friends_count": 2},
+                           "entities": {"hashtags": [], "user_mentions": [], "urls": []}} | more)
+
+    good = [line(id=1), line(id=2) + "  ", "  " + line(id=3)]
+    lacking = line(id=4)[:-1].replace('"lang": "en", ', "") + "}"
+    bad = [line(id=5) + "}", line(id=6) + " trailing", line(id=7) + "]", line(id=8) + "] {}", line(id=9) + ",{}", lacking,
+           line(id=10, entities={"hashtags": [], "user_mentions": [], "urls": [], "media": "x"}),
+           line(id=11, retweeted_status={}, text=None), "[1]", "x", line(id=12)[:-1]]
+    other = [line(id=13, lang="de")]
+    path = tmp_path / "raw.json"
+    path.write_text("\n".join(["", *good, *bad, " ", *other]))
+    for raw in (ps.read_raw_posts(spark, str(path)), ps.parse_raw_lines(spark.read.text(str(path)))):
+        assert sorted(r.post_id for r in ps.extract_posts(raw).collect()) == [1, 2, 3]
+        assert ps.rejected_posts(raw).count() == len(bad)
