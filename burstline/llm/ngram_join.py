@@ -371,14 +371,19 @@ def _links(docs: DataFrame, measured: DataFrame, classes: DataFrame, params: Joi
     """(node, root) of the sets that are linked with another one."""
     keys = _prefixes(docs, _common(measured), params, seed)
     tree = Window.partitionBy("key")
-    keys = keys.select("*", F.min("h").over(tree).alias("centre"), F.max("h").over(tree).alias("last"))
-    members = cut(keys.where("centre <> last").select("key", "h", "n", "centre").distinct())
+    keys = keys.select("*", F.min("h").over(tree).alias("first"), F.max("h").over(tree).alias("last"))
+    members = cut(keys.where("first <> last").select("key", "h", "n").distinct()
+                  .withColumn("crowd", F.count("*").over(tree)))
     points = classes.select("h", "n", "point")
+    # the centre of a tree is the set that meets most others: that of which the rest are variants
+    degree = members.groupBy("h").agg(F.sum("crowd").alias("degree"))
+    centred = cut(members.join(degree, "h").select(
+        "key", "h", F.max(F.struct("degree", "h")).over(tree)["h"].alias("centre")))
     # each set is first held against its commonest centre
-    votes = members.where("h <> centre").groupBy(F.col("h").alias("a"), F.col("centre").alias("b")).agg(F.count("*").alias("votes"))
-    best = (_bounded(votes, points, params).groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best"))
-            .select("a", F.col("best.b").alias("b")))
-    best = cut(best)
+    votes = (centred.where("h <> centre").groupBy(F.col("h").alias("a"), F.col("centre").alias("b"))
+             .agg(F.count("*").alias("votes")))
+    best = cut(_bounded(votes, points, params).groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best"))
+               .select("a", F.col("best.b").alias("b")))
     both = F.explode(F.array("a", "b")).alias("h")
     star = cut(_verified(best, cut(_sets_of(docs, best.select(both).distinct(), params, seed)), params))
     roots = components(star)
