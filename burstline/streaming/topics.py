@@ -5,6 +5,7 @@ state lies in tables below `out_dir`, one folder per micro-batch, and a micro-ba
 folders of earlier ones: run again after a failure, it overwrites its own folders with the same rows.
 
     state     open window, newest second and horizon after the batch (one row)
+    seen      ids of posts that came in, with their second
     posts     staged posts with their window
     windows   closed windows with number, history block and place in it
     term_df   posts per term of closed windows, for the history of later ones
@@ -32,6 +33,7 @@ from burstline.params import TopicParams
 from burstline.plans.topics import corpus_of_windows, topics_of_corpus
 from burstline.sources.posts import first_by_post_id
 
+_SEEN = "post_id long, second long, batch long"
 _STATE = "open_anchor long, newest long, horizon long"
 _WINDOWS = "window_id long, window_seq int, block long, place int, batch long"
 _TERM_DF = "window_id long, term string, df long, block long, batch long"
@@ -44,6 +46,9 @@ class TopicStream:
     With `anchored` a window closes when a post at or after its end arrives, and that post is in no
     window; older posts join the open window. Otherwise windows are aligned and close once the
     newest post is `delay_minutes` past their end; posts of closed windows are dropped.
+
+    As in batch, of posts with one id the first counts, before spam is looked at and windows are made: a
+    later post with an id that came in within `seen_minutes` of event time is dropped.
     """
 
     out_dir: str
@@ -54,6 +59,7 @@ class TopicStream:
     stop_words: Sequence[str] = tuple(STOP_WORDS)
     spam_phrases: Sequence[str] = tuple(SPAM_PHRASES)
     dedupe: bool = True
+    seen_minutes: float = 24 * 60
 
     def start(self, posts: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         writer = posts.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
@@ -62,6 +68,8 @@ class TopicStream:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = self._state(spark, batch_id - 1)
+        if self.dedupe:
+            batch = self._unseen(batch, batch_id, before)
         staged = self._stage(fl.spam_filter(batch, self.spam_phrases), before)
         staged.write.mode("overwrite").partitionBy("window_id").parquet(self._folder("posts", batch_id))
 
@@ -91,6 +99,16 @@ class TopicStream:
         spark.createDataFrame([(anchor, newest, horizon)], _STATE).coalesce(1).write.mode("overwrite").parquet(
             self._folder("state", batch_id))
 
+    def _unseen(self, batch: DataFrame, batch_id: int, before: dict) -> DataFrame:
+        seen = self._read(batch.sparkSession, "seen", _SEEN).filter(F.col("batch") < batch_id)
+        if before["newest"] is not None:
+            seen = seen.filter(F.col("second") >= before["newest"] - int(self.seen_minutes * 60))
+        fresh = cut(first_by_post_id(batch).join(seen.select("post_id").distinct(), "post_id", "left_anti")
+                    .select(*batch.columns))
+        fresh.select("post_id", wn.epoch_second(F.col("ts")).alias("second")).write.mode("overwrite").parquet(
+            self._folder("seen", batch_id))
+        return fresh
+
     def _stage(self, clean: DataFrame, before: dict) -> DataFrame:
         if self.anchored:
             opened = before["open_anchor"]
@@ -105,8 +123,6 @@ class TopicStream:
         spark = closed.sparkSession
         if closed.isEmpty():
             return
-        if self.dedupe:
-            closed = first_by_post_id(closed)
         earlier = self._read(spark, "windows", _WINDOWS).filter(F.col("batch") < batch_id)
         done = earlier.agg(F.max("window_seq")).first()[0] or 0
         size = self.params.history_windows

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burstline import TopicParams
+from burstline.functions.words import SPAM_PHRASES
 from burstline.plans import topics as pt
 from burstline.sources import posts as ps
 from burstline.sources import tables as tb
@@ -13,10 +14,16 @@ PARAMS = TopicParams(window_minutes=25, min_df_floor=2, cluster_floor=2)
 @pytest.fixture(scope="module")
 def posts(spark, sf_dir):
     raw = ps.language_filter(tb.document_posts(spark, sf_dir)).withColumn("created_at", F.lit(""))
-    return raw.select(
+    once = raw.select(
         "ts", "created_at", "post_id", "text", "hashtags", "users",
         F.col("media_urls").alias("urls"), "media_urls",
         F.lit(1).cast("long").alias("n_followers"), F.lit(1).cast("long").alias("n_friends"))
+    # ids that come again: in the same window, in a later one, and first as spam
+    again = once.filter("post_id % 5 = 0").withColumn("ts", F.expr("ts + interval 70 minutes"))
+    soon = once.filter("post_id % 7 = 0").withColumn("ts", F.expr("ts + interval 30 seconds"))
+    spam = once.filter("post_id % 11 = 0").withColumn("ts", F.expr("ts - interval 20 seconds")).withColumn(
+        "text", F.concat("text", F.lit(" " + SPAM_PHRASES[0])))
+    return once.unionByName(again).unionByName(soon).unionByName(spam)
 
 
 @pytest.mark.parametrize("anchored", [False, True])
