@@ -7,11 +7,12 @@ its last suffix, finds where the new suffixes belong from the transform so far,
 and the suffixes in one sequential pass. After as many rounds as the longest segment has bytes, suffixes
 that share their first `length` bytes stand together; common prefixes are compared up to that length.
 
-To spread the work, every window of `length` bytes has an anchor, the smallest hash of the short strings
-inside it; runs of windows with one anchor are a segment, so equal windows always meet under the same
-anchor, wherever they come from. Anchors that occur once in the whole corpus cannot repeat anything: only
-segments whose anchor occurs again are made, each once in a batch of documents however often it occurs
-there, and dealt out by anchor. Each round's arrays are in memory, as the segments of a task are bounded;
+Later copies of whole texts go at once, and are left out of the search. To spread the rest, every window of `length` bytes has an anchor, the first place in it where the hash of a
+short string is smallest; windows with one anchor are a segment, so equal windows always meet under the same
+anchor hash, wherever they come from. An anchor that lies in the left half of a window has a string of fixed
+length on its right inside the window, else on its left; where those strings occur once in the whole
+corpus, the windows cannot repeat anything. Only segments with such a string that occurs again are made, each
+once in a batch of documents however often it occurs there, and dealt out by anchor. Each round's arrays are in memory, as the segments of a task are bounded;
 what goes between tasks are shuffled and written tables.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstline.lineage import cut
-from burstline.llm.hashing import batches
+from burstline.llm.hashing import batches, mixed
 from burstline.llm.text import text_or_empty
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -39,10 +40,19 @@ _NO_ID = (1 << 63) - 1
 @dataclass(frozen=True)
 class RepeatParams:
     length: int = 50  # bytes
-    anchor: int = 16  # bytes of an anchor; 16 is what the hash below reads
-    run: int = 64  # windows in a segment at most
-    task_bytes: int = 8 << 20  # of text for each task that sorts segments
-    filter_bits: int = 31  # the filter of anchors has at most 2 ** filter_bits bits (256 MB)
+    task_bytes: int = 2 << 20  # of text for each task that sorts segments
+    key_bytes: int = 16 << 20  # of text for each task that counts strings beside anchors
+    common: int = 512  # an anchor that occurs so often, as counted in batches that have it `often` times, is common
+    often: int = 4
+    filter_bits: int = 31  # the filter of such strings has at most 2 ** filter_bits bits (256 MB)
+
+
+# later copies of whole texts are left out of the search by a list that every task gets, up to this many; else by a join
+SMALL_TABLE = 500_000
+# bytes of an anchor
+_ANCHOR = 16
+# common anchors that every task is sent, at most
+_MAX_COMMON = 200_000
 
 
 # ---- anchors and segments ---------------------------------------------------------------------------------
@@ -57,6 +67,7 @@ def _anchor_hashes(data: np.ndarray) -> np.ndarray:
         part = np.frombuffer(raw, "<u8", count=(len(raw) - k) // 8, offset=k)
         own = eight[k::8]
         own[:] = part[:len(own)]
+    # 16 bytes are two numbers of 8
     x = eight[:-8] * _C1 + (eight[8:] ^ (eight[8:] >> np.uint64(31))) * _C2
     x ^= x >> np.uint64(29)
     x *= _C3
@@ -65,16 +76,24 @@ def _anchor_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
-    """Least of `width` neighbours from each place on, as far as there are so many."""
-    done, out = 1, x
-    while 2 * done <= width:
-        out = np.minimum(out[:-done], out[done:])
-        done *= 2
-    return np.minimum(out[:len(out) - (width - done)], out[width - done:]) if width > done else out
-
-
-def runs_of(texts: list[bytes], params: RepeatParams) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buffer, document, start, windows, anchor) of the runs of windows with one anchor, in order."""
+    """Place of the first least of `width` neighbours from each place on, as far as there are so many."""
+    at, done = np.arange(len(x), dtype=np.int32), 1
+    while done < width:
+        step = min(done, width - done)
+        left, right = at[:len(at) - step], at[step:]
+        worse, better = x[:len(x) - step], x[step:]
+        less = better < worse
+        at, x = np.where(less, right, left), np.where(less, better, worse)
+        done += step
+    return at
+
+
+def runs_of(texts: list[bytes], params: RepeatParams) -> tuple:
+    """(buffer, document, start, windows, anchor, keys, lead) of the runs of windows with one anchor, in order.
+
+    `keys` has two columns, hashes of the strings right and left of the anchor; 0 where no window of the run has
+    it. `lead` is the number of bytes between the run's start and its anchor.
+    """
     buffer = b"\xff".join(texts) + b"\xff"
     data = np.frombuffer(buffer, np.uint8)
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
@@ -82,11 +101,13 @@ def runs_of(texts: list[bytes], params: RepeatParams) -> tuple[bytes, np.ndarray
     windows = np.maximum(lengths - params.length + 1, 0)
     none = np.empty(0, np.int64)
     if not windows.any():
-        return buffer, none, none, none, np.empty(0, np.uint64)
-    least = _sliding_least(_anchor_hashes(data), params.length - params.anchor + 1)
+        return buffer, none, none, none, np.empty(0, np.uint64), np.empty((0, 2), np.uint64), none
+    hashes = _anchor_hashes(data)
+    spare = params.length - _ANCHOR  # an anchor has so many places in a window
+    place = _sliding_least(hashes, spare + 1)
     has = np.flatnonzero(windows)
     change = np.zeros(len(data) + 1, bool)
-    change[1:len(least)] = least[1:] != least[:-1]
+    change[1:len(place)] = place[1:] != place[:-1]
     change[begins[has]] = True
     change[begins[has] + windows[has]] = True  # what follows the last window of a document is no run
     start = np.flatnonzero(change)
@@ -94,24 +115,28 @@ def runs_of(texts: list[bytes], params: RepeatParams) -> tuple[bytes, np.ndarray
     doc = np.searchsorted(begins, start, side="right") - 1
     real = start < begins[doc] + windows[doc]
     start, size, doc = start[real], size[real], doc[real]
-    # long runs are cut: which windows share a segment does not matter
-    pieces = -(-size // params.run)
-    if (pieces > 1).any():
-        of = np.repeat(np.arange(len(start)), pieces)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start, doc, size = start[of] + nth * params.run, doc[of], np.minimum(size[of] - nth * params.run, params.run)
-    return buffer, doc, start - begins[doc], size, least[start]
+    at = place[start].astype(np.int64)
+    # with at most `half` bytes of the window in front of its anchor, as many stand behind it, and the other way round
+    half = spare // 2
+    keys = np.zeros((len(at), 2), np.uint64)
+    for side, (wanted, far) in enumerate(((at - (start + size - 1) <= half, at + half), (at - start > half, at - half))):
+        one, two = hashes[at[wanted]], hashes[far[wanted]]
+        # strings of up to three anchors' length are told by the anchors at their ends and in the middle
+        middle = hashes[(at[wanted] + far[wanted]) // 2]
+        both = ((one * _C1 + middle) * _C2 + two) * _C3 + np.uint64(side)
+        keys[wanted, side] = (both ^ (both >> np.uint64(32))) | np.uint64(1)
+    return buffer, doc, start - begins[doc], size, mixed(hashes[at]), keys, at - start
 
 
 def _parts(texts: list[bytes]) -> Iterator[range]:
     yield from batches(texts, [len(t) for t in texts])
 
 
-# ---- which anchors occur again ----------------------------------------------------------------------------
+# ---- which strings occur again ----------------------------------------------------------------------------
 
 
-def _tasks_bits(total: int, params: RepeatParams) -> int:
-    return max(0, (total // params.task_bytes).bit_length())
+def _task_bits(total: int, task_bytes: int) -> int:
+    return (total // task_bytes).bit_length()
 
 
 def _shift(x: np.ndarray, bits: int) -> np.ndarray:
@@ -119,88 +144,142 @@ def _shift(x: np.ndarray, bits: int) -> np.ndarray:
     return (x >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
 
 
-def _again(rows: DataFrame, bits: int, params: RepeatParams) -> DataFrame:
-    """(task, n, anchors): anchors that occur more than once; each batch sends an anchor once, lowest bit set if it
-    has it more than once."""
+def _slices(values: np.ndarray, bits: int) -> dict[int, np.ndarray]:
+    """Sorted values by task."""
+    task = _shift(values, bits)
+    edges = np.append(np.flatnonzero(np.diff(task, prepend=-1)), len(task))
+    return {int(task[a]): values[a:b] for a, b in zip(edges, edges[1:])}
+
+
+def _key_bytes(total: int) -> int:
+    """Bytes of a key that are sent: with so many, about one of a hundred keys agrees with another by chance at most."""
+    return min(8, max(5, -(-(total.bit_length() + 5) // 8)))
+
+
+def _again(rows: DataFrame, bits: int, width: int, params: RepeatParams) -> DataFrame:
+    """(task, n, keys, common): keys that occur more than once, and common anchors with their counts.
+
+    A batch sends the first `width` bytes of a key once, their last bit set if it has the key more than once; keys
+    that differ later only make segments that repeat nothing.
+    """
+    drop = np.uint64(64 - 8 * width)
+    one = drop + np.uint64(1)
 
     def sent(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
             raw = f.column("text").cast(pa.binary()).to_pylist()
             for part in _parts(raw):
-                *_, size, anchor = runs_of([raw[i] for i in part], params)
-                found, count = np.unique(anchor & ~np.uint64(1), return_counts=True)
-                found |= (count > 1).astype(np.uint64)
-                task = _shift(found, bits)
-                edges = np.append(np.flatnonzero(np.diff(task, prepend=-1)), len(task))
-                if len(found):
-                    yield pa.RecordBatch.from_pydict({
-                        "task": pa.array(task[edges[:-1]]),
-                        "anchors": [found[a:b].tobytes() for a, b in zip(edges, edges[1:])]})
+                *_, anchor, keys, _ = runs_of([raw[i] for i in part], params)
+                found, count = np.unique(keys[keys > 0] >> one, return_counts=True)
+                marked = (found << one) | ((count > 1).astype(np.uint64) << drop)
+                often, times = np.unique(anchor, return_counts=True)
+                often, times = often[times >= params.often], times[times >= params.often]
+                by_task, common, at = _slices(marked, bits), _slices(often, bits), 0
+                out: list[list] = [[], [], []]
+                for task in sorted({*by_task, *common}):
+                    short = (by_task.get(task, marked[:0]) >> drop).view(np.uint8).reshape(-1, 8)[:, :width]
+                    own = common.get(task, often[:0])
+                    both = np.stack([own, times[at:at + len(own)].astype(np.uint64)])
+                    at += len(own)
+                    for col, value in zip(out, (task, short.tobytes(), both.tobytes())):
+                        col.append(value)
+                if out[0]:
+                    yield pa.RecordBatch.from_pydict({"task": out[0], "keys": out[1], "common": out[2]})
 
     def met(key: tuple, table: pa.Table) -> pa.Table:
-        every = np.frombuffer(b"".join(table.column("anchors").to_pylist()), np.uint64)
-        every = np.sort(every)
-        plain = every & ~np.uint64(1)
+        short = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, width)
+        every = np.zeros((len(short), 8), np.uint8)
+        every[:, :width] = short
+        every = np.sort(every.view(np.uint64).ravel())
+        plain = every >> np.uint64(1)
         twice = (every & np.uint64(1)).astype(bool)
         twice[1:] |= plain[1:] == plain[:-1]
-        found = np.unique(plain[twice])
-        return pa.table({"task": [key[0].as_py()], "n": [len(found)], "anchors": [found.tobytes()]})
+        found = np.unique(plain[twice]) << one
+        counted = [np.frombuffer(c, np.uint64).reshape(2, -1) for c in table.column("common").to_pylist()]
+        anchors, of = np.unique(np.concatenate([c[0] for c in counted]), return_inverse=True)
+        times = np.bincount(of, weights=np.concatenate([c[1] for c in counted]), minlength=len(anchors)).astype(np.int64)
+        common = np.stack([anchors, times.astype(np.uint64)])[:, times >= params.common]
+        return pa.table({"task": [key[0].as_py()], "n": [len(found)], "keys": [found.tobytes()], "common": [common.tobytes()]})
+
+    return (rows.mapInArrow(sent, "task long, keys binary, common binary").groupBy("task")
+            .applyInArrow(met, "task long, n long, keys binary, common binary"))
+
 
-    return (rows.mapInArrow(sent, "task long, anchors binary").groupBy("task")
-            .applyInArrow(met, "task long, n long, anchors binary"))
+def _common(again: DataFrame) -> np.ndarray:
+    """The commonest anchors, sorted; at most _MAX_COMMON."""
+    best = np.empty((2, 0), np.uint64)
+    for r in again.where(F.length("common") > 0).select("common").toLocalIterator():
+        best = np.concatenate([best, np.frombuffer(r["common"], np.uint64).reshape(2, -1)], axis=1)
+        if best.shape[1] > 2 * _MAX_COMMON:
+            best = best[:, np.argsort(best[1])[-_MAX_COMMON:]]
+    return np.sort(best[0, np.argsort(best[1])[-_MAX_COMMON:]])
 
 
 def _filter(again: DataFrame, bits: int, params: RepeatParams) -> tuple[np.ndarray, int]:
-    """A bit map over the first `wide` bits of the anchors in `again`, of a size that keeps it sparse up to a bound."""
+    """A bit map over the first `wide` bits of the keys in `again`, of a size that keeps it sparse up to a bound."""
     total = again.agg(F.sum("n")).first()[0] or 0
-    wide = min(max((16 * total).bit_length(), bits, 12), max(params.filter_bits, bits))
+    wide = min(max((16 * total).bit_length(), bits + 3), max(params.filter_bits, bits + 3))
     step = 1 << (wide - bits)
 
     def mapped(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            for task, raw in zip(f.column("task").to_pylist(), f.column("anchors").to_pylist()):
+            for task, raw in zip(f.column("task").to_pylist(), f.column("keys").to_pylist()):
                 own = np.zeros(step, bool)
                 own[_shift(np.frombuffer(raw, np.uint64), wide) - task * step] = True
                 yield pa.RecordBatch.from_pydict({"task": [task], "map": [np.packbits(own).tobytes()]})
 
-    out = np.zeros(1 << wide, bool) if step < 8 else np.zeros((1 << wide) // 8, np.uint8)
+    out = np.zeros((1 << wide) // 8, np.uint8)
     for r in again.mapInArrow(mapped, "task long, map binary").toLocalIterator():
-        own = np.frombuffer(r["map"], np.uint8)
-        if step < 8:
-            out[r["task"] * step:(r["task"] + 1) * step] = np.unpackbits(own)[:step]
-        else:
-            out[r["task"] * step // 8:(r["task"] + 1) * step // 8] = own
-    return (np.packbits(out) if step < 8 else out), wide
+        out[r["task"] * step // 8:(r["task"] + 1) * step // 8] = np.frombuffer(r["map"], np.uint8)
+    return out, wide
 
 
 # ---- segments ---------------------------------------------------------------------------------------------
 
 
-def _segments(rows: DataFrame, bitmap: np.ndarray, wide: int, bits: int, params: RepeatParams) -> DataFrame:
+def _segments(rows: DataFrame, bitmap: np.ndarray, wide: int, common: np.ndarray, bits: int, params: RepeatParams) -> DataFrame:
     """Per batch and task: the distinct segments with the least id that has each, and where they occur.
 
     (batch, task, segments, sizes, least, owners): sizes and least are arrays, owners a packed table of segment
     number, doc_id, key and start.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    shared = rows.sparkSession.sparkContext.broadcast((bitmap, common))
     reach = params.length - 1
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        bitmap, common = shared.value
         batch = TaskContext.get().partitionId() << 33
         for f in frames:
             raw = f.column("text").cast(pa.binary()).to_pylist()
-            ids, keys = f.column("id").to_numpy(), f.column("key").to_numpy()
+            ids, own_keys = f.column("id").to_numpy(), f.column("key").to_numpy()
             for part in _parts(raw):
-                buffer, doc, start, size, anchor = runs_of([raw[i] for i in part], params)
-                slot = _shift(anchor, wide)
-                hit = np.flatnonzero((bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
+                buffer, doc, start, size, anchor, keys, lead = runs_of([raw[i] for i in part], params)
+                slot = _shift(keys, wide)
+                again = ((bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool) & (keys > 0)
+                # windows with the string on the right begin `half` bytes before the anchor, or later
+                first = lead - (params.length - _ANCHOR) // 2
+                skip = np.where(again[:, 1], 0, np.maximum(first, 0))
+                size = np.where(again[:, 0], size, np.minimum(size, np.maximum(first, 0))) - skip
+                hit = np.flatnonzero(again.any(axis=1) & (size > 0))
                 if not len(hit):
                     continue
                 batch += 1
-                doc, start, size, task = doc[hit], start[hit], size[hit], _shift(anchor[hit], bits)
+                doc, start, size, task = doc[hit], (start + skip)[hit], size[hit], anchor[hit]
+                if len(common):
+                    near = np.minimum(np.searchsorted(common, task), len(common) - 1)
+                    alone = np.where(common[near] == task, size, 1)
+                    of = np.repeat(np.arange(len(task)), alone)
+                    nth = np.arange(len(of)) - np.repeat(np.cumsum(alone) - alone, alone)
+                    single = (common[near] == task)[of]
+                    doc, start, size, task = doc[of], start[of] + nth, np.where(single, 1, size[of]), task[of]
                 begins = np.cumsum([0] + [len(raw[i]) + 1 for i in part])
                 at = begins[doc] + start
+                if len(common) and single.any():
+                    # dealt out by all anchors' worth of bytes of the one window
+                    h, far = _anchor_hashes(np.frombuffer(buffer, np.uint8)), params.length - _ANCHOR
+                    own = at[single]
+                    task[single] = mixed(((h[own] * _C1 + h[own + far // 3]) * _C2 + h[own + 2 * far // 3]) * _C3 + h[own + far])
+                task = _shift(task, bits)
                 texts = [buffer[a:b] for a, b in zip(at.tolist(), (at + size + reach).tolist())]
                 doc += part.start
                 order = np.argsort(task, kind="stable")
@@ -212,8 +291,8 @@ def _segments(rows: DataFrame, bitmap: np.ndarray, wide: int, bits: int, params:
                     of = np.array([numbers.setdefault(texts[i], len(numbers)) for i in own.tolist()], np.int64)
                     least = np.full(len(numbers), _NO_ID)
                     np.minimum.at(least, of, ids[doc[own]])
-                    owners = np.stack([of, ids[doc[own]], keys[doc[own]], start[own]])
-                    for col, value in zip(out, (batch, int(task[own[0]]), b"".join(numbers),
+                    owners = np.stack([of, ids[doc[own]], own_keys[doc[own]], start[own]])
+                    for col, value in zip(out, (batch, int(task[own[0]]), zlib.compress(b"".join(numbers), 1),
                                                 np.array([len(s) for s in numbers], "<i4").tobytes(), least.tobytes(),
                                                 zlib.compress(owners.tobytes(), 1))):
                         col.append(value)
@@ -295,7 +374,7 @@ def _judged(made: DataFrame, params: RepeatParams) -> DataFrame:
         least: list[int] = []
         members: list[list[int]] = []
         for raw, sizes, ids in zip(*(table.column(c).to_pylist() for c in ("segments", "sizes", "least"))):
-            ends = np.cumsum(np.frombuffer(sizes, "<i4")).tolist()
+            raw, ends = zlib.decompress(raw), np.cumsum(np.frombuffer(sizes, "<i4")).tolist()
             own = []
             for a, b, i in zip([0, *ends], ends, np.frombuffer(ids, np.int64).tolist()):
                 n = numbers.setdefault(raw[a:b], len(numbers))
@@ -369,6 +448,17 @@ def merged_spans(spans: list[bytes]) -> np.ndarray:
     return np.stack([every[begin, 0], reach[np.append(begin[1:] - 1, len(every) - 1)]], axis=1)
 
 
+# the span of a whole text, however long
+_ALL = np.array([0, _NO_ID], np.int64).tobytes()
+
+
+def _later_copies(rows: DataFrame) -> DataFrame:
+    """(id, key, n_bytes) of the rows whose whole text a row with a smaller id has. What they hold, that row holds."""
+    digests = cut(rows.select("id", "key", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")))
+    least = digests.groupBy("digest", "n_bytes").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    return cut(digests.join(least, ["digest", "n_bytes"]).where("id > least").select("id", "key", "n_bytes").distinct())
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                    params: RepeatParams = RepeatParams()) -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes).
@@ -377,23 +467,29 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     null ids remove nothing from each other; rows with one id remove nothing from each other; other columns
     are ignored; an empty table gives no rows.
     """
-    if params.anchor != 16 or params.length < 17:
-        raise ValueError("strings must be longer than the 16 bytes of an anchor")
+    if not 2 * _ANCHOR < params.length <= 5 * _ANCHOR:
+        raise ValueError("strings of 33 to 80 bytes can be searched")
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id", "text", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("doc_id", "text").alias("key"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = _tasks_bits(total, params)
-    bitmap, wide = _filter(cut(_again(rows.select("text"), bits, params)), bits, params)
-    made = cut(_segments(rows.select("text", "id", "key"), bitmap, wide, bits, params))
-    spans = _spans(made, cut(_judged(made, params)), params)
-    spans = cut(spans.groupBy("id", "key").agg(F.collect_list("spans").alias("spans")))
+    copies = _later_copies(rows)
+    few = copies.count() <= SMALL_TABLE
+    others = rows.join(F.broadcast(copies) if few else copies, ["id", "key"], "left_anti")
+    total = others.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    key_bits, bits = _task_bits(total, params.key_bytes), _task_bits(total, params.task_bytes)
+    again = cut(_again(others.select("text"), key_bits, _key_bytes(total), params))
+    bitmap, wide = _filter(again, key_bits, params)
+    made = cut(_segments(others.select("text", "id", "key"), bitmap, wide, _common(again), bits, params))
+    spans = _spans(made, cut(_judged(made, params)), params).groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
+    gone = copies.where(F.col("n_bytes") >= params.length).select(
+        "id", "key", F.array(F.lit(_ALL)).alias("spans"))
+    spans = cut(spans.unionByName(gone))
 
     def applied(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
             out: list[list] = [[], [], [], []]
             for raw, lists in zip(f.column("text").cast(pa.binary()).to_pylist(), f.column("spans").to_pylist()):
-                gone = merged_spans(lists) if lists else np.empty((0, 2), np.int64)
+                gone = np.minimum(merged_spans(lists), len(raw)) if lists else np.empty((0, 2), np.int64)
                 ends = [0, *gone[:, 1].tolist()]
                 kept = b"".join(raw[a:b] for a, b in zip(ends, [*gone[:, 0].tolist(), len(raw)]))
                 for col, value in zip(out, (len(raw), len(raw) - len(kept), len(gone), kept)):
