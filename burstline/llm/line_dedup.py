@@ -87,7 +87,8 @@ def delete_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     touched = F.col("gone").isNotNull()
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1),
                           F.transform("gone", lambda i: F.get(F.col("at"), i)))
-    return (rows.join(gone, ["id", "key"], "left").withColumn("lines", lines)
+    # the same join at every size, so that what small tables cost tells what large ones will
+    return (rows.join(gone.hint("merge"), ["id", "key"], "left").withColumn("lines", lines)
             .withColumn("at", F.when(touched, at))
             .select("doc_id", F.size("lines").cast("long").alias("n_lines"),
                     F.when(touched, F.size("gone")).otherwise(0).cast("long").alias("n_removed"),
