@@ -4,7 +4,7 @@ One pass of the standard library's streaming parser turns a page into blocks (th
 of text between tags that break the flow, each with its tags, its link text and the elements it stands in.
 The text-to-tag ratio of each block is smoothed with a Gaussian and clustered against a threshold, the
 standard deviation of the page. Blocks above it are content; they select the region they stand in: the
-innermost element around the heaviest content. Inside that region every block counts, so that short
+innermost container around all of them. Inside that region every block counts, so that short
 paragraphs and headings next to long ones are kept, while elements that by their name or class hold
 navigation, adverts, forms, comments and the like are left out everywhere.
 
@@ -45,6 +45,8 @@ _WHOLE = frozenset(["html", "body", "main"])
 _IN_HEAD = frozenset("title style script meta link base noscript template head".split())
 # what holds text of an article where no element marks the article itself
 _TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dd dt td th figcaption caption".split())
+# what may be the region where no article or main element is; a quote is part of a text, not its container
+_CONTAINERS = frozenset("article main div section td center".split())
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _IMPLIED_END = {"p": BLOCK_TAGS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
                 "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
@@ -181,6 +183,10 @@ def smoothed(values: list[float], params: RatioParams) -> list[float]:
     return out
 
 
+def _of_text(b: _Block, names: dict[int, str]) -> bool:
+    return any(names[e] in _TEXT_TAGS for e in b.path[-2:])
+
+
 def content_blocks(blocks: list[_Block], names: dict[int, str], params: RatioParams = RatioParams()) -> list[str]:
     """Texts of the blocks of the content region, in page order."""
     if not blocks:
@@ -190,25 +196,31 @@ def content_blocks(blocks: list[_Block], names: dict[int, str], params: RatioPar
     mean = sum(smooth) / len(smooth)
     threshold = min(math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)), mean)
     hot = [x >= threshold and x > 0 for x in smooth]
-    weight: dict[int, int] = {}
-    heaviest = 0
-    for b, is_hot in zip(blocks, hot):
-        if is_hot:
-            heaviest += len(b.text)
-            for e in b.path:
-                weight[e] = weight.get(e, 0) + len(b.text)
+    heaviest = sum(len(b.text) for b, is_hot in zip(blocks, hot) if is_hot)
     if not heaviest:
         return []
-    # an article or main element that holds most of the content is the region, else the innermost container
-    most = [e for e, w in weight.items() if 2 * w > heaviest]
-    marked = [e for e in most if names[e] in ("article", "main")]
-    region = max(marked or [e for e in most if names[e] in ("div", "section", "td", "center", "blockquote")], default=0)
-    if region:
-        return [b.text for b in blocks if region in b.path]
-    # the page itself is the region: its ends are cut to clustered blocks and to those that hold article text
-    keep = [i for i, b in enumerate(blocks) if not linked[i]
-            and (hot[i] or bool(b.path) and any(names[e] in _TEXT_TAGS for e in b.path[-2:]))]
-    return [b.text for i, b in enumerate(blocks) if keep and keep[0] <= i <= keep[-1] and not linked[i]]
+    # what the region has to hold: clustered blocks of their own weight or in an element of article text
+    core = [i for i, b in enumerate(blocks) if hot[i] and not linked[i]
+            and (len(b.text) / max(1, b.tags) >= threshold or _of_text(b, names))]
+    core = core or [i for i, is_hot in enumerate(hot) if is_hot]
+    marked = {i: [e for e in blocks[i].path if names[e] in ("article", "main")] for i in core}
+    inside = [i for i in core if marked[i]]
+    if 2 * sum(len(b.text) for b, is_hot in zip(blocks, hot) if is_hot
+               and any(names[e] in ("article", "main") for e in b.path)) > heaviest and inside:
+        # the article or main element that holds all such blocks of these elements, else the outermost ones together
+        shared = set.intersection(*(set(marked[i]) for i in inside))
+        regions = {max(shared)} if shared else {marked[i][0] for i in inside}
+        return [b.text for b in blocks if not regions.isdisjoint(b.path)]
+    holders = {i: [e for e in blocks[i].path if names[e] in _CONTAINERS] for i in core}
+    shared = set.intersection(*(set(h) for h in holders.values()))
+    if shared:
+        return [b.text for b in blocks if max(shared) in b.path]
+    # the page itself is the region: its ends are cut to clustered blocks, to those that hold article text and to
+    # all of the innermost containers of content; blocks of links stay in such containers only
+    around = {h[-1] for h in holders.values() if h}
+    held = [not around.isdisjoint(b.path) for b in blocks]
+    keep = [i for i, b in enumerate(blocks) if held[i] or not linked[i] and (hot[i] or _of_text(b, names))]
+    return [b.text for i, b in enumerate(blocks) if keep and keep[0] <= i <= keep[-1] and (held[i] or not linked[i])]
 
 
 def main_text(html: str | None, params: RatioParams = RatioParams()) -> str:

@@ -26,6 +26,21 @@ def test_pages(name):
     assert main_text(html).split("\n\n") == [FIRST if w == 1 else w for w in want]
 
 
+def test_region_holds_all_content():
+    a, b, c = ("alpha " * 40).strip(), ("beta " * 160).strip(), ("gamma " * 90).strip()
+    pages = {
+        f"<div id=content><h1>T</h1><p>{a}</p><blockquote>{b}</blockquote><p>{a}</p></div>": ["T", a, b, a],
+        f"<div><section><h2>S</h2><p>{b}</p></section><section><p>{c}</p><p>Short.</p></section></div>": ["S", b, c, "Short."],
+        f"<body><section><p>{b}</p></section><section><p>{c}</p><p><a href=x>The source</a></p></section></body>": [b, c, "The source"],
+        f"<main><article><h2>A</h2><p>{b}</p></article><article><h2>B</h2><p>{c}</p></article></main>": ["A", b, "B", c],
+        f"<div><article><p>{b}</p></article><article><p>{c}</p></article></div><div>Imprint</div>": [b, c],
+        f"<div><div><p>{b}</p></div><div><div><p>{c}</p></div><p>{a}</p></div></div>": [b, c, a],
+        f"<main><div>Home</div><article><p>{b}</p><p>{c}</p></article><div>More</div></main>": [b, c],
+    }
+    for html, want in pages.items():
+        assert main_text(html).split("\n\n") == want
+
+
 def test_no_content_and_broken_markup():
     assert main_text(None) == main_text("") == main_text("<p>") == main_text("<script>x</script>") == ""
     for broken in ("<![", "<!DOCTYPE", "<![foo[ x", "<article><p>a</p", "</p></div>", "&#xFFFFFFFF; <p", "<a <b>c"):
