@@ -161,6 +161,10 @@ class PageBlocks(HTMLParser):
         self._text.clear()
         self._linked = 0
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        # "<![" outside of SVG and MathML starts a comment that ends at ">", whatever stands in it
+        return self.parse_bogus_comment(i, report)
+
     def close(self) -> None:
         super().close()
         self._end_block()
@@ -228,11 +232,8 @@ def main_text(html: str | None, params: RatioParams = RatioParams()) -> str:
     if not html:
         return ""
     page = PageBlocks()
-    try:
-        page.feed(html)
-        page.close()
-    except (AssertionError, ValueError):  # the parser gives up on some broken declarations; what came before counts
-        page._end_block()
+    page.feed(html)
+    page.close()
     return "\n\n".join(content_blocks(page.blocks, page.names, params))
 
 

@@ -48,6 +48,12 @@ def test_no_content_and_broken_markup():
     assert main_text("just text") == "just text"
 
 
+def test_text_behind_broken_declarations_stays():
+    for broken in ("<![foo[ x ]]>", "<![1] x>", "<![if !IE]>", "<![CDATA[x]]>", "<![endif]-->", "<![>", "<! x>"):
+        text = main_text(f"<article><p>one</p>{broken}<p>two</p>{STORY}</article>")
+        assert text.split("\n\n")[0] == "one" and text.endswith("two\n\n" + FIRST)
+
+
 def test_table(spark):
     html = CASES["article"][0]
     long = "<article>" + STORY * 3000 + "</article>"
