@@ -1,7 +1,8 @@
 """Quality classifier: document evidence, shrunk through path and host towards a global prior.
 
-A logistic model judges each document by a few measured features; it is fitted on at most
-`max_train_rows` labelled rows. Hierarchical empirical Bayes then adds what is known of the site:
+A logistic model judges each document by general evidence over its whole text (hashed character n-grams, Unicode
+classes and how they follow each other, repeated word n-grams); it is fitted on at most `max_train_rows` labelled
+rows. Hierarchical empirical Bayes then adds what is known of the site:
 
 * the mean of all documents' probabilities is the prior of the hosts; the mean of a host, drawn to that
   prior, is the prior of its paths;
@@ -14,17 +15,25 @@ All counts are grouped sums over all rows, so a host that holds a third of them
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstline.lineage import cut
 from burstline.llm.text import text_or_empty
 
-FEATURES = ["symbols", "bars", "shouts", "capitals", "repeats", "few_words", "digits"]
+NGRAM = 4  # characters of a hashed n-gram
+_BUCKET_BITS = 11
+_KINDS = 6  # of characters: other, small or caseless letter, capital, number, punctuation or symbol, space
+_MEASURES = 5
+_DIM = _MEASURES + _KINDS * _KINDS + (1 << _BUCKET_BITS)
 # sites go to every task below this many rows, else they are joined
 SMALL_TABLE = 100_000
 _EDGE = 1e-6
@@ -38,40 +47,71 @@ class QualityParams:
     threshold: float = 0.5  # documents below this probability are rejected
 
 
-@dataclass(frozen=True)
-class DocumentModel:
-    intercept: float
-    weights: list[float]
+@cache
+def _kinds() -> np.ndarray:
+    """The kind of each code point."""
+    of = {"L": 1, "M": 1, "N": 3, "P": 4, "S": 4, "Z": 5}
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        name = unicodedata.category(chr(c))
+        out[c] = 2 if name in ("Lu", "Lt") else of.get(name[0], 0)
+    out[[9, 10, 11, 12, 13]] = 5
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-    def log_odds(self, feats: Column) -> Column:
-        out = F.lit(self.intercept)
-        for i, w in enumerate(self.weights):
-            out = out + F.lit(w) * feats[i]
+
+def evidence(text: str) -> np.ndarray:
+    """What the document model sees of a whole text, each number in 0..1: shares of marks, capitals, numbers and
+    repeated word n-grams, how short the text is, the shares of pairs of kinds of neighbouring characters, and
+    those of the hashed character n-grams."""
+    out = np.zeros(_DIM)
+    codes = _codes(text)
+    if not codes.size:
         return out
+    kinds = _kinds()[codes]
+    count = np.bincount(kinds, minlength=_KINDS) / codes.size
+    words = text.split()
+    again = 1 - len(set(zip(words, words[1:], words[2:]))) / (len(words) - 2) if len(words) > 2 else 0.0
+    for i, (share, half) in enumerate(((count[4], 0.05), (count[2], 0.3), (count[3], 0.2), (again, 0.1))):
+        out[i] = share / (share + half)
+    out[4] = 1 / max(1, len(words))
+    pairs = kinds[:-1] * np.uint8(_KINDS) + kinds[1:]
+    out[_MEASURES:_MEASURES + _KINDS * _KINDS] = np.sqrt(
+        np.bincount(pairs, minlength=_KINDS * _KINDS) / max(1, pairs.size))
+    lower = _codes(text.lower())
+    n = lower.size - NGRAM + 1
+    if n > 0:
+        h = np.zeros(n, np.uint32)
+        for k in range(NGRAM):
+            h = (h ^ lower[k:k + n]) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+        out[_MEASURES + _KINDS * _KINDS:] = np.sqrt(
+            np.bincount(h >> np.uint32(32 - _BUCKET_BITS), minlength=1 << _BUCKET_BITS) / n)
+    return out
+
+
+def _as_vector(text: str) -> SparseVector:
+    x = evidence(text)
+    at = np.flatnonzero(x)
+    return SparseVector(_DIM, at, x[at])
 
 
-def features(text: Column) -> Column:
-    """Array of FEATURES over the whole text, each in 0..1 and none growing with the length of ordinary prose."""
-    n = F.greatest(F.length(text), F.lit(1)).cast("double")
+@dataclass(frozen=True)
+class DocumentModel:
+    intercept: float
+    weights: list[float]
 
-    def saturating(share: Column, half: float) -> Column:
-        return share / (share + F.lit(half))
+    def log_odds(self, text: Column) -> Column:
+        """Of whole texts, which are not null."""
+        intercept, weights = self.intercept, np.array(self.weights)
 
-    def share(chars: str) -> Column:
-        counted = F.lit(0)
-        for c in chars:
-            counted = counted + F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
-        return counted / n
+        def judged(texts: pd.Series) -> pd.Series:
+            return pd.Series([intercept + float(evidence(t) @ weights) for t in texts], dtype="float64")
 
-    words = F.split(text, "[ \n]", -1)
-    n_words = F.size(words).cast("double")
-    again = F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)),
-                                       lambda a, b: (a == b) & (a != "")), lambda same: same))
-    capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) / n
-    digits = F.length(F.regexp_replace(text, "[^0-9]+", "")) / n
-    return F.array(
-        saturating(share("#$%&*"), 0.03), saturating(share("|"), 0.02), saturating(share("!"), 0.02),
-        saturating(capitals, 0.3), saturating(again / n_words, 0.1), F.lit(1.0) / n_words, saturating(digits, 0.2))
+        return F.pandas_udf(judged, "double")(text) if weights.any() else F.lit(intercept)
 
 
 def _probability(log_odds: Column) -> Column:
@@ -83,8 +123,8 @@ def _odds(p: Column) -> Column:
     return F.log(p / (F.lit(1.0) - p))
 
 
-def fit_document_model(feats: DataFrame, labels: DataFrame, params: QualityParams) -> DocumentModel:
-    """Logistic regression over at most `max_train_rows` labelled rows of `feats` (doc_id, feats).
+def fit_document_model(texts: DataFrame, labels: DataFrame, params: QualityParams) -> DocumentModel:
+    """Logistic regression over at most `max_train_rows` labelled rows of `texts` (doc_id, text).
 
     Labels: doc_id, quality; null ones are left out, and of several for one id the lowest counts. With
     labels of one kind only, or none, the model gives every document the same odds of 1000 to 1 (to 1
@@ -92,15 +132,22 @@ def fit_document_model(feats: DataFrame, labels: DataFrame, params: QualityParam
     """
     good = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
             .groupBy("doc_id").agg(F.min("quality").cast("double").alias("label")))
-    # the bounded sample: spread by the hash of the id, one row an id
-    rows = cut(feats.join(good, "doc_id").select(F.xxhash64("doc_id").alias("at"), "label", "feats")
-               .orderBy("at", "feats").limit(params.max_train_rows)
-               .select("label", array_to_vector("feats").alias("features")))
-    kinds = {r[0] for r in rows.select("label").distinct().collect()}
+    # the bounded sample: spread by the hash of the id; only hashes are sorted, the texts of the sample follow
+    keyed = texts.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    sample = cut(keyed.select("doc_id", "key").join(good, "doc_id")
+                 .orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(params.max_train_rows)
+                 .groupBy("doc_id", "key", "label").agg(F.count("*").cast("double").alias("n")))
+    kinds = {r[0] for r in sample.select("label").distinct().collect()}
     if len(kinds) < 2:
-        return DocumentModel(-6.9 if kinds == {0.0} else 6.9, [0.0] * len(FEATURES))
-    model = LogisticRegression(regParam=params.regularisation, maxIter=60).fit(rows)
-    return DocumentModel(float(model.intercept), [float(x) for x in model.coefficients])
+        return DocumentModel(-6.9 if kinds == {0.0} else 6.9, [0.0] * _DIM)
+    vector = F.udf(lambda text: _as_vector(text), VectorUDT())
+    rows = cut(keyed.join(F.broadcast(sample), ["doc_id", "key"])
+               .groupBy("doc_id", "key", "label", "n").agg(F.first("text").alias("text"))
+               .select("label", "n", vector("text").alias("features"))).coalesce(6)
+    # the sample is bounded, so a few tasks a round do; shares are on one scale as they are: scaled up to equal variance, rare n-grams would drown the others
+    model = LogisticRegression(regParam=params.regularisation, maxIter=60, standardization=False,
+                               weightCol="n").fit(rows)
+    return DocumentModel(float(model.intercept), [float(x) for x in model.coefficients.toArray()])
 
 
 def _pull(n_rows: float, n_groups: float, square_sum: float, between: float, within: float) -> float:
@@ -153,11 +200,11 @@ class QualityModel:
     params: QualityParams
 
     def judged(self, rows: DataFrame) -> DataFrame:
-        """`rows` (host, path, feats and more) with p_document, p_host, p_path, probability, kept."""
+        """`rows` (host, path, own: log odds of the document model, and more) with p_document, p_host, p_path, probability, kept."""
         sites = self.sites
         if sites.count() <= SMALL_TABLE:
             sites = F.broadcast(sites)
-        own = self.model.log_odds(F.col("feats"))
+        own = F.col("own")
         shift = F.lit(self.params.site_weight) * (_odds(F.col("p_path")) - _odds(F.lit(self.mean)))
         return (rows.join(sites, ["host", "path"], "left")
                 .withColumn("p_document", _probability(own))
@@ -167,25 +214,25 @@ class QualityModel:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, id_col: str = "doc_id",
                 text_col: str = "text", params: QualityParams = QualityParams()) -> tuple[QualityModel, DataFrame]:
-    """Fit on all of `docs`; also returns the measured rows (doc_id, host, path, feats).
+    """Fit on all of `docs`; also returns the judged rows (doc_id, host, path, own: log odds of the document).
 
     Defined cases: a null text is the empty text; a null host or path is the site ''; rows repeated count
     each time and are judged alike; an empty table fits a model that keeps everything.
     """
-    feats = cut(_sites_of(docs.select(F.col(id_col).alias("doc_id"), host.alias("h"), path.alias("p"),
-                                      features(text_or_empty(text_col)).alias("feats")),
-                          F.col("h"), F.col("p")).select("doc_id", "host", "path", "feats"))
-    model = fit_document_model(feats, labels, params)
-    scored = feats.select("host", "path", _probability(model.log_odds(F.col("feats"))).alias("p"))
-    sites, mean = site_posteriors(scored)
-    return QualityModel(model, sites, mean, host, path, params), feats
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    model = fit_document_model(texts, labels, params)
+    own = cut(_sites_of(docs.select(F.col(id_col).alias("doc_id"), host.alias("h"), path.alias("p"),
+                                    model.log_odds(text_or_empty(text_col)).alias("own")),
+                        F.col("h"), F.col("p")).select("doc_id", "host", "path", "own"))
+    sites, mean = site_posteriors(own.select("host", "path", _probability(F.col("own")).alias("p")))
+    return QualityModel(model, sites, mean, host, path, params), own
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, id_col: str = "doc_id",
              text_col: str = "text", params: QualityParams = QualityParams()) -> DataFrame:
     """One row per input row: doc_id, host, path, p_document, p_host, p_path, probability, kept."""
-    fitted, feats = fit_quality(docs, labels, host=host, path=path, id_col=id_col, text_col=text_col, params=params)
-    return fitted.judged(feats).select("doc_id", "host", "path", "p_document", "p_host", "p_path",
+    fitted, own = fit_quality(docs, labels, host=host, path=path, id_col=id_col, text_col=text_col, params=params)
+    return fitted.judged(own).select("doc_id", "host", "path", "p_document", "p_host", "p_path",
                                        "probability", "kept")
 
 
@@ -194,5 +241,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column,
     """The rows of `docs` that the classifier keeps, all columns as they were. Rows are judged where they are read."""
     fitted, _ = fit_quality(docs, labels, host=host, path=path, id_col=id_col, text_col=text_col, params=params)
     rows = docs.select(F.struct("*").alias("rec"), host.alias("h"), path.alias("p"),
-                       features(text_or_empty(text_col)).alias("feats"))
+                       fitted.model.log_odds(text_or_empty(text_col)).alias("own"))
     return fitted.judged(_sites_of(rows, F.col("h"), F.col("p"))).where("kept").select("rec.*")

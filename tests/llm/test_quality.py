@@ -53,6 +53,32 @@ def test_held_out_accuracy_and_shrinking(spark):
         assert abs(odds(r.probability) - odds(r.p_document) - 0.5 * (odds(r.p_path) - odds(mean))) < 1e-6
 
 
+def test_noise_that_no_feature_names(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    boiler = "sign up today and save on all our offers click here to read more terms apply see the store for details".split()
+
+    def spoilt(kind):
+        n = rng.randrange(30, 120)
+        if kind == "gibberish":
+            return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+        if kind == "boilerplate":
+            return " ".join(rng.sample(boiler, len(boiler)) + rng.sample(boiler, 10))
+        return " ".join(w + rng.choice(kind) * 3 for w in prose(rng, n).split(" "))
+
+    seen = ["gibberish", "boilerplate", "*#"]
+    unseen = ["@", "~", "^", "\u00a7\u2020"]
+    rows = [(i, prose(rng, rng.randrange(30, 120)), 1) for i in range(400)]
+    rows += [(1000 + i, spoilt(seen[i % 3]), 0) for i in range(180)]
+    train = [(i, ok, 0) for i, _, ok in rows if i % 2]
+    rows += [(2000 + i, spoilt(unseen[i % 4]), 0) for i in range(40)]
+    labels = spark.createDataFrame(train, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.p_document >= 0.5 for r in classify(table(spark, [r[:2] for r in rows]), labels, **site()).collect()}
+    for kind in (range(0, 1000, 2), range(1000, 2000, 2), range(2000, 3000)):
+        held = [(i, bool(ok)) for i, _, ok in rows if i in kind]
+        assert sum(got[i] == ok for i, ok in held) >= 0.95 * len(held)
+
+
 def test_filter_agrees_and_keeps_columns(spark):
     rows, labels, _ = corpus(2)
     frame = spark.createDataFrame(labels + labels[:3] + [(None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
