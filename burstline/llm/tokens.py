@@ -12,7 +12,7 @@ import regex
 MEMORY = 400_000
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The letter by which byte-level vocabularies write each byte: itself if printable, else the next from 256 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in printable]
@@ -40,7 +40,7 @@ class WordTokenizer:
             raise ValueError("a tokenizer file of lower-cased words is needed")
         self._parts = regex.compile(steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self._special = sorted({t["content"][:2] for t in steps["added_tokens"]})
-        self._letters = _byte_letters()
+        self._letters = byte_letters()
         self._ids = [i.to_bytes(4, "little") for i in range(self.size)]
         self._known: dict[str, bytes] = {}
         self._known_parts: dict[str, bytes] = {}
