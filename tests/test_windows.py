@@ -55,6 +55,44 @@ def test_anchored_equals_a_walk(spark, monkeypatch, minutes, gap, n):
         assert got[i] == anchor
 
 
+def walk(rows, length):
+    """(id, window start, number of the window in its stream) of rows (id, stream, second), one stream after the other."""
+    out, streams = {}, {}
+    for i, stream, second in sorted(rows, key=lambda r: r[2]):
+        anchor, n = streams.get(stream, (None, 0))
+        if anchor is None or second - anchor >= length:
+            anchor, n = second, n + 1
+            streams[stream] = anchor, n
+        out[i] = (anchor, n)
+    return out
+
+
+@pytest.mark.parametrize("shared", [1, 262_144])
+def test_anchored_per_stream_equals_a_walk(spark, monkeypatch, shared):
+    monkeypatch.setattr(wn, "_STRETCH_SECONDS", 1)
+    monkeypatch.setattr(wn, "_TASK_SECONDS", shared)
+    rng = np.random.default_rng(7)
+    rows = []
+    # streams of very different length, one without a key, one with a single post
+    for stream, n, gap in [(1, 900, 50), (2, 300, 2000), (3, 60, 90_000), (None, 200, 700), (5, 1, 1)]:
+        rows += [(stream, int(s)) for s in START + rng.integers(0, 9000) + np.cumsum(rng.integers(0, gap, n))]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "post_id long, user long, second long").withColumn("ts", F.timestamp_seconds("second"))
+    windowed = wn.anchored_windows(df, 2, by="user")
+    want = walk(rows, 120)
+    assert {r.post_id: r.window_id for r in windowed.collect()} == {i: w for i, (w, _) in want.items()}
+    seq = {(r.user, r.window_id): r.window_seq for r in wn.window_sequence(windowed, by="user").collect()}
+    assert all(seq[u, want[i][0]] == want[i][1] for i, u, _ in rows)
+    last = {u: max(want[i][0] for i, v, _ in rows if v == u) for u in {r[1] for r in rows}}
+    kept = {r.post_id for r in wn.drop_open_tail(windowed, by="user").collect()}
+    assert kept == {i for i, u, _ in rows if want[i][0] < last[u]}
+    first = {}
+    for i, u, second in sorted(rows, key=lambda r: (r[2], r[0])):
+        first.setdefault((u, want[i][0]), i)
+    closing = {i for (u, w), i in first.items() if w > min(x for v, x in first if v == u)}
+    assert {r.post_id for r in wn.with_trigger(windowed, by="user").where("trigger").collect()} == closing
+
+
 def test_aligned_windows_do_not_shuffle(spark):
     df = wn.aligned_windows(spark.range(10).select(F.timestamp_seconds("id").alias("ts")), 15)
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
