@@ -25,10 +25,14 @@ from burstline.llm.hashing import batches
 from burstline.llm.text import text_or_empty
 from burstline.llm.tokens import byte_letters
 
-# texts are encoded in parts of about so many characters, cut where both tokenizers start afresh
-_PART = 1 << 16
-# neither a byte-level pattern nor a piece goes on from a word character over one blank to the next
-_CUT = regex.compile(r"(?<=\w) (?=\w)")
+# texts are cut into segments in parts of about so many characters
+_PART = 1 << 20
+# no token of either side runs on over a blank that follows something else than white space, so such blanks
+# begin segments that are encoded, and aligned, by themselves; all other blanks stay inside a segment
+_CUT = regex.compile(r"(?<=\S) (?=\S)")
+_INNER_BLANK = regex.compile(r"(?:\A|\s) | \Z")
+# segments that are encoded in one call
+_RUN = 256
 # documents whose texts add up to about so many bytes are counted, and judged, together
 CHUNK_BYTES = 4 << 20
 _ROW_BYTES = 64
@@ -99,68 +103,84 @@ class Aligner:
         self.sizes = [len(s.tokens) for s in self._sides]
         self._numerals = _Numerals(max(self.sizes))
 
-    def encode(self, texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-        """Per side (ids in a row, number of them a text), and which texts both sides give back byte by byte.
-
-        Texts that are empty, or that a side does not give back, have no ids.
+    def _segments(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct segments of the texts, and per text its segments by number, in a row with bounds."""
+        known: dict[str, int] = {}
+        rows, bounds = [np.zeros(0, np.int64)], [0]
+        for t in texts:
+            start, n = 0, 0
+            while start < len(t):
+                at = _CUT.search(t, start + _PART) if len(t) - start > _PART else None
+                part = t[start:at.start() if at else len(t)]
+                start = at.end() if at else len(t)
+                found = _segments(part)
+                rows.append(np.array([known.setdefault(s, len(known)) for s in found], np.int64))
+                n += len(found)
+            bounds.append(bounds[-1] + n)
+        return list(known), np.concatenate(rows), np.array(bounds)
+
+    def _encode(self, segments: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Per side (ids in a row, number of them a segment), and which segments both sides give back byte by byte.
+
+        Segments that a side does not give back have no ids. Segments go to the encoders in runs, joined by
+        blanks again; one that ends in white space goes alone, as does each of a run that is not given back.
         """
-        parts: list[str] = []
-        owner: list[int] = []
-        for k, t in enumerate(texts):
-            start = 0
-            while len(t) - start > _PART and (at := _CUT.search(t, start + _PART)):
-                parts.append(t[start:at.start()])
-                owner.append(k)
-                start = at.end()
-            if t:
-                parts.append(t[start:])
-                owner.append(k)
-        whole = [(" " + t).encode() if t else b"" for t in texts]
-        same = np.array([bool(t) for t in texts], bool)
-        made = []
-        for side in self._sides:
-            ids: list[list[int]] = [[] for _ in texts]
-            for k, i in zip(owner, side.encode(parts)):
-                ids[k] = ids[k] + i if ids[k] else i
-            for k, i in enumerate(ids):
-                same[k] &= b"".join(map(side.tokens.__getitem__, i)) == whole[k]
-            made.append(ids)
-        out = []
-        for ids in made:
-            kept = [i if s else [] for i, s in zip(ids, same)]
-            n = np.array([len(i) for i in kept], np.int64)
-            out.append((np.fromiter(itertools.chain.from_iterable(kept), np.int64, int(n.sum())), n))
-        return out, same
-
-    def align(self, texts: list[str]) -> dict[str, list]:
-        """Per text: n_a, n_b, n_groups, n_links, the groups as text, linked pairs (codes) and how often each."""
-        ((a, n_a), (b, n_b)), _ = self.encode(texts)
-        docs = len(texts)
+        runs: list[list[str]] = [[]]
+        for s in segments:
+            if len(runs[-1]) == _RUN or s[-1:].isspace():
+                runs.append([])
+            runs[-1].append(s)
+            if s[-1:].isspace():
+                runs.append([])
+        runs = [r for r in runs if r]
+        same: list[bool] = []
+        none = np.zeros(0, np.int64)
+        made: list[list[tuple[np.ndarray, np.ndarray]]] = [[(none, none)], [(none, none)]]
+        joined = [" ".join(r) for r in runs]
+        for run, *sides in zip(runs, *(side.encode(joined) for side in self._sides)):
+            alone = [run]
+            if not self._given_back(" ".join(run), sides):
+                alone = [[s] for s in run]
+            for part in alone:
+                ids = sides if len(alone) == 1 else [side.encode(part)[0] for side in self._sides]
+                good = len(alone) == 1 or self._given_back(part[0], ids)
+                ends = np.cumsum([len(s.encode()) + 1 for s in part])
+                same += [good] * len(part)
+                for k, i in enumerate(ids):
+                    i = np.array(i if good else [], np.int64)
+                    n = np.bincount(np.searchsorted(ends, np.cumsum(self._bytes[k][i])), minlength=len(part))
+                    made[k].append((i, n))
+        return [(np.concatenate([i for i, _ in m]), np.concatenate([n for _, n in m])) for m in made], np.array(same, bool)
+
+    def _given_back(self, text: str, ids: list[list[int]]) -> bool:
+        whole = (" " + text).encode()
+        return all(b"".join(map(side.tokens.__getitem__, i)) == whole for side, i in zip(self._sides, ids))
+
+    def _coalesce(self, segments: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[str], np.ndarray]:
+        """Of each segment: whether it is given back; numbers of A, of B, of groups and of links; the groups as
+        text; and all links as codes, segment by segment."""
+        ((a, n_a), (b, n_b)), same = self._encode(segments)
+        count = len(segments)
         side = np.repeat(np.array([0, 1], np.int64), [len(a), len(b)])
         ids = np.concatenate([a, b])
         length = np.concatenate([self._bytes[0][a], self._bytes[1][b]])
         # both sides cover the same bytes in a row, so that a running sum places every token of the batch
         end = np.concatenate([np.cumsum(length[:len(a)]), np.cumsum(length[len(a):])])
         start = end - length
-        doc = np.concatenate([np.repeat(np.arange(docs), n_a), np.repeat(np.arange(docs), n_b)])
+        owner = np.concatenate([np.repeat(np.arange(count), n_a), np.repeat(np.arange(count), n_b)])
 
         order = np.lexsort((side, start))
-        start, end, side, ids, doc = (x[order] for x in (start, end, side, ids, doc))
+        start, end, side, ids, owner = (x[order] for x in (start, end, side, ids, owner))
         reach = np.maximum.accumulate(end)
         first = np.ones(len(ids), bool)
         first[1:] = start[1:] >= reach[:-1]
         group = np.cumsum(first)
-        n_groups = np.bincount(doc[first], minlength=docs)
 
         # each stretch from one start to the next is covered by the last token of either side
         last = np.ones(len(ids), bool)
         last[:-1] = start[1:] > start[:-1]
-        at_a, at_b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        link_a = ids[at_a][np.cumsum(side == 0)[last] - 1] if len(ids) else ids
-        link_b = ids[at_b][np.cumsum(side == 1)[last] - 1] if len(ids) else ids
-        space = self.sizes[0] * self.sizes[1]
-        found, times = np.unique(doc[last] * space + link_a * self.sizes[1] + link_b, return_counts=True)
-        pairs_at = np.searchsorted(found, np.arange(docs + 1) * space)
+        link_a = ids[side == 0][np.cumsum(side == 0)[last] - 1]
+        link_b = ids[side == 1][np.cumsum(side == 1)[last] - 1]
 
         # A's tokens of a group, then B's
         grouped = np.argsort(group * 2 + side, kind="stable")
@@ -168,16 +188,65 @@ class Aligner:
         closes = np.ones(len(key), bool)
         closes[:-1] = key[1:] != key[:-1]
         text, lengths = self._numerals.write(ids[grouped], np.where(closes, 1 + side[grouped], 0))
-        ends = np.cumsum(np.bincount(doc[grouped], weights=lengths, minlength=docs).astype(np.int64)).tolist()
-        groups = [text[lo:hi - 1].decode() if hi > lo else "" for lo, hi in zip([0, *ends], ends)]
+        ends = np.cumsum(np.bincount(owner[grouped], weights=lengths, minlength=count).astype(np.int64)).tolist()
+        groups = [text[lo:max(hi - 1, lo)].decode() for lo, hi in zip([0, *ends], ends)]
+        numbers = [n_a, n_b, np.bincount(owner[first], minlength=count), np.bincount(owner[last], minlength=count)]
+        return same, numbers, groups, link_a * self.sizes[1] + link_b
+
+    def align(self, texts: list[str]) -> dict[str, list]:
+        """Per text: n_a, n_b, n_groups, n_links, the groups as text, linked pairs (codes) and how often each.
+
+        Each distinct segment of the batch is encoded and aligned once.
+        """
+        segments, rows, bounds = self._segments(texts)
+        same, numbers, texts_of, links = self._coalesce(segments)
+        docs = len(texts)
+        doc = np.repeat(np.arange(docs), np.diff(bounds))
+        broken = np.bincount(doc[~same[rows]], minlength=docs) > 0
+        used = ~broken[doc]
+        out: dict[str, list] = {
+            name: np.bincount(doc[used], weights=n[rows[used]], minlength=docs).astype(np.int64).tolist()
+            for name, n in zip(("n_a", "n_b", "n_groups", "n_links"), numbers)}
+        out["groups"] = ["" if bad else ";".join(map(texts_of.__getitem__, rows[lo:hi].tolist()))
+                         for bad, lo, hi in zip(broken, bounds[:-1].tolist(), bounds[1:].tolist())]
+
+        # the distinct segments of each text, then their links, then the distinct pairs
+        found, times = np.unique(doc[used] * max(len(segments), 1) + rows[used], return_counts=True)
+        of_doc, segment = np.divmod(found, max(len(segments), 1))
+        n = numbers[3][segment]
+        begin = (np.cumsum(numbers[3]) - numbers[3])[segment]
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        space = self.sizes[0] * self.sizes[1]
+        key = np.repeat(of_doc, n) * space + links[at]
+        order = np.argsort(key)
+        key, times = key[order], np.repeat(times, n)[order]
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        key, times = key[new], np.add.reduceat(times, new) if len(new) else times
+        places = np.searchsorted(key, np.arange(docs + 1) * space).tolist()
+        codes, times = (key % space).astype(_code_type(space)), times.astype("<u4")
+        out["pairs"] = [codes[lo:hi].tobytes() for lo, hi in zip(places, places[1:])]
+        out["times"] = [times[lo:hi].tobytes() for lo, hi in zip(places, places[1:])]
+        return out
+
+
+def _segments(text: str) -> list[str]:
+    """`text` without the blanks at which segments begin; each segment stands for a blank and itself."""
+    parts = text.split(" ")
+    if not _INNER_BLANK.search(text):
+        return parts
+    out = parts[:1]
+    for p in parts[1:]:
+        if out[-1] and not out[-1][-1].isspace():
+            out.append(p)
+        else:
+            out[-1] += " " + p
+    if len(out) > 1 and not out[-1]:  # an empty segment would lose its blank
+        out[-2:] = [out[-2] + " "]
+    return out
+
 
-        codes = (found % space).astype("<u8" if space >> 32 else "<u4")
-        times = times.astype("<u4")
-        spans = list(zip(pairs_at[:-1].tolist(), pairs_at[1:].tolist()))
-        return {"n_a": n_a.tolist(), "n_b": n_b.tolist(), "n_groups": n_groups.tolist(),
-                "n_links": np.bincount(doc[last], minlength=docs).tolist(), "groups": groups,
-                "pairs": [codes[lo:hi].tobytes() for lo, hi in spans],
-                "times": [times[lo:hi].tobytes() for lo, hi in spans]}
+def _code_type(space: int) -> str:
+    return "<u8" if space >> 32 else "<u4"
 
 
 _loaded: dict[TokenizerPair, Aligner] = {}
@@ -225,10 +294,6 @@ def align(docs: DataFrame, pair: TokenizerPair, *, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, ALIGNED)
 
 
-def _code_type(space: int) -> str:
-    return "<u8" if space >> 32 else "<u4"
-
-
 def _pairs_of_chunks(aligned: DataFrame, space: int) -> DataFrame:
     """(chunk, pair, n_docs): distinct pairs of each chunk, counted before anything is shuffled."""
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
