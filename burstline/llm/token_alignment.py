@@ -138,12 +138,10 @@ class Aligner:
         made: list[list[tuple[np.ndarray, np.ndarray]]] = [[(none, none)], [(none, none)]]
         joined = [" ".join(r) for r in runs]
         for run, *sides in zip(runs, *(side.encode(joined) for side in self._sides)):
-            alone = [run]
-            if not self._given_back(" ".join(run), sides):
-                alone = [[s] for s in run]
-            for part in alone:
-                ids = sides if len(alone) == 1 else [side.encode(part)[0] for side in self._sides]
-                good = len(alone) == 1 or self._given_back(part[0], ids)
+            whole = self._given_back(" ".join(run), sides)
+            for part in [run] if whole else [[s] for s in run]:
+                ids = sides if whole else [side.encode(part)[0] for side in self._sides]
+                good = whole or self._given_back(part[0], ids)
                 ends = np.cumsum([len(s.encode()) + 1 for s in part])
                 same += [good] * len(part)
                 for k, i in enumerate(ids):
