@@ -41,6 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whichever file system it lies; nothing happens if it is not there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextlib.contextmanager
 def written_tables_freed(spark: SparkSession) -> Iterator[None]:
     """Delete on leaving what `cut` wrote inside: for jobs that have stored their result by then."""
@@ -48,8 +54,6 @@ def written_tables_freed(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm = spark.sparkContext._jvm
         for path in _written[before:]:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            delete_folder(spark, path)
         del _written[before:]

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from burstline import TopicParams
 from burstline.functions.words import SPAM_PHRASES
+from burstline.lineage import cut
 from burstline.plans import topics as pt
 from burstline.sources import posts as ps
 from burstline.sources import tables as tb
@@ -45,3 +46,56 @@ def test_stream_equals_batch_over_closed_windows(spark, posts, tmp_path, anchore
     want = batch.toPandas().sort_values(["window_id", "rank"], ignore_index=True)
     assert got.window_id.nunique() > 3
     assert got[list(want)].astype(str).equals(want.astype(str))
+
+
+def fed(spark, posts, source, cuts):
+    """Write posts as files in time order, cut at these seconds; each becomes a batch."""
+    second = F.unix_timestamp("ts") - tb.FIRST_SECOND
+    for lo, hi in zip(cuts, cuts[1:]):
+        posts.filter((second >= lo) & (second < hi)).coalesce(1).write.mode("append").parquet(source)
+
+
+def run(spark, stream, source, check):
+    query = stream.start(ps.read_posts_stream(spark, source, max_files=1), check, availableNow=True)
+    query.awaitTermination(600)
+    assert query.exception() is None
+
+
+def listed(topics, columns):
+    return topics.select(*columns).toPandas().sort_values(["window_id", "rank"], ignore_index=True).astype(str)
+
+
+def test_late_posts_and_repeated_ids(spark, posts, tmp_path):
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    fed(spark, posts, source, [0, 7000, 99999])
+    one = posts.limit(1)
+    shown = dict(created_at=F.lit("late"))
+    # an id that came in batches ago comes again, in time; and new ids whose time lies hours back
+    again = posts.filter(F.unix_timestamp("ts") - tb.FIRST_SECOND < 3000).limit(5).withColumns(
+        {**shown, "ts": F.timestamp_seconds(F.lit(tb.FIRST_SECOND + 99_999))})
+    late = one.withColumns({**shown, "post_id": F.lit(-1).cast("long"), "ts": F.timestamp_seconds(F.lit(tb.FIRST_SECOND - 50_000))})
+    behind = one.withColumns({**shown, "post_id": F.lit(-2).cast("long"), "ts": F.timestamp_seconds(F.lit(tb.FIRST_SECOND + 2000))})
+    again.unionByName(late).unionByName(behind).coalesce(1).write.mode("append").parquet(source)
+    # the last batch is empty of news but for what closes the windows before it
+    closing = one.withColumns({"post_id": F.lit(-3).cast("long"), "ts": F.timestamp_seconds(F.lit(tb.FIRST_SECOND + 400_000))})
+    closing.coalesce(1).write.mode("append").parquet(source)
+    stream = TopicStream(out, PARAMS, seen_minutes=600)
+    run(spark, stream, source, check)
+    assert {r.post_id for r in stream.late(spark).collect()} == {-1, -2}
+    arrived = posts.unionByName(again).unionByName(closing)
+    batch = pt.detect_topics(arrived, PARAMS, drop_tail=True).topics
+    assert listed(stream.topics(spark), batch.columns).equals(listed(batch, batch.columns))
+
+
+def test_a_batch_reads_a_bounded_number_of_folders(spark, posts, tmp_path):
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    few = cut(posts.filter("post_id % 4 = 0"))
+    end = few.agg(F.max(F.unix_timestamp("ts"))).first()[0] - tb.FIRST_SECOND
+    fed(spark, few, source, [*range(0, end, end // 5), end + 1])
+    stream = TopicStream(out, PARAMS)
+    run(spark, stream, source, check)
+    batches = len(list((tmp_path / "out" / "topics").iterdir()))
+    kept = {n: len(list((tmp_path / "out" / n).iterdir())) for n in ("posts", "windows", "term_df", "state")}
+    assert batches > 3 and max(kept.values()) <= 3, kept
+    batch = pt.detect_topics(few, PARAMS, drop_tail=True).topics
+    assert listed(stream.topics(spark), batch.columns).equals(listed(batch, batch.columns))
