@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from burstline.lineage import cut
-from burstline.llm.hashing import batches, lower_ascii, mixed, prefix_sums, span_hashes
+from burstline.llm.hashing import batches, hashes_of_spans, lower_ascii, mixed
 from burstline.llm.text import text_or_empty
 
 N = 10
@@ -29,7 +29,6 @@ N = 10
 MAX_BROADCAST = 200_000
 # bits of the filter that takes the place of the set beyond that: 16 MB
 _FILTER_BITS = 27
-_BLOCK = 1 << 17
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _IN_WORD = np.zeros(256, np.int8)
 _IN_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
@@ -45,14 +44,7 @@ class Words:
         self.begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
         # the words of text i are bounds[i] to bounds[i + 1]
         self.bounds = np.searchsorted(self.starts, self.begins)
-        self.hashes = np.empty(len(self.starts), np.uint64)
-        lo = 0
-        while lo < len(self.starts):  # hashed block by block, so that powers and sums stay short
-            hi = max(int(np.searchsorted(self.ends, self.starts[lo] + _BLOCK)), lo + 1)
-            base = self.starts[lo]
-            self.hashes[lo:hi] = span_hashes(prefix_sums(self.data[base:self.ends[hi - 1]]),
-                                             self.starts[lo:hi] - base, self.ends[lo:hi] - base)
-            lo = hi
+        self.hashes = hashes_of_spans(self.data, self.starts, self.ends)
 
     def windows(self, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(size, first words, hashes) of all windows of each size that lie in one text."""

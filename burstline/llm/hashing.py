@@ -36,25 +36,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-class Powers:
-    """Powers of the base and of its inverse, kept between batches."""
-
-    def __init__(self) -> None:
-        self._up = self._down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._up) < n:
-            n = max(n, 1 << 16)
-            self._up, self._down = _powers(_BASE, n), _powers(_INVERSE, n)
-        return self._up, self._down
-
-
-_POWERS = Powers()
+# powers up to here are kept; texts are hashed in blocks of half as many bytes
+_KEPT = 1 << 18
+_UP, _DOWN = _powers(_BASE, _KEPT), _powers(_INVERSE, _KEPT)
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Running polynomial hash of bytes: `prefix[i]` covers data[:i]."""
-    up, _ = _POWERS.get(len(data) + 1)
+    up = _UP if len(data) < _KEPT else _powers(_BASE, len(data))
     out = np.empty(len(data) + 1, np.uint64)
     out[0] = 0
     np.cumsum(_BYTES[data] * up[:len(data)], out=out[1:])
@@ -63,10 +52,22 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the spans data[start:end], equal for equal bytes wherever they stand."""
-    _, down = _POWERS.get(len(prefix))
+    down = _DOWN if len(prefix) <= _KEPT else _powers(_INVERSE, len(prefix))
     return mixed((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def hashes_of_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ascending spans, block by block, so that sums and powers stay short."""
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(int(np.searchsorted(ends, starts[lo] + _KEPT // 2)), lo + 1)
+        base = starts[lo]
+        out[lo:hi] = span_hashes(prefix_sums(data[base:ends[hi - 1]]), starts[lo:hi] - base, ends[lo:hi] - base)
+        lo = hi
+    return out
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
@@ -84,7 +85,7 @@ def words_of(texts: list[bytes], *, lower: bool = False) -> tuple[np.ndarray, np
     starts, ends = edge[::2], edge[1::2]
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])
-    return span_hashes(prefix_sums(data), starts, ends), np.searchsorted(starts, begins)
+    return hashes_of_spans(data, starts, ends), np.searchsorted(starts, begins)
 
 
 def shingles_of(words: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:

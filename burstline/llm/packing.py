@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstline.lineage import cut
+from burstline.llm.hashing import batches
 from burstline.llm.text import text_or_empty
 from burstline.llm.tokens import tokenizer
 
@@ -31,6 +32,8 @@ _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
            "sequence_tokens long")
 # sequences of packed tails are numbered from here, those of single documents from 0
 _PACKED = 1 << 62
+# characters of texts that are tokenised together
+_BATCH = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -46,27 +49,28 @@ class PackParams:
 
 def _tokenized(docs: DataFrame, path: str, params: PackParams) -> DataFrame:
     """(doc_id, doc_tokens, first, crcs, tail): whole windows by number and checksum, and the ids of the tail."""
-    size = 4 * params.window
+    size = params.window
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokenizer(path).encode, params.end_id.to_bytes(4, "little")
+        words, end = tokenizer(path), np.array([params.end_id], "<u4")
         number = TaskContext.get().partitionId() << 33
         for f in frames:
             texts = f.column("text").to_pylist()
-            for lo in range(0, len(texts), 1000):  # the output is larger than the input
+            for part in batches(texts, [len(t) + 64 for t in texts], _BATCH):
+                ids, bounds = words.encode(texts[part.start:part.stop])
                 tokens, first, crcs, tails = [], [], [], []
-                for text in texts[lo:lo + 1000]:
-                    ids = encode(text) + end
-                    whole = len(ids) // size
-                    tokens.append(len(ids) // 4)
+                for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    whole, text = (hi - lo + 1) // size, np.concatenate([ids[lo:hi], end])
+                    tokens.append(len(text))
                     first.append(number)
                     number += whole
-                    crcs.append([zlib.crc32(ids[i * size:(i + 1) * size]) for i in range(whole)])
-                    tails.append(np.frombuffer(ids, "<u4", offset=whole * size).astype("<u2" if short_ids(path) else "<u4").tobytes())
+                    crcs.append([zlib.crc32(text[i * size:(i + 1) * size]) for i in range(whole)])
+                    tails.append(text[whole * size:].astype("<u2" if short_ids(path) else "<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [f.column("doc_id").slice(lo, 1000), pa.array(tokens, pa.int64()), pa.array(first, pa.int64()),
+                    [f.column("doc_id").slice(part.start, len(part)), pa.array(tokens, pa.int64()), pa.array(first, pa.int64()),
                      pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())],
                     ["doc_id", "doc_tokens", "first", "crcs", "tail"])
+        words.forget()
 
     return docs.mapInArrow(run, "doc_id long, doc_tokens long, first long, crcs array<long>, tail binary")
 

@@ -6,10 +6,13 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-# words, and parts of words, whose ids a worker keeps; all are forgotten when so many are held
-MEMORY = 400_000
+# bytes that words, and parts of words, with their ids may take in a worker; beyond, all are forgotten
+MEMORY = 48 << 20
+_ENTRY = 160  # a word and its ids in a dictionary, besides their characters and bytes
 
 
 def byte_letters() -> list[str]:
@@ -42,17 +45,21 @@ class WordTokenizer:
         self._special = sorted({t["content"][:2] for t in steps["added_tokens"]})
         self._letters = byte_letters()
         self._ids = [i.to_bytes(4, "little") for i in range(self.size)]
+        self.forget()
+
+    def forget(self) -> None:
+        """Give back the memory of words: for workers that go on to other work."""
         self._known: dict[str, bytes] = {}
         self._known_parts: dict[str, bytes] = {}
+        self._held = 0
 
     def _part(self, part: str) -> bytes:
         ids = self._known_parts.get(part)
         if ids is None:
             letters = part if part.isascii() else "".join(map(self._letters.__getitem__, part.encode()))
             ids = b"".join([self._ids[t.id] for t in self._model.tokenize(letters)])
-            if len(self._known_parts) >= MEMORY:
-                self._known_parts.clear()
             self._known_parts[part] = ids
+            self._held += _ENTRY + len(part) + len(ids)
         return ids
 
     def _word(self, word: str) -> bytes:
@@ -61,19 +68,38 @@ class WordTokenizer:
             return self._part(low) if low.isalpha() else b"".join(map(self._part, self._parts.findall(low)))
         return np.array(self._encoder.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of the text."""
-        words = text.replace("\n", " ").split(" ")
-        known = self._known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > MEMORY:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join(map(known.__getitem__, words))
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the ids of text i are ids[bounds[i]:bounds[i + 1]], unsigned 32-bit.
+
+        Each distinct word of the texts is looked up once.
+        """
+        blank = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+        lists = pc.split_pattern(blank, " ")
+        words = lists.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        bounds = lists.offsets.to_numpy()
+        found = self._lookup(words.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(found), "<u4")
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = (np.cumsum(n) - n)[at]
+        taken = n[at]
+        ends = np.cumsum(taken)
+        total = int(ends[-1]) if len(ends) else 0
+        out = ids[np.repeat(begin - (ends - taken), taken) + np.arange(total)]
+        return out, np.concatenate([[0], ends])[bounds]
+
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        out = []
+        for w in words:
+            ids = self._known.get(w)
+            if ids is None:
+                ids = self._word(w)
+                if self._held > MEMORY:
+                    self.forget()
+                self._known[w] = ids
+                self._held += _ENTRY + len(w) + len(ids)
+            out.append(ids)
+        return out
 
 
 _loaded: dict[str, WordTokenizer] = {}

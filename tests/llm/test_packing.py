@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from burstline.llm import tokens
 from burstline.llm.packing import PackParams, pack
 from burstline.llm.tokens import WordTokenizer
 from tests.llm.cases import table, texts
@@ -58,9 +59,13 @@ def test_no_rows(spark):
     assert pack(table(spark, texts()).limit(0), PATH).count() == 0
 
 
-def test_tokenizer_with_memory_equals_the_library():
+def test_tokenizer_with_memory_equals_the_library(monkeypatch):
     rows = [t or "" for _, t in texts(8)]
     rows += ["don't I'LL we've ½ x²y 12 345", "é é ́z ÿŸ Ĳ İstanbul ŉ", "\t a\tb \r\n c\x1cd\x85e\xa0f", "<|startoftext|>a b<|"]
     own, library = WordTokenizer(PATH), Tokenizer.from_file(PATH)
-    for t in rows + rows:
-        assert own.encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    want = [library.encode(t, add_special_tokens=False).ids for t in rows]
+    for memory in (tokens.MEMORY, 1000):
+        monkeypatch.setattr(tokens, "MEMORY", memory)
+        for _ in range(2):
+            ids, bounds = own.encode(rows)
+            assert [ids[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])] == want
