@@ -30,6 +30,8 @@ RAW_SCHEMA = T.StructType([
 ])
 
 _CORRUPT = "_corrupt_record"
+# what becomes of a raw line
+POST, REJECT = "post", "reject"
 _READ_SCHEMA = T.StructType([*RAW_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
 
 POST_SCHEMA = T.StructType([
@@ -109,18 +111,24 @@ def extract_posts(raw: DataFrame, lang: str = "en") -> DataFrame:
     return language_filter(raw, lang).filter(F.col(_CORRUPT).isNull()).select(*_post_columns()).dropna(how="any")
 
 
+def sorted_lines(raw: DataFrame, lang: str = "en") -> DataFrame:
+    """Each line of the language, or of none, once: its `kind`, post or reject, the post columns as far as they could
+    be read, the names of those `missing`, and the broken `line` where there is one."""
+    names = ["lang", *POST_SCHEMA.fieldNames()]
+    missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in names])
+    good = (F.col("missing") == "") & F.col("line").isNull()
+    return (raw.filter(F.col(_CORRUPT).isNotNull() | F.col("lang").isNull() | (F.col("lang") == lang))
+            .select("lang", *_post_columns(), F.col(_CORRUPT).alias("line"))
+            .withColumn("missing", missing)
+            .select(F.when(good, POST).otherwise(REJECT).alias("kind"), *POST_SCHEMA.fieldNames(), "missing", "line"))
+
+
 def rejected_posts(raw: DataFrame, lang: str = "en") -> DataFrame:
     """What `extract_posts` drops as malformed, with the broken line where there is one.
 
     Each line of the language, or of none, is either here or among the extracted posts.
     """
-    names = ["lang", *POST_SCHEMA.fieldNames()]
-    missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in names])
-    return (raw.filter(F.col(_CORRUPT).isNotNull() | F.col("lang").isNull() | (F.col("lang") == lang))
-            .select("lang", *_post_columns(), _CORRUPT)
-            .withColumn("missing", missing)
-            .filter((F.col("missing") != "") | F.col(_CORRUPT).isNotNull())
-            .select("post_id", "missing", F.col(_CORRUPT).alias("line")))
+    return sorted_lines(raw, lang).filter(F.col("kind") == REJECT).select("post_id", "missing", "line")
 
 
 def first_by_post_id(posts: DataFrame) -> DataFrame:
@@ -137,10 +145,34 @@ def write_posts(posts: DataFrame, path: str, mode: str = "errorifexists") -> Non
      .write.mode(mode).partitionBy("event_date").parquet(path))
 
 
+def write_sorted_lines(lines: DataFrame, path: str, batch: str, mode: str = "overwrite") -> None:
+    """Rows of `sorted_lines` as Parquet, in one job over one scan: one folder per kind, batch and event date.
+
+    With `overwrite`, the folders that the rows fall into are replaced and others stay: a batch that is run
+    again leaves what the first run left, and other batches are not touched.
+    """
+    (lines.withColumns({"batch": F.lit(batch), "event_date": F.to_date("ts")})
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("kind", "batch", "event_date").parquet(path))
+
+
+# tables without kinds hold posts only
+_STORED = T.StructType([*POST_SCHEMA.fields, T.StructField("kind", T.StringType())])
+
+
+def _is_post() -> Column:
+    return F.coalesce(F.col("kind"), F.lit(POST)) == POST
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The rejected lines of a table that `write_sorted_lines` wrote."""
+    schema = "post_id long, missing string, line string, kind string"
+    return spark.read.schema(schema).parquet(path).filter(F.col("kind") == REJECT).select("post_id", "missing", "line")
+
+
 def read_posts(spark: SparkSession, path: str, first_day: str | None = None,
                last_day: str | None = None) -> DataFrame:
     """Extracted posts; with days given, only the folders of those dates are listed and read."""
-    posts = spark.read.schema(POST_SCHEMA).parquet(path)
+    posts = spark.read.schema(_STORED).parquet(path).filter(_is_post())
     if first_day is not None:
         posts = posts.filter(F.col("event_date") >= F.lit(first_day).cast("date"))
     if last_day is not None:
@@ -149,7 +181,7 @@ def read_posts(spark: SparkSession, path: str, first_day: str | None = None,
 
 
 def read_posts_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(POST_SCHEMA)
+    reader = spark.readStream.schema(_STORED)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path).select(*POST_SCHEMA.fieldNames())
+    return reader.parquet(path).filter(_is_post()).select(*POST_SCHEMA.fieldNames())

@@ -36,6 +36,21 @@ def test_extract(spark, tmp_path):
     assert len(bad) == 5
     assert {r.missing for r in bad if r.post_id in (3, 7)} == {"text", "ts"}
     assert "not json" in {r.line for r in bad}
+    kept = ps.read_rejects(spark, str(tmp_path / "posts"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, bad))
+
+    def folders():
+        return {str(f.parent.relative_to(tmp_path)) for f in (tmp_path / "posts").rglob("*.parquet")}
+
+    before = folders(), sorted(map(str, got.values()))
+    assert any(f.startswith("posts/kind=post/") and f.endswith("/event_date=2014-02-17") for f in before[0])
+    extract(spark, str(tmp_path / "raw.json"), str(tmp_path / "posts"))  # again: nothing doubles, nothing is lost
+    again = ps.read_posts(spark, str(tmp_path / "posts")).collect()
+    assert (folders(), sorted(map(str, again))) == before
+    (tmp_path / "more.json").write_text(raw(20) + "\nbroken")
+    extract(spark, str(tmp_path / "more.json"), str(tmp_path / "posts"))  # another input adds to the table
+    assert {r.post_id for r in ps.read_posts(spark, str(tmp_path / "posts")).collect()} == {1, 5, 6, 9, 20}
+    assert ps.read_rejects(spark, str(tmp_path / "posts")).count() == 6
 
 
 def test_first_by_post_id(spark):
