@@ -72,6 +72,17 @@ def topic_scores(headlines: DataFrame, groups: DataFrame, params: TopicParams) -
             .filter(F.col("rank") <= params.max_topics))
 
 
+def topic_sizes(headlines: DataFrame, groups: DataFrame, params: TopicParams) -> DataFrame:
+    """All topics of each window, also those beyond the listed ones: headlines and posts in it, score and rank."""
+    by_score = Window.partitionBy("window_id").orderBy(F.desc(F.round("score", DIGITS)), F.asc("first"))
+    return (headlines.join(groups, ["window_id", "rank"]).groupBy("window_id", "topic")
+            .agg(F.count(F.lit(1)).alias("n_headlines"), F.sum("size").alias("n_posts"), F.max("score").alias("score"),
+                 F.min("first").alias("first"))
+            .withColumn("rank", F.row_number().over(by_score))
+            .select("window_id", "topic", "n_headlines", "n_posts", "score", "rank",
+                    (F.col("rank") <= params.max_topics).alias("listed")))
+
+
 def media_fallback(ranked: DataFrame, pruned: DataFrame, pats: DataFrame, labels: DataFrame,
                    eligible: DataFrame) -> DataFrame:
     """For topics whose headline posts have no media: the first other post of their clusters that has,

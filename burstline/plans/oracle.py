@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from burstline.functions import text as tx
 from burstline.functions.words import STOP_WORDS
-from burstline.plans.queries import EVENT_MINUTES, PARAMS, PHRASES, SHORT_LINE, TOP_TERMS
+from burstline.plans.queries import EVENT_MINUTES, PARAMS, PHRASES, SHORT_LINE, TOP_TERMS, USER_MINUTES, WIDE
 from burstline.sources.tables import DOCUMENT_SECONDS, FIRST_SECOND, LINES_PER_DOCUMENT
 
 
@@ -220,6 +220,26 @@ _STEPS: dict[str, tuple[list[str], str]] = {
 }
 
 
+def _windows_of(minutes: float) -> dict[str, tuple[list[str], str]]:
+    length = int(minutes * 60)
+    return {"windowed": (["clean"], f"SELECT *, second - second % {length} AS window_id FROM clean")}
+
+
+# the same steps over anchored windows: `windowed` without closing posts and the open tail
+_ANCHORED = {
+    "chain_seconds": (["clean"], "SELECT DISTINCT second AS u FROM clean"),
+    "chain_hop": (["chain_seconds"], f"""
+        SELECT a.u, b.u AS n FROM (SELECT u, u + {_LENGTH} AS q FROM chain_seconds) a
+        ASOF JOIN chain_seconds b ON a.q <= b.u"""),
+    "chain": (["chain_hop"], "SELECT min(u) AS u FROM chain_seconds UNION ALL SELECT n FROM @self JOIN chain_hop USING (u)"),
+    "placed": (["chain"], "SELECT clean.*, u AS window_id FROM clean ASOF JOIN chain ON second >= u"),
+    "windowed": (["placed"], """
+        SELECT * FROM placed QUALIFY (row_number() OVER (PARTITION BY window_id ORDER BY second, post_id) > 1
+            OR window_id = (SELECT min(window_id) FROM placed)) AND window_id < (SELECT max(window_id) FROM placed)"""),
+    "closed": (["placed"], "SELECT DISTINCT window_id FROM placed WHERE window_id < (SELECT max(window_id) FROM placed)"),
+}
+
+
 def _text_steps(base: str) -> dict[str, tuple[list[str], str]]:
     """Text steps over `base`: all posts, or those in windows."""
     return {
@@ -240,8 +260,8 @@ def _text_steps(base: str) -> dict[str, tuple[list[str], str]]:
     }
 
 
-def _with(final: str, *needs: str, base: str = "windowed") -> str:
-    steps = {**_STEPS, **_text_steps(base)}
+def _with(final: str, *needs: str, base: str = "windowed", over: dict[str, tuple[list[str], str]] | None = None) -> str:
+    steps = {**_STEPS, **_text_steps(base), **(over or {})}
     done: dict[str, str] = {}
 
     def add(name: str) -> None:
@@ -284,9 +304,52 @@ def _anchored_events() -> str:
             + "SELECT event_id, u AS window_id FROM timed ASOF JOIN chain ON second >= u")
 
 
+def _anchored_users() -> str:
+    return f"""
+        WITH RECURSIVE timed AS MATERIALIZED (
+            SELECT user_id, event_id, ts, CAST(floor(epoch(ts)) AS BIGINT) AS second FROM events),
+        seconds AS MATERIALIZED (SELECT DISTINCT user_id, second AS u FROM timed),
+        hop AS MATERIALIZED (SELECT a.user_id, a.u, b.u AS n
+            FROM (SELECT user_id, u, u + {USER_MINUTES * 60} AS q FROM seconds) a
+            ASOF JOIN seconds b ON a.user_id = b.user_id AND a.q <= b.u),
+        chain AS (SELECT user_id, min(u) AS u, 1 AS seq FROM seconds GROUP BY user_id
+            UNION ALL SELECT user_id, n, seq + 1 FROM chain JOIN hop USING (user_id, u)),
+        placed AS (SELECT t.user_id, event_id, ts, u AS window_id, seq AS window_seq
+            FROM timed t ASOF JOIN chain c ON t.user_id = c.user_id AND t.second >= c.u)
+        SELECT user_id, event_id, window_id, CAST(window_seq AS BIGINT) AS window_seq,
+               CAST((window_seq - 1) // {PARAMS.history_windows} AS BIGINT) AS block,
+               CAST((window_seq - 1) % {PARAMS.history_windows} + 1 AS BIGINT) AS place
+        FROM placed
+        QUALIFY (row_number() OVER (PARTITION BY user_id, window_id ORDER BY ts, event_id) > 1 OR window_seq = 1)
+            AND window_seq < max(window_seq) OVER (PARTITION BY user_id)"""
+
+
+_ITEM_PHRASES = """
+    SELECT DISTINCT array_to_string(w[2:4], ' ') AS phrase
+    FROM (SELECT string_split(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' ') AS w FROM benchmark) WHERE len(w) >= 4"""
+_SHORT_WORDS = """
+    SELECT list(DISTINCT lower(w)) AS stop FROM
+        (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) BETWEEN 1 AND 4"""
+
 ORACLE: dict[str, str] = {
     "lang_filter": _with("SELECT post_id, lang, text FROM posts", "posts"),
     "spam_filter": _with("SELECT post_id, text FROM clean", "clean"),
+    "spam_by_table": _with(f"""SELECT post_id, text FROM clean
+        WHERE NOT EXISTS (SELECT 1 FROM ({_ITEM_PHRASES}) WHERE contains(text, phrase))""", "clean"),
+    "bag_by_table": _with(f"""
+        SELECT post_id, array_to_string(words, ' ') AS words,
+               array_to_string(list_concat(list_concat(list_transform({_distinct('users')}, lambda u: '@' || lower(u)),
+                   list_transform(list_filter({_distinct('hashtags')}, lambda t: NOT list_contains(stop, lower(t))),
+                                  lambda t: '#' || lower(t))), words), ',') AS bag
+        FROM (SELECT *, list_filter(regexp_split_to_array(normalized, '{_SPACE}+'),
+                  lambda w: length(w) > 1 AND NOT list_contains(stop, lower(w))) AS words
+              FROM normal, ({_SHORT_WORDS}))""", "normal", base="posts"),
+    "deduped_posts": _with("""
+        SELECT post_id, min(second) AS second, arg_min(text, (second, text)) AS text FROM (
+            SELECT post_id, second, text FROM posts
+            UNION ALL SELECT post_id, second + 3600, 'later' FROM posts WHERE post_id % 3 = 0
+            UNION ALL SELECT post_id, second - 3600, text || ' earlier' FROM posts WHERE post_id % 5 = 0
+            UNION ALL SELECT post_id, second, '  ' || text FROM posts WHERE post_id % 7 = 0) GROUP BY post_id""", "posts"),
     "display_clean": _with("SELECT * FROM shown", "shown"),
     "normalized_text": _with("SELECT post_id, normalized FROM normal", "normal", base="posts"),
     "tokens": _with("SELECT post_id, array_to_string(words, ' ') AS words FROM words", "words", base="posts"),
@@ -296,6 +359,11 @@ ORACLE: dict[str, str] = {
                            FROM posts WHERE length(text) >= {SHORT_LINE}""", "posts"),
     "raw_rejects": _with(f"""SELECT '{{"lang":"' || lang || '"' AS start, count(*) AS n FROM all_posts
                             WHERE length(text) < {SHORT_LINE} GROUP BY ALL""", "all_posts"),
+    "sorted_lines": _with(f"""
+        SELECT post_id, CASE WHEN post_id % 8 IN (0, 7) THEN 'post' ELSE 'reject' END AS kind,
+               post_id % 8 IN (1, 2, 6) AS broken,
+               CASE post_id % 8 WHEN 3 THEN 'lang' WHEN 4 THEN 'ts' WHEN 5 THEN 'n_friends' ELSE '' END AS missing
+        FROM all_posts WHERE length(text) >= {SHORT_LINE} AND (lang = 'en' OR post_id % 8 IN (1, 2, 3, 6))""", "all_posts"),
     "entity_arrays": _with(f"""SELECT post_id, array_to_string(hashtags, ',') AS hashtags,
         array_to_string(users, ',') AS users, array_to_string(media_urls, ',') AS urls,
         array_to_string(media_urls, ',') AS media_urls FROM posts WHERE length(text) >= {SHORT_LINE}""", "posts"),
@@ -304,6 +372,7 @@ ORACLE: dict[str, str] = {
         '%d-%m-%Y %H:%M') AS window_label FROM windowed""", "windowed"),
     "anchored_windows": _anchored_windows(),
     "anchored_events": _anchored_events(),
+    "anchored_users": _anchored_users(),
     "window_sequence": _with("SELECT * FROM sequence", "sequence"),
     "window_stats": _with("""
         SELECT window_id, n_posts, coalesce(n_eligible, 0) AS n_eligible, coalesce(n_terms, 0) AS n_terms,
@@ -313,6 +382,15 @@ ORACLE: dict[str, str] = {
         LEFT JOIN (SELECT window_id, count(*) AS n_terms FROM vocab GROUP BY ALL) USING (window_id)
         LEFT JOIN (SELECT window_id, count(*) AS n_pruned_posts FROM pruned GROUP BY ALL) USING (window_id)""",
         "windowed", "eligible", "vocab", "pruned"),
+    "anchored_window_stats": _with("""
+        SELECT window_id, coalesce(n_posts, 0) AS n_posts, coalesce(n_eligible, 0) AS n_eligible,
+               coalesce(n_terms, 0) AS n_terms, coalesce(n_pruned_posts, 0) AS n_pruned_posts
+        FROM closed
+        LEFT JOIN (SELECT window_id, count(*) AS n_posts FROM windowed GROUP BY ALL) USING (window_id)
+        LEFT JOIN (SELECT window_id, count(*) AS n_eligible FROM eligible GROUP BY ALL) USING (window_id)
+        LEFT JOIN (SELECT window_id, count(*) AS n_terms FROM vocab GROUP BY ALL) USING (window_id)
+        LEFT JOIN (SELECT window_id, count(*) AS n_pruned_posts FROM pruned GROUP BY ALL) USING (window_id)""",
+        "closed", "windowed", "eligible", "vocab", "pruned", over=_ANCHORED),
     "ngrams": _with("SELECT window_id, post_id, term FROM terms", "terms"),
     "min_df_vocabulary": _with("SELECT window_id, term, df FROM vocab", "vocab"),
     "pruned_posts": _with("SELECT window_id, post_id, terms FROM pruned", "pruned"),
@@ -328,11 +406,21 @@ ORACLE: dict[str, str] = {
     "distance_cut": _with(f"""SELECT window_id, {_millionths('max_distance', 'max_distance')},
         {_millionths('cut', 'cut')} FROM cuts""", "cuts"),
     "pair_cosine": _with(f"SELECT window_id, x, y, {_millionths('d', 'd')} FROM near", "near"),
+    "near_pairs_wide": _with(f"SELECT window_id, x, y, {_millionths('d', 'd')} FROM near", "near",
+                             over=_windows_of(WIDE.window_minutes)),
     "profile_distance": _with(f"""
         SELECT window_id, n.x, n.y, {_millionths('sqrt(sum((p.d - q.d) * (p.d - q.d)))', 'e')}
         FROM near n JOIN distances p USING (window_id) JOIN distances q USING (window_id)
         WHERE p.x = n.x AND q.x = n.y AND p.y = q.y GROUP BY window_id, n.x, n.y""", "near"),
     "post_clusters": _with("SELECT window_id, post_id, cluster_id FROM labels", "labels"),
+    "post_clusters_wide": _with("SELECT window_id, post_id, cluster_id FROM labels", "labels",
+                                over=_windows_of(WIDE.window_minutes)),
+    "topic_sizes": _with(f"""
+        SELECT window_id, topic, count(*) AS n_headlines, CAST(sum(size) AS BIGINT) AS n_posts,
+               {_millionths('max(score)', 'score')},
+               row_number() OVER (PARTITION BY window_id ORDER BY round(max(score), 9) DESC, min(first)) AS rank,
+               row_number() OVER (PARTITION BY window_id ORDER BY round(max(score), 9) DESC, min(first)) <= {PARAMS.max_topics} AS listed
+        FROM grouped GROUP BY window_id, topic""", "grouped"),
     "cluster_sizes": _with("SELECT window_id, cluster_id, size FROM sizes", "sizes"),
     "cluster_scores": _with(f"SELECT window_id, cluster_id, size, {_millionths('score', 'score')}, rank FROM scored",
                             "scored"),

@@ -6,18 +6,22 @@ defaults are in `TopicParams`. Distances and weights come out as whole millionth
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstline.functions import text as tx
 from burstline.functions.words import SPAM_PHRASES
 from burstline.lineage import cut
+from burstline.operators import clusters as cl
 from burstline.operators import distance as ds
 from burstline.operators import features as ft
 from burstline.operators import filters as fl
 from burstline.operators import topics as tp
 from burstline.operators import weights as wt
 from burstline.operators import windows as wn
+from burstline.operators.linkage import cluster_patterns
 from burstline.params import TopicParams
 from burstline.plans import topics as pt
 from burstline.sources import posts as ps
@@ -25,7 +29,10 @@ from burstline.sources import tables as tb
 from burstline.sources import topics as ts
 
 PARAMS = TopicParams(window_minutes=60, min_df_floor=2, cluster_floor=2)
+# windows of many hours, for what is worked out block by block
+WIDE = replace(PARAMS, window_minutes=240)
 EVENT_MINUTES = 15
+USER_MINUTES = 24 * 60
 TOP_TERMS = 10
 # raw lines of posts shorter than this are broken off, as input for the malformed-row rules
 SHORT_LINE = 20
@@ -53,9 +60,9 @@ def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pt.window_posts(_posts(spark, sf_dir), PARAMS, dedupe=False, spam_phrases=PHRASES)[0]
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> pt.Corpus:
+def _corpus(spark: SparkSession, sf_dir: str, params: TopicParams = PARAMS) -> pt.Corpus:
     # post ids of lines are unique by construction
-    return pt.window_corpus(_posts(spark, sf_dir), PARAMS, dedupe=False, spam_phrases=PHRASES)
+    return pt.window_corpus(_posts(spark, sf_dir), params, dedupe=False, spam_phrases=PHRASES)
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +101,31 @@ def token_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.with_tokens(_posts(spark, sf_dir)).select("post_id", _joined("bag", ","))
 
 
+def spam_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts without the phrases of a table, and of the list."""
+    listed = spark.createDataFrame([(p,) for p in PHRASES], "phrase string")
+    phrases = tb.item_phrases(spark, sf_dir).unionByName(listed)
+    return fl.spam_filter_by_table(_posts(spark, sf_dir), phrases).select("post_id", "text")
+
+
+def bag_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token bags without the stop words of a table."""
+    return fl.with_tokens_by_table(_posts(spark, sf_dir), tb.short_words(spark, sf_dir)).select(
+        "post_id", _joined("words"), _joined("bag", ","))
+
+
+def deduped_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of which some come again, earlier or later and with another text: the earliest of each id."""
+    posts = _posts(spark, sf_dir).select("post_id", "ts", "text")
+    later = posts.filter("post_id % 3 = 0").select("post_id", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"),
+                                                   F.lit("later").alias("text"))
+    earlier = posts.filter("post_id % 5 = 0").select("post_id", (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("ts"),
+                                                     F.concat("text", F.lit(" earlier")).alias("text"))
+    same = posts.filter("post_id % 7 = 0").select("post_id", "ts", F.concat(F.lit("  "), "text").alias("text"))
+    every = posts.unionByName(later).unionByName(earlier).unionByName(same)
+    return ps.first_by_post_id(every).select("post_id", F.unix_timestamp("ts").alias("second"), "text")
+
+
 def eligible_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.eligible_posts(fl.with_tokens(_posts(spark, sf_dir))).select("post_id", _joined("bag", ","))
 
@@ -133,6 +165,23 @@ def raw_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected.groupBy(F.substring("line", 1, 12).alias("start")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def sorted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines broken in many ways: each is a post or a reject, with what it lacks."""
+    lines = _raw_lines(spark, sf_dir).filter(F.endswith("value", F.lit("}")))
+    kind = F.pmod(F.get_json_object("value", "$.id").cast("long"), F.lit(8))
+    value = (F.when(kind == 1, F.concat("value", F.lit(" and more")))
+             .when(kind == 2, F.concat("value", F.lit("}")))
+             .when(kind == 3, F.regexp_replace("value", '"lang":"[a-z]*",', ""))
+             .when(kind == 4, F.regexp_replace("value", '"created_at":"[^"]*"', '"created_at":"yesterday"'))
+             .when(kind == 5, F.regexp_replace("value", '"user":\\{[^}]*\\}', '"user":{"followers_count":3}'))
+             .when(kind == 6, F.concat(F.lit("["), "value", F.lit("]")))
+             .otherwise(F.col("value")))
+    sorted_ = ps.sorted_lines(ps.parse_raw_lines(lines.select(value.alias("value"))))
+    number = F.coalesce("post_id", F.regexp_extract("line", '"id":([0-9]+)', 1).cast("long"))
+    return sorted_.select(number.alias("post_id"), "kind", F.col("line").isNotNull().alias("broken"),
+                          F.when(F.col("line").isNull(), F.col("missing")).otherwise("").alias("missing"))
+
+
 def entity_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir).select(
         "post_id", *[_joined(c, ",") for c in ("hashtags", "users", "urls", "media_urls")])
@@ -163,6 +212,21 @@ def anchored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.anchored_windows(events, EVENT_MINUTES).select("event_id", "window_id")
 
 
+def anchored_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchored windows of each user's events, numbered, without closing events and open tails."""
+    events = tb.table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("post_id"), "ts")
+    windowed = cut(wn.anchored_windows(events, USER_MINUTES, by="user_id"))
+    sequence = wn.window_sequence(windowed, PARAMS.history_windows, by="user_id")
+    kept = wn.drop_triggers(wn.drop_open_tail(windowed, by="user_id"), by="user_id")
+    return kept.join(sequence, ["user_id", "window_id"]).select(
+        "user_id", F.col("post_id").alias("event_id"), "window_id", *[_long(c) for c in ("window_seq", "block", "place")])
+
+
+def anchored_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = pt.window_corpus(_posts(spark, sf_dir), PARAMS, anchored=True, dedupe=False, spam_phrases=PHRASES)
+    return corpus.stats().drop("window_start")
+
+
 def window_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     windowed = _windowed(spark, sf_dir)
     return wn.window_sequence(windowed, PARAMS.history_windows).select(
@@ -222,13 +286,19 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- distances ------------------------------------------------------------------------------------
 
 
-def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    vecs = cut(ds.vectors(_corpus(spark, sf_dir).patterns))
-    extremes = cut(ds.block_extremes(vecs, PARAMS.cut_share))
+def _near(spark: SparkSession, sf_dir: str, params: TopicParams = PARAMS,
+          block_rows: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
+    vecs = cut(ds.vectors(_corpus(spark, sf_dir, params).patterns))
+    extremes = cut(ds.block_extremes(vecs, PARAMS.cut_share, block_rows))
     cuts = cut(ds.distance_cut(extremes, PARAMS.cut_share))
     return vecs, cuts, ds.near_pairs(vecs, extremes, cuts)
 
 
+def near_pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near pairs of wide windows, found block by block."""
+    return _near(spark, sf_dir, WIDE, 64)[2].select("window_id", "x", "y", millionths(F.col("d")).alias("d"))
+
+
 def distance_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = cut(ds.vectors(_corpus(spark, sf_dir).patterns))
     cuts = ds.distance_cut(ds.block_extremes(vecs, PARAMS.cut_share), PARAMS.cut_share)
@@ -259,6 +329,18 @@ def post_clusters_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(spark, sf_dir, small_window=0).post_clusters().select("window_id", "post_id", "cluster_id")
 
 
+def post_clusters_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of wide windows, by the rounds."""
+    corpus = _corpus(spark, sf_dir, WIDE)
+    labels = cluster_patterns(corpus.patterns, WIDE.cut_share, 0, 64)
+    return cl.post_clusters(corpus.pruned, corpus.patterns, labels).select("window_id", "post_id", "cluster_id")
+
+
+def topic_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables(spark, sf_dir).topic_sizes().select(
+        "window_id", _long("topic"), "n_headlines", "n_posts", millionths(F.col("score")).alias("score"), _long("rank"), "listed")
+
+
 def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(spark, sf_dir).cluster_sizes()
 
@@ -301,16 +383,16 @@ def topic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.topic_lines(_tables(spark, sf_dir).topics)
 
 
-
-
 ALL = [
-    lang_filter, spam_filter, display_clean, normalized_text, tokens, token_bag, eligible_posts,
-    raw_ingest, raw_rejects, entity_arrays, created_at_parse,
-    aligned_windows, anchored_windows, anchored_events, window_sequence, window_stats,
+    lang_filter, spam_filter, spam_by_table, display_clean, normalized_text, tokens, token_bag, bag_by_table,
+    deduped_posts, eligible_posts,
+    raw_ingest, raw_rejects, sorted_lines, entity_arrays, created_at_parse,
+    aligned_windows, anchored_windows, anchored_events, anchored_users, window_sequence, window_stats,
+    anchored_window_stats,
     ngrams, min_df_vocabulary, pruned_posts, copies, term_df, history_mean, burst_weight,
     boosted_weight, top_terms,
-    distance_cut, pair_cosine, profile_distance,
-    post_clusters, post_clusters_rounds, cluster_sizes, cluster_scores, cluster_headlines, headline_cosine,
+    distance_cut, pair_cosine, near_pairs_wide, profile_distance,
+    post_clusters, post_clusters_rounds, post_clusters_wide, topic_sizes, cluster_sizes, cluster_scores, cluster_headlines, headline_cosine,
     headline_topics, topics, topics_rounds, topic_lines,
 ]
 QUERIES = {f.__name__: f for f in ALL}

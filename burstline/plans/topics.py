@@ -48,10 +48,15 @@ class TopicTables:
     scores: DataFrame
     headlines: DataFrame
     topics: DataFrame
+    groups: DataFrame
+    params: TopicParams
 
     def post_clusters(self) -> DataFrame:
         return cl.post_clusters(self.corpus.pruned, self.corpus.patterns, self.labels)
 
+    def topic_sizes(self) -> DataFrame:
+        return tp.topic_sizes(self.headlines, self.groups, self.params)
+
     def cluster_sizes(self) -> DataFrame:
         return cl.cluster_sizes(self.corpus.patterns, self.labels).select("window_id", "cluster_id", "size")
 
@@ -109,11 +114,11 @@ def topics_of_corpus(corpus: Corpus, weights: DataFrame, params: TopicParams,
     labels = cut(cluster_patterns(corpus.patterns, params.cut_share, small_window))
     scores = cl.cluster_scores(corpus.patterns, labels, weights, params)
     headlines = cut(cl.cluster_headlines(scores, corpus.eligible))
-    groups = tp.headline_topics(headlines, params)
+    groups = cut(tp.headline_topics(headlines, params))
     ranked = cut(tp.topic_scores(headlines, groups, params))
     fallback = tp.media_fallback(ranked, corpus.pruned, corpus.patterns, labels, corpus.eligible)
     return TopicTables(corpus, weights, labels, headlines.select(*scores.columns), headlines,
-                       tp.topic_rows(ranked, fallback))
+                       tp.topic_rows(ranked, fallback), groups, params)
 
 
 def detect_topics(posts: DataFrame, params: TopicParams | None = None, *, lexicon: DataFrame | None = None,

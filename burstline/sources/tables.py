@@ -43,6 +43,19 @@ def document_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def item_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of phrases: the second to fourth word of each benchmark item, as they stand."""
+    words = F.split(F.regexp_replace("text", r"[ \n]+", " "), " ")
+    return (table(spark, sf_dir, "benchmark").filter(F.size(words) >= 4)
+            .select(F.array_join(F.slice(words, 2, 3), " ").alias("phrase")).distinct())
+
+
+def short_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of stop words: the words of one to four letters in the benchmark items, in lower case."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w"))
+    return words.filter((F.length("w") > 0) & (F.length("w") < 5)).select(F.lower("w").alias("word")).distinct()
+
+
 def capital_words(spark: SparkSession, sf_dir: str, boost: float = 2.5) -> DataFrame:
     """A lexicon of names: words that the benchmark table writes with a capital."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w"))
