@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from burstline.lineage import cut as cut_lineage
 from burstline.operators import distance as ds
-from burstline.operators.distance import DIGITS, ProfileSpace, profile_distances
+from burstline.operators.distance import DIGITS, ROUNDING, ProfileSpace, centroid_distances, profile_distances
 
 # patterns of a window that one task clusters by itself
 SMALL_WINDOW = 512
+# pairs of clusters with so many pairs of patterns are first bounded by their means
+MANY_PAIRS = 16
 
 
 def cluster_patterns(pats: DataFrame, cut_share: float = 0.5, small_window: int = SMALL_WINDOW,
@@ -36,7 +38,7 @@ def cluster_patterns(pats: DataFrame, cut_share: float = 0.5, small_window: int
     vecs = cut_lineage(vecs.join(large, "window_id", "left_semi"))
     extremes = cut_lineage(ds.block_extremes(vecs, cut_share, block_rows))
     cuts = cut_lineage(ds.distance_cut(extremes, cut_share))
-    pairs = cut_lineage(ds.near_pairs(vecs, extremes, cuts))
+    pairs = cut_lineage(ds.within_bound(vecs, cut_lineage(ds.near_pairs(vecs, extremes, cuts)), cuts))
     space = ds.profile_space(vecs, pairs)
     labels = average_linkage(space, close_pairs(profile_distances(space, pairs), cuts))
     return whole.unionByName(
@@ -150,8 +152,31 @@ def _relink(space: ProfileSpace, members: DataFrame, links: DataFrame, moved: Da
     return out.filter(d <= F.round("cut", DIGITS))
 
 
+def within_reach(space: ProfileSpace, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of clusters but for those of many patterns whose mean profiles already lie further apart than the cut.
+
+    The mean distance between two clusters is at least the distance of their means, so such pairs never merge, and
+    the distances between their patterns need not be worked out.
+    """
+    counts = members.groupBy("window_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+    def of(end: str) -> DataFrame:
+        return counts.select("window_id", F.col("cluster_id").alias(end), F.col("n").alias("patterns_" + end))
+
+    sized = cut_lineage(pairs.join(of("x"), ["window_id", "x"]).join(of("y"), ["window_id", "y"])
+                        .withColumn("many", F.col("patterns_x") * F.col("patterns_y") >= MANY_PAIRS))
+    many = sized.filter("many")
+    if many.isEmpty():
+        return pairs
+    near = (centroid_distances(space, members, many).join(many.select("window_id", "x", "y", "cut"), ["window_id", "x", "y"])
+            .filter(F.col("e") <= F.col("cut") + ROUNDING).select("window_id", "x", "y"))
+    kept = many.join(near, ["window_id", "x", "y"], "left_semi")
+    return sized.filter("NOT many").unionByName(kept).select(*pairs.columns)
+
+
 def _full_totals(space: ProfileSpace, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sum of the profile distances between all posts of two clusters."""
+    """Sum of the profile distances between all posts of two clusters, where those may be within the cut."""
+    pairs = within_reach(space, members, pairs)
 
     def side(cluster: str, pattern: str) -> DataFrame:
         return members.select("window_id", F.col("cluster_id").alias(cluster),
