@@ -32,6 +32,7 @@ from burstline.lineage import cut
 from burstline.llm.graph import components
 from burstline.llm.hashing import batches, mixed, shingles_of, words_of
 from burstline.llm.text import text_or_empty
+from burstline.llm.workers import tidy
 
 # shingles that stand last in the order: at most so many, which bounds what every task is sent
 MAX_COMMON = 200_000
@@ -100,7 +101,7 @@ def _measure(docs: DataFrame, params: JoinParams, seed: int) -> DataFrame:
                         [*[pa.nulls(k, pa.int64())] * 3, pa.array(seen[often].view(np.int64)),
                          pa.array(count[often].astype(np.int64)), pa.nulls(k, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long, h long, check long, point binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, key long, n long, h long, check long, point binary")
 
 
 def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], params: JoinParams, seed: int) -> DataFrame:
@@ -132,7 +133,7 @@ def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], params: Jo
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(h[first], times)),
                      pa.array(np.repeat(n[first], times).astype(np.int32))], ["key", "h", "n"])
 
-    return docs.mapInArrow(run, "key long, h long, n int")
+    return docs.mapInArrow(tidy(run), "key long, h long, n int")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, params: JoinParams, seed: int) -> DataFrame:
@@ -161,7 +162,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, params: JoinParams, seed: int)
                         [pa.array(h[first]), pa.array(n[first].astype(np.int32)),
                          pa.array([sets[i].tobytes() for i in first], pa.binary())], ["h", "n", "members"])
 
-    return docs.mapInArrow(run, "h long, n int, members binary").groupBy("h").agg(F.first("members").alias("members"))
+    return docs.mapInArrow(tidy(run), "h long, n int, members binary").groupBy("h").agg(F.first("members").alias("members"))
 
 
 # ---- verification and points ------------------------------------------------------------------------------
@@ -181,7 +182,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFram
 
     return (pairs.join(sets.select(F.col("h").alias("a"), F.col("members").alias("x")), "a")
             .join(sets.select(F.col("h").alias("b"), F.col("members").alias("y")), "b")
-            .select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+            .select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long"))
 
 
 def point(members: np.ndarray, groups: int) -> bytes:
@@ -353,7 +354,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, params: JoinParams) -> DataFra
     return (pairs.join(points.select(F.col("h").alias("a"), "n", F.col("point").alias("x")), "a")
             .join(points.select(F.col("h").alias("b"), F.col("n").alias("m"), F.col("point").alias("y")), "b")
             .where(F.least("n", "m").cast("long") * 100 >= F.greatest("n", "m").cast("long") * percent)
-            .select("a", "b", "votes", "n", "m", "x", "y").mapInArrow(run, "a long, b long, votes long"))
+            .select("a", "b", "votes", "n", "m", "x", "y").mapInArrow(tidy(run), "a long, b long, votes long"))
 
 
 # ---- the join ---------------------------------------------------------------------------------------------

@@ -4,8 +4,8 @@ A document fills as many whole windows as it can by itself; what is left of it,
 tails that resemble it. Tails are dealt to shards by their rarest token, so that those with a rare token in
 common meet. Each shard, a bounded block of tails, is an inverted index of BM25 weights, with token
 frequencies and lengths counted over all tails. The first unused tail seeds a window; its weightiest
-tokens are looked up, and the best unused neighbours are put in as long as they fit. If the window
-still has room, the best one that did not fit is cut to fill it, and what remains of that one stays in the
+tokens are looked up, and the best unused neighbours are put in as long as they fit, lookup after lookup. If the
+window still has room, the best one that did not fit is cut to fill it, and what remains of that one stays in the
 index. Without neighbours, the next unused tail goes in.
 
 So every window is full but the last of a partition, which is cut into powers of two: no token is padding.
@@ -27,6 +27,7 @@ from burstline.lineage import cut
 from burstline.llm.hashing import batches
 from burstline.llm.text import text_or_empty
 from burstline.llm.tokens import tokenizer
+from burstline.llm.workers import tidy
 
 _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
            "sequence_tokens long")
@@ -72,7 +73,7 @@ def _tokenized(docs: DataFrame, path: str, params: PackParams) -> DataFrame:
                     ["doc_id", "doc_tokens", "first", "crcs", "tail"])
         words.forget()
 
-    return docs.mapInArrow(run, "doc_id long, doc_tokens long, first long, crcs array<long>, tail binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, doc_tokens long, first long, crcs array<long>, tail binary")
 
 
 def short_ids(path: str) -> bool:
@@ -99,7 +100,7 @@ def _statistics(tails: DataFrame, path: str) -> tuple[np.ndarray, float]:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["token", "df"])
 
-    counted = tails.mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).toArrow()
+    counted = tails.mapInArrow(tidy(run), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(tokenizer(path).size + 2, np.int64)
     df[counted.column("token").to_numpy()] = counted.column("df").to_numpy()
     return df, float(df[-1]) / max(1.0, float(df[-2]))
@@ -164,19 +165,17 @@ class Shard:
         first = self.seed()
         pieces = [self.take(first, self.params.window)]
         room = self.params.window - pieces[0][2]
-        waiting = self.neighbours(first) if room else []
-        too_long = []
-        for i in waiting:
-            if not room:
-                break
-            if self.left(i) <= room:
-                pieces.append(self.take(i, room))
-                room -= pieces[-1][2]
-            else:
-                too_long.append(i)
+        while room and (waiting := self.neighbours(first)):
+            too_long = [i for i in waiting if self.left(i) > room]
+            for i in waiting:
+                if 0 < self.left(i) <= room:
+                    pieces.append(self.take(i, room))
+                    room -= pieces[-1][2]
+            if room and too_long:  # cut to fill the window; else all offered ones are used up, and others are looked up
+                pieces.append(self.take(too_long[0], room))
+                room = 0
         while room:
-            i = too_long.pop(0) if too_long else self.seed()
-            pieces.append(self.take(i, room))
+            pieces.append(self.take(self.seed(), room))
             room -= pieces[-1][2]
         return pieces
 
@@ -274,6 +273,6 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         return _packed(frames, shared.value, mean, short_ids(tokenizer_path), params)
 
     # a token that a third of all tails have as their rarest would make one partition: it is split by size
-    spread = (tails.mapInArrow(routed, "doc_id long, doc_tokens long, tail binary, route int").hint("rebalance", "route")
+    spread = (tails.mapInArrow(tidy(routed), "doc_id long, doc_tokens long, tail binary, route int").hint("rebalance", "route")
               .sortWithinPartitions("route", "doc_tokens", "doc_id", F.xxhash64("tail")))
-    return single.unionByName(spread.mapInArrow(packed, _PIECES))
+    return single.unionByName(spread.mapInArrow(tidy(packed), _PIECES))

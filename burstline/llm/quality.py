@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from burstline.lineage import cut
 from burstline.llm.text import text_or_empty
+from burstline.llm.workers import give_back
 
 NGRAM = 4  # characters of a hashed n-gram
 _BUCKET_BITS = 11
@@ -109,7 +110,9 @@ class DocumentModel:
         intercept, weights = self.intercept, np.array(self.weights)
 
         def judged(texts: pd.Series) -> pd.Series:
-            return pd.Series([intercept + float(evidence(t) @ weights) for t in texts], dtype="float64")
+            out = pd.Series([intercept + float(evidence(t) @ weights) for t in texts], dtype="float64")
+            give_back()
+            return out
 
         return F.pandas_udf(judged, "double")(text) if weights.any() else F.lit(intercept)
 

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from burstline.llm import tokens
-from burstline.llm.packing import PackParams, pack
+from burstline.llm.packing import PackParams, Shard, pack
 from burstline.llm.tokens import WordTokenizer
 from tests.llm.cases import table, texts
 
@@ -69,3 +69,15 @@ def test_tokenizer_with_memory_equals_the_library(monkeypatch):
         for _ in range(2):
             ids, bounds = own.encode(rows)
             assert [ids[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])] == want
+
+
+def test_neighbours_are_looked_up_until_none_is_left():
+    # a hundred short tails share a token with the seed, far more than one lookup offers
+    alike = [np.array([7, 100 + k, 7], "<u2") for k in range(100)]
+    others = [np.array([9, 400 + k, 9], "<u2") for k in range(200)]
+    tails = [alike[0], *[t for pair in zip(others, [*alike[1:], *others[100:]]) for t in pair]]
+    idf = np.ones(1000, np.float32)
+    shard = Shard(tails, idf, 3.0, PackParams(window=256, neighbours=8))
+    pieces = shard.window()
+    taken = [tails[i][0] for i, _, _ in pieces]
+    assert sum(n for _, _, n in pieces) == 256 and set(taken) == {7}
