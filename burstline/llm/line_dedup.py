@@ -1,11 +1,12 @@
 """Deleting repeated runs of lines by winnowing.
 
-A window is the shortest run of whole lines, from a line on, that has `min_words` words; lines without words
-are passed over. Each window selects the smallest hash among its lines, the last one if there are several:
-its fingerprint. Two equal windows select the same line, so every repeat of a window's length shares a
+A window is a run of whole lines of `min_words` words or more that has fewer without its first or without its last line;
+lines without words are passed over. Each window selects the smallest hash among its lines, the last one if
+there are several: its fingerprint. Two equal windows select the same line, so every repeat of a window's length shares a
 fingerprint for certain. Occurrences of a fingerprint meet by its hash; each brings the windows that selected
-it, which are the ways to extend a match at that line to the left and right. A window that an earlier
-occurrence has as well is a match, matches that overlap make one run, and the lines of the run go.
+it, which reach from it to the left and to the right as far as a match must. A window that an earlier
+occurrence has as well is a match, and matches that overlap make one run. Every line of a repeated run of
+`min_words` words or more lies in a window inside the run, so runs are maximal; their lines go.
 
 Windows are counted before they are joined, so only those that occur again reach the join.
 """
@@ -44,10 +45,15 @@ def _windows(rows: DataFrame, min_words: int) -> DataFrame:
     reach = text.orderBy("start").rangeBetween(Window.unboundedPreceding, min_words - 1)
     ahead = text.orderBy("start").rowsBetween(0, min_words - 1)
     placed = placed.select(
-        "id", "key", "nth", "start", "total", (F.count("*").over(reach) - F.col("nth")).cast("int").alias("size"),
+        "id", "key", "nth", "start", "total", (F.count("*").over(text) - F.col("nth")).cast("int").alias("left"), (F.count("*").over(reach) - F.col("nth")).cast("int").alias("size"),
         F.collect_list(F.struct("one", (-F.col("nth")).alias("last"), "two")).over(ahead).alias("lines"))
+    # the shortest window from this line on, and those that end before the shortest one from the next line on does
+    in_order = text.orderBy("start")
+    placed = placed.withColumns({"after": F.lead("size").over(in_order), "next": F.lead("start").over(in_order)})
+    longest = F.when(F.col("next") + min_words <= F.col("total"), F.greatest("size", "after")).otherwise(F.col("left"))
     inside = F.slice("lines", 1, F.col("size"))
-    return (placed.where(F.col("start") + min_words <= F.col("total")).withColumn("inside", inside)
+    return (placed.where(F.col("start") + min_words <= F.col("total"))
+            .withColumn("size", F.explode(F.sequence("size", longest))).withColumn("inside", inside)
             .select("id", "key", "nth", "size", F.array_min("inside")["one"].alias("print"),
                     F.xxhash64(F.transform("inside", lambda x: x["one"])).alias("one"),
                     F.xxhash64(F.transform("inside", lambda x: x["two"])).alias("two")))

@@ -23,16 +23,19 @@ w AS (
   FROM a WHERE replace(line, ' ', '') <> ''),
 s AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS start,
     sum(words) OVER (PARTITION BY doc_id) AS total FROM w),
-e AS (
-  SELECT *, count(*) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING
-      AND {MIN_WORDS - 1} FOLLOWING) - nth AS size,
-    list(line) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING) AS ahead
+e AS (SELECT *, list(line) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING) AS ahead
   FROM s),
+-- runs of {MIN_WORDS} words or more that have fewer without their first or without their last line
+v AS (
+  SELECT x.doc_id, x.nth, y.nth - x.nth + 1 AS size, ahead[1:y.nth - x.nth + 1] AS win
+  FROM e AS x JOIN s AS y ON y.doc_id = x.doc_id AND y.nth BETWEEN x.nth AND x.nth + {MIN_WORDS - 1}
+  WHERE y.start + y.words - x.start >= {MIN_WORDS}
+    AND (y.start - x.start < {MIN_WORDS} OR y.start + y.words - x.start - x.words < {MIN_WORDS})),
 r AS (
   SELECT doc_id, nth, size,
-    first_value(doc_id) OVER (PARTITION BY ahead[1:size] ORDER BY doc_id, nth) AS first_doc,
-    first_value(nth) OVER (PARTITION BY ahead[1:size] ORDER BY doc_id, nth) AS first_nth
-  FROM e WHERE start + {MIN_WORDS} <= total),
+    first_value(doc_id) OVER (PARTITION BY win ORDER BY doc_id, nth) AS first_doc,
+    first_value(nth) OVER (PARTITION BY win ORDER BY doc_id, nth) AS first_nth
+  FROM v),
 g AS (SELECT DISTINCT doc_id, unnest(range(nth, nth + size)) AS nth FROM r
   WHERE doc_id > first_doc OR doc_id = first_doc AND nth > first_nth),
 n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < nth - 1) AS n_runs

@@ -9,14 +9,13 @@ def brute(rows, min_words):
         lines = (t or "").split("\n")
         at = [p for p, x in enumerate(lines) if x.replace(" ", "")]
         words = [len(lines[p]) - len(lines[p].replace(" ", "")) + 1 for p in at]
-        windows = []
+        windows = []  # all runs of so many words, however long
         for a in range(len(at)):
             total = 0
             for b in range(a, len(at)):
                 total += words[b]
                 if total >= min_words:
                     windows.append((a, b, tuple(lines[p] for p in at[a:b + 1])))
-                    break
         docs.append((i, lines, at, windows))
     first = {}
     for i, _, _, windows in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
@@ -43,6 +42,20 @@ def test_against_brute_force(spark):
     assert any(r.n_removed for r in got)
 
 
+def test_nothing_of_a_repeated_run_stays(spark):
+    rng = random.Random(6)
+    copies = []
+    for shape in ([60, 8], [8, 60], [10, 22, 93, 2], [3, 49, 1], [1] * 60, [49]):
+        passage = "\n".join(prose(rng, n) for n in shape)
+        copies += [(shape, prose(rng, 7) + "\n" + passage + "\n" + prose(rng, 9)) for _ in range(3)]
+    rows = [(k, t) for k, (_, t) in enumerate(copies)]
+    got = {r.doc_id: r for r in delete_repeated_lines(table(spark, rows)).collect()}
+    for k, (shape, _) in enumerate(copies):
+        gone = len(shape) if k % 3 and sum(shape) >= 50 else 0
+        assert (got[k].n_removed, got[k].n_runs) == (gone, int(gone > 0)), (shape, got[k])
+    assert as_text(got.values()) == as_text(brute(rows, 50))
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     rows = texts(3)
     got = delete_repeated_lines(table(spark, rows))
