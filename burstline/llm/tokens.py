@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,26 @@ import regex
 
 # bytes that words, and parts of words, with their ids may take in a worker; beyond, all are forgotten
 MEMORY = 48 << 20
+# characters beyond printable Latin letters, line ends and blanks
+_ODD_LETTER = "[^\n\x20-\x7e\u00a1-\u00ac\u00ae-\u012f]"
 _ENTRY = 160  # a word and its ids in a dictionary, besides their characters and bytes
 
 
+_BLANK, _LETTER, _NUMERAL, _OTHER = range(4)
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each character up to U+012F: by its byte, or from 256 on by the two of its code."""
+    def kind(c: str) -> int:
+        name = unicodedata.category(c)[0]
+        return _BLANK if c.isspace() else _LETTER if name == "L" else _NUMERAL if name == "N" else _OTHER
+
+    return np.array([kind(chr(c)) for c in range(256)] + [kind(chr(c)) for c in range(0x80, 0x140)], np.uint8)
+
+
+_KIND = _kinds()
+
+
 def byte_letters() -> list[str]:
     """The letter by which byte-level vocabularies write each byte: itself if printable, else the next from 256 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -71,22 +89,33 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): the ids of text i are ids[bounds[i]:bounds[i + 1]], unsigned 32-bit.
 
-        Each distinct word of the texts is looked up once.
+        Each distinct word, or part of a word, of the texts is looked up once.
         """
-        blank = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
-        lists = pc.split_pattern(blank, " ")
-        words = lists.flatten().dictionary_encode()
-        at = words.indices.to_numpy()
-        bounds = lists.offsets.to_numpy()
-        found = self._lookup(words.dictionary.to_pylist())
+        units, (first, last) = self._units(pa.array(texts, pa.large_string()))
+        units = units.dictionary_encode()
+        found = self._lookup(units.dictionary.to_pylist())
         ids = np.frombuffer(b"".join(found), "<u4")
         n = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begin = (np.cumsum(n) - n)[at]
+        # the units of the texts, one text after the other
+        count = last - first
+        at = units.indices.to_numpy()[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())]
         taken = n[at]
-        ends = np.cumsum(taken)
-        total = int(ends[-1]) if len(ends) else 0
-        out = ids[np.repeat(begin - (ends - taken), taken) + np.arange(total)]
-        return out, np.concatenate([[0], ends])[bounds]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        out = ids[np.repeat((np.cumsum(n) - n)[at] - ends[:-1], taken) + np.arange(ends[-1])]
+        return out, ends[np.concatenate([[0], np.cumsum(count)])]
+
+    def _units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(strings, bounds) per text, whose ids in a row are those of the text: parts by the kind of their letters, in
+        lower case, where that is all that normalising does; else what stands between blanks."""
+        odd = pc.match_substring_regex(texts, _ODD_LETTER)
+        for s in self._special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        parts, at = _parts(pc.utf8_lower(texts.filter(pc.invert(odd))))
+        rest = pc.split_pattern(pc.replace_substring(texts.filter(odd), "\n", " "), " ")
+        places = np.concatenate([at, len(parts) + rest.offsets.to_numpy()[1:]])
+        # texts with odd letters stand behind the others
+        rank = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        return pa.concat_arrays([parts, rest.flatten()]), np.stack([places[:-1][rank], places[1:][rank]])
 
     def _lookup(self, words: list[str]) -> list[bytes]:
         out = []
@@ -102,6 +131,30 @@ class WordTokenizer:
         return out
 
 
+def _parts(low: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(strings, bounds): runs of letters, single numerals, runs of other characters and runs of white space of texts
+    without odd letters, each word with an apostrophe in one."""
+    offsets = np.frombuffer(low.buffers()[1], np.int64, len(low) + 1, low.offset * 8)
+    data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    begins = offsets - offsets[0]
+    kind = _KIND[data]
+    wide = np.flatnonzero(data >= 0xC2)  # two bytes
+    kind[wide] = kind[wide + 1] = _KIND[0x100 + (data[wide] - 0xC2).astype(np.int64) * 64 + (data[wide + 1] & 63)]
+    new = np.ones(len(data) + 1, bool)
+    new[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMERAL)
+    new[wide + 1] = False
+    new[begins] = True
+    if (data == 0x27).any():  # what follows an apostrophe depends on what stands before it
+        edge = new[:-1] & ((kind == _BLANK) | np.concatenate([[True], kind[:-1] == _BLANK]))
+        edge[begins[:-1][begins[:-1] < len(data)]] = True
+        word = np.cumsum(edge) - 1
+        whole = np.bincount(word[data == 0x27], minlength=word[-1] + 1) > 0
+        new[:-1] &= edge | ~whole[word]
+    starts = np.flatnonzero(new)
+    strings = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data.tobytes()))
+    return strings, np.searchsorted(starts, begins)
+
+
 _loaded: dict[str, WordTokenizer] = {}
 
 
