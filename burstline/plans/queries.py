@@ -71,7 +71,7 @@ def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tables(spark: SparkSession, sf_dir: str, **more) -> pt.TopicTables:
     corpus = _corpus(spark, sf_dir)
-    return pt.topics_of_corpus(corpus, pt.term_weights(corpus, tb.capital_words(spark, sf_dir)), PARAMS, **more)
+    return pt.TopicTables(corpus, pt.term_weights(corpus, tb.capital_words(spark, sf_dir)), PARAMS, **more)
 
 
 # -- filters and text -----------------------------------------------------------------------------

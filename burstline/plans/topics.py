@@ -1,13 +1,13 @@
 """Batch job: extracted posts to topics, stage by stage.
 
-Steps that several later steps read are cut (written to the shared folder once): the eligible posts,
-the pruned posts, their patterns, the cluster labels and the headlines.
+Steps that several later steps read are cut (written to the shared folder once), when they are first asked for: the
+eligible posts, the vocabulary, the pruned posts, their patterns, the cluster labels, the headlines and their groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,31 +25,65 @@ from burstline.sources.posts import first_by_post_id, read_posts
 from burstline.sources.topics import write_topics_tsv
 
 
-@dataclass(frozen=True)
 class Corpus:
-    """Posts of all windows and what is left of them after each filter."""
+    """Posts of all windows and what is left of them after each filter. Each table is made when it is first read."""
 
-    windowed: DataFrame
-    sequence: DataFrame
-    eligible: DataFrame
-    vocab: DataFrame
-    pruned: DataFrame
-    patterns: DataFrame
+    def __init__(self, windowed: DataFrame, sequence: DataFrame, params: TopicParams,
+                 stop_words: Sequence[str] = STOP_WORDS) -> None:
+        self.windowed, self.sequence, self.params, self._stop_words = windowed, sequence, params, stop_words
+
+    @cached_property
+    def eligible(self) -> DataFrame:
+        tokens = fl.with_tokens(self.windowed, self._stop_words)
+        return cut(fl.eligible_posts(tokens).select("window_id", "post_id", "ts", "text", "media_urls", "bag"))
+
+    @cached_property
+    def _terms(self) -> DataFrame:
+        return ft.post_terms(self.eligible)
+
+    @cached_property
+    def vocab(self) -> DataFrame:
+        return cut(ft.vocabulary(self._terms, self.eligible, self.params.min_df_floor, self.params.min_df_share))
+
+    @cached_property
+    def pruned(self) -> DataFrame:
+        return cut(ft.pruned_posts(self._terms, self.vocab, self.params.min_post_terms))
+
+    @cached_property
+    def patterns(self) -> DataFrame:
+        return cut(ft.patterns(self.pruned))
 
     def stats(self) -> DataFrame:
         return ft.window_stats(self.sequence, self.windowed, self.eligible, self.vocab, self.pruned)
 
 
-@dataclass(frozen=True)
 class TopicTables:
-    corpus: Corpus
-    weights: DataFrame
-    labels: DataFrame
-    scores: DataFrame
-    headlines: DataFrame
-    topics: DataFrame
-    groups: DataFrame
-    params: TopicParams
+    """All tables of a topic run. Each is made when it is first read."""
+
+    def __init__(self, corpus: Corpus, weights: DataFrame, params: TopicParams, small_window: int = SMALL_WINDOW) -> None:
+        self.corpus, self.weights, self.params, self._small_window = corpus, weights, params, small_window
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return cut(cluster_patterns(self.corpus.patterns, self.params.cut_share, self._small_window))
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return cut(cl.cluster_scores(self.corpus.patterns, self.labels, self.weights, self.params))
+
+    @cached_property
+    def headlines(self) -> DataFrame:
+        return cut(cl.cluster_headlines(self.scores, self.corpus.eligible))
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        return cut(tp.headline_topics(self.headlines, self.params))
+
+    @cached_property
+    def topics(self) -> DataFrame:
+        ranked = cut(tp.topic_scores(self.headlines, self.groups, self.params))
+        fallback = tp.media_fallback(ranked, self.corpus.pruned, self.corpus.patterns, self.labels, self.corpus.eligible)
+        return tp.topic_rows(ranked, fallback)
 
     def post_clusters(self) -> DataFrame:
         return cl.post_clusters(self.corpus.pruned, self.corpus.patterns, self.labels)
@@ -91,17 +125,7 @@ def window_corpus(posts: DataFrame, params: TopicParams | None = None, *,
                   stop_words: Sequence[str] = STOP_WORDS, **windowing) -> Corpus:
     params = params or TopicParams()
     windowed, sequence = window_posts(posts, params, **windowing)
-    return corpus_of_windows(windowed, sequence, params, stop_words)
-
-
-def corpus_of_windows(windowed: DataFrame, sequence: DataFrame, params: TopicParams,
-                      stop_words: Sequence[str] = STOP_WORDS) -> Corpus:
-    tokens = fl.with_tokens(windowed, stop_words)
-    eligible = cut(fl.eligible_posts(tokens).select("window_id", "post_id", "ts", "text", "media_urls", "bag"))
-    terms = ft.post_terms(eligible)
-    vocab = cut(ft.vocabulary(terms, eligible, params.min_df_floor, params.min_df_share))
-    pruned = cut(ft.pruned_posts(terms, vocab, params.min_post_terms))
-    return Corpus(windowed, sequence, eligible, vocab, pruned, cut(ft.patterns(pruned)))
+    return Corpus(windowed, sequence, params, stop_words)
 
 
 def term_weights(corpus: Corpus, lexicon: DataFrame | None = None) -> DataFrame:
@@ -109,25 +133,13 @@ def term_weights(corpus: Corpus, lexicon: DataFrame | None = None) -> DataFrame:
     return wt.boost_terms(wt.burst_weight(wt.history_mean(df, corpus.sequence)), lexicon)
 
 
-def topics_of_corpus(corpus: Corpus, weights: DataFrame, params: TopicParams,
-                     small_window: int = SMALL_WINDOW) -> TopicTables:
-    labels = cut(cluster_patterns(corpus.patterns, params.cut_share, small_window))
-    scores = cl.cluster_scores(corpus.patterns, labels, weights, params)
-    headlines = cut(cl.cluster_headlines(scores, corpus.eligible))
-    groups = cut(tp.headline_topics(headlines, params))
-    ranked = cut(tp.topic_scores(headlines, groups, params))
-    fallback = tp.media_fallback(ranked, corpus.pruned, corpus.patterns, labels, corpus.eligible)
-    return TopicTables(corpus, weights, labels, headlines.select(*scores.columns), headlines,
-                       tp.topic_rows(ranked, fallback), groups, params)
-
-
 def detect_topics(posts: DataFrame, params: TopicParams | None = None, *, lexicon: DataFrame | None = None,
                   stop_words: Sequence[str] = STOP_WORDS, small_window: int = SMALL_WINDOW,
                   **windowing) -> TopicTables:
     """All tables of a topic run over extracted posts."""
     params = params or TopicParams()
     corpus = window_corpus(posts, params, stop_words=stop_words, **windowing)
-    return topics_of_corpus(corpus, term_weights(corpus, lexicon), params, small_window)
+    return TopicTables(corpus, term_weights(corpus, lexicon), params, small_window)
 
 
 def run(spark: SparkSession, posts_path: str, out_path: str, minutes: float = 15.0,

@@ -33,7 +33,8 @@ def document_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = docs.join(media, "doc_id", "left").select(
         "doc_id", "lang", "url", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     return lines.select(
-        (F.col("doc_id") * LINES_PER_DOCUMENT + F.col("line_no")).alias("post_id"),
+        F.when(F.col("line_no") < LINES_PER_DOCUMENT, F.col("doc_id") * LINES_PER_DOCUMENT + F.col("line_no"))
+        .otherwise(F.raise_error(F.lit("a document has too many lines for its post ids"))).alias("post_id"),
         F.timestamp_seconds(FIRST_SECOND + F.col("doc_id") * DOCUMENT_SECONDS + F.col("line_no")).alias("ts"),
         "text", "lang",
         F.regexp_extract_all("text", F.lit(r"@(\w+)"), 1).alias("users"),

@@ -33,7 +33,7 @@ from burstline.operators import filters as fl
 from burstline.operators import weights as wt
 from burstline.operators import windows as wn
 from burstline.params import TopicParams
-from burstline.plans.topics import corpus_of_windows, topics_of_corpus
+from burstline.plans.topics import Corpus, TopicTables
 from burstline.sources.posts import first_by_post_id
 
 _STATE = ("open_anchor long, newest long, newest_ms long, horizon long, windows_done long, "
@@ -161,7 +161,7 @@ class TopicStream:
         last, last_block = sequence.agg(F.max("window_seq"), F.max("block")).first()
         if last is None:
             return done, history
-        corpus = corpus_of_windows(closed.filter(~F.col("trigger")), sequence, self.params, self.stop_words)
+        corpus = Corpus(closed.filter(~F.col("trigger")), sequence, self.params, self.stop_words)
         df = cut(ft.term_df(corpus.patterns, corpus.vocab))
 
         block = F.col("block") == done // size
@@ -171,7 +171,7 @@ class TopicStream:
         mean = wt.history_mean(df.unionByName(past.select(*df.columns)), sequence.unionByName(past_windows))
         now = mean.join(sequence.select("window_id"), "window_id", "left_semi")
         weights = wt.boost_terms(wt.burst_weight(now), self.lexicon)
-        found = topics_of_corpus(corpus, weights, self.params).topics
+        found = TopicTables(corpus, weights, self.params).topics
 
         df.join(sequence.select("window_id", "block"), "window_id").write.mode("overwrite").parquet(
             self._folder("term_df", batch_id))
