@@ -338,7 +338,7 @@ def _candidates(members: DataFrame, points: DataFrame, params: JoinParams) -> Da
             yield _searched(held, percent)
 
     return (rows.repartition("key", "from", "to").sortWithinPartitions("key", "from", "to", "other", "n", "h")
-            .mapInPandas(run, "a long, b long").distinct())
+            .mapInPandas(tidy(run), "a long, b long").distinct())
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, params: JoinParams) -> DataFrame:

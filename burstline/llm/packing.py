@@ -50,7 +50,7 @@ class PackParams:
 
 def _tokenized(docs: DataFrame, path: str, params: PackParams) -> DataFrame:
     """(doc_id, doc_tokens, first, crcs, tail): whole windows by number and checksum, and the ids of the tail."""
-    size = params.window
+    size, short = params.window, short_ids(tokenizer(path).size)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = tokenizer(path), np.array([params.end_id], "<u4")
@@ -66,7 +66,7 @@ def _tokenized(docs: DataFrame, path: str, params: PackParams) -> DataFrame:
                     first.append(number)
                     number += whole
                     crcs.append([zlib.crc32(text[i * size:(i + 1) * size]) for i in range(whole)])
-                    tails.append(text[whole * size:].astype("<u2" if short_ids(path) else "<u4").tobytes())
+                    tails.append(text[whole * size:].astype("<u2" if short else "<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [f.column("doc_id").slice(part.start, len(part)), pa.array(tokens, pa.int64()), pa.array(first, pa.int64()),
                      pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())],
@@ -76,20 +76,20 @@ def _tokenized(docs: DataFrame, path: str, params: PackParams) -> DataFrame:
     return docs.mapInArrow(tidy(run), "doc_id long, doc_tokens long, first long, crcs array<long>, tail binary")
 
 
-def short_ids(path: str) -> bool:
-    """Whether ids fit in 16 bits."""
-    return tokenizer(path).size <= 1 << 16
+def short_ids(size: int) -> bool:
+    """Whether the ids of a vocabulary fit in 16 bits."""
+    return size <= 1 << 16
 
 
 def _ids(tail: bytes, short: bool) -> np.ndarray:
     return np.frombuffer(tail, "<u2" if short else "<u4")
 
 
-def _statistics(tails: DataFrame, path: str) -> tuple[np.ndarray, float]:
+def _statistics(tails: DataFrame, size: int) -> tuple[np.ndarray, float]:
     """How many tails hold each token, and their mean length. One number a token of the vocabulary."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short, df = short_ids(path), np.zeros(tokenizer(path).size + 2, np.int64)
+        short, df = short_ids(size), np.zeros(size + 2, np.int64)
         for f in frames:
             for t in f.column("tail").to_pylist():
                 ids = _ids(t, short)
@@ -101,7 +101,7 @@ def _statistics(tails: DataFrame, path: str) -> tuple[np.ndarray, float]:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["token", "df"])
 
     counted = tails.mapInArrow(tidy(run), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(tokenizer(path).size + 2, np.int64)
+    df = np.zeros(size + 2, np.int64)
     df[counted.column("token").to_numpy()] = counted.column("df").to_numpy()
     return df, float(df[-1]) / max(1.0, float(df[-2]))
 
@@ -257,20 +257,21 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         F.col("crc").alias("ids_crc32"), "doc_tokens", (F.col("first") + F.col("i")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"), F.lit(params.window).cast("long").alias("sequence_tokens"))
     tails = made.where(F.length("tail") > 0).select("doc_id", "doc_tokens", "tail")
-    df, mean = _statistics(tails, tokenizer_path)
+    size = tokenizer(tokenizer_path).size
+    df, mean = _statistics(tails, size)
     n, df = max(1, int(df[-2])), df[:-2]
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     idf[df < 2] = 0  # no other tail has it
     shared = docs.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
 
     def routed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short, rare = short_ids(tokenizer_path), shared.value
+        short, rare = short_ids(size), shared.value
         for f in frames:
             ids = [_ids(t, short) for t in f.column("tail").to_pylist()]
             yield f.append_column("route", pa.array([int(t[np.argmax(rare[t])]) for t in ids], pa.int32()))
 
     def packed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _packed(frames, shared.value, mean, short_ids(tokenizer_path), params)
+        return _packed(frames, shared.value, mean, short_ids(size), params)
 
     # a token that a third of all tails have as their rarest would make one partition: it is split by size
     spread = (tails.mapInArrow(tidy(routed), "doc_id long, doc_tokens long, tail binary, route int").hint("rebalance", "route")

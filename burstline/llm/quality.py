@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -38,6 +38,7 @@ _DIM = _MEASURES + _KINDS * _KINDS + (1 << _BUCKET_BITS)
 # sites go to every task below this many rows, else they are joined
 SMALL_TABLE = 100_000
 _EDGE = 1e-6
+_SLICE = 256
 
 
 @dataclass(frozen=True)
@@ -109,12 +110,14 @@ class DocumentModel:
         """Of whole texts, which are not null."""
         intercept, weights = self.intercept, np.array(self.weights)
 
-        def judged(texts: pd.Series) -> pd.Series:
-            out = pd.Series([intercept + float(evidence(t) @ weights) for t in texts], dtype="float64")
+        def judged(texts: pa.Array) -> pa.Array:
+            out = []
+            for lo in range(0, len(texts), _SLICE):  # few texts at a time are copied out of the batch
+                out += [intercept + float(evidence(t) @ weights) for t in texts.slice(lo, _SLICE).to_pylist()]
             give_back()
-            return out
+            return pa.array(out, pa.float64())
 
-        return F.pandas_udf(judged, "double")(text) if weights.any() else F.lit(intercept)
+        return F.arrow_udf(judged, "double")(text) if weights.any() else F.lit(intercept)
 
 
 def _probability(log_odds: Column) -> Column:
