@@ -6,7 +6,7 @@ The text-to-tag ratio of each block is smoothed with a Gaussian and clustered ag
 standard deviation of the page. Blocks above it are content; they select the region they stand in: the
 innermost container around all of them. Inside that region every block counts, so that short
 paragraphs and headings next to long ones are kept, while elements that by their name or class hold
-navigation, adverts, forms, comments and the like are left out everywhere.
+navigation, adverts, forms, comments and the like are left out everywhere, unless nearly all text stands in them.
 
 Pages are parsed one by one inside tasks; nothing is kept between them.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -29,15 +30,26 @@ figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html l
 section summary table tbody td tfoot th thead tr ul""".split())
 # elements without an end tag (fixed values)
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# elements whose content is no text of the page
-SILENT_TAGS = frozenset("""script style noscript template head title svg math iframe object canvas audio video map
-select option datalist textarea button form nav footer aside dialog menu""".split())
+# elements whose content is never text of the page
+SILENT_TAGS = frozenset("""script style noscript template head title svg annotation annotation-xml iframe object canvas audio
+video map select option datalist textarea button""".split())
+# elements that hold no article text, unless they hold nearly all there is
+ASIDE_TAGS = frozenset("form nav footer aside dialog menu".split())
 # parts of class, id and role names that mark an element as no article text
 NOISE_NAMES = frozenset("""ad ads adv advert advertisement adverts advertising banner banners breadcrumb breadcrumbs
 comment comments consent cookie cookies copyright disclaimer disqus footer form hidden masthead menu menus modal nav
 navbar navigation newsletter notice notices pager pagination popup popover promo promos promoted recommended related
 replies reply search share sharing sidebar sidebars sidenav signup skip social sponsor sponsored subscribe teaser toc
 toolbar topbar widget widgets complementary contentinfo alert dialog alertdialog""".split())
+# of these, words that an article is named after as well: they count alone or next to a word of layout
+_AMBIGUOUS = frozenset("""alert complementary copyright disclaimer form hidden notice notices recommended related reply search
+share sharing skip social teaser toc widget widgets""".split())
+_LAYOUT = frozenset("""area article articles bar block box btn button buttons col column container content first footer group
+header icon icons inner item items last left link links list main media module news outer page pane panel post posts right
+row section stories story text title top bottom wrap wrapper""".split())
+# text after a heading that says only this, up to the end of what it stands in, is the readers'
+_READERS = re.compile(r"(?:\d+\s+)?(?:(?:reader|user)s?\S*\s+)?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)"
+                      r"(?:\s*\(\d+\))?:?|leave an? (?:comment|reply)", re.IGNORECASE)
 # "with-sidebar" says nothing of the element's own content
 _NEGATIONS = frozenset("with has no not without".split())
 # the whole page may be named so, its content not
@@ -47,74 +59,94 @@ _IN_HEAD = frozenset("title style script meta link base noscript template head".
 _TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dd dt td th figcaption caption".split())
 # what may be the region where no article or main element is; a quote is part of a text, not its container
 _CONTAINERS = frozenset("article main div section td center".split())
+_TAG_START = re.compile(r"<[a-zA-Z/!?]")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _IMPLIED_END = {"p": BLOCK_TAGS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
                 "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
                 "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option"])}
 
 
+_ENDED_BY = {tag: [name for name, ends in _IMPLIED_END.items() if tag in ends] for tag in frozenset().union(*_IMPLIED_END.values())}
+_HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+_ARTICLES = frozenset(["article", "main"])
+
+
 @dataclass(slots=True)
 class _Block:
-    text: str
+    pieces: list[tuple[int, str, bool]]  # element it stands in, text, whether it is linked
     tags: int
-    linked: int
-    path: tuple[int, ...]  # numbers of the elements around it, outermost first
+    element: int  # the innermost around it; 0 is the page
+    text: str = ""
+    linked: int = 0
 
 
 @dataclass(slots=True)
 class _Element:
     tag: str
     number: int
-    quiet: bool
 
 
-def _noisy(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
-    if tag in SILENT_TAGS or (tag == "header" and not inside_article):
-        return True
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(key == "hidden" or (key == "aria-hidden" and value == "true")
+               or (key == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+               for key, value in attrs)
+
+
+def _named_noise(attrs: list[tuple[str, str | None]]) -> bool:
     for key, value in attrs:
-        if key in ("hidden",) or (key == "aria-hidden" and value == "true"):
-            return True
-        if key == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key in ("class", "id", "role") and value and tag not in _WHOLE:
+        if key in ("class", "id", "role") and value:
             for name in value.split():
                 parts = [p.lower() for p in _NAME_PARTS.findall(name)]
-                if parts and parts[0] not in _NEGATIONS and (parts[0] in NOISE_NAMES or parts[-1] in NOISE_NAMES):
+                if not parts or parts[0] in _NEGATIONS:
+                    continue
+                found = {parts[0], parts[-1]} & NOISE_NAMES
+                if found - _AMBIGUOUS or found and all(p in NOISE_NAMES or p in _LAYOUT for p in parts):
                     return True
     return False
 
 
 class PageBlocks(HTMLParser):
     """Collects the blocks of one page from parser events. Open elements are closed as browsers do: a new block
-    ends an open paragraph, an end tag ends all that is open inside its element."""
+    ends an open paragraph, an end tag ends all that is open inside its element.
+
+    Elements are numbered as they open, so an element holds those from its own number to `last`.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[_Block] = []
-        self.names: dict[int, str] = {}
+        self.names, self.parents, self.last = [""], [0], [0]
+        self.silent, self.noise = [False], [False]
         self._open: list[_Element] = []
-        self._text: list[str] = []
-        self._tags = self._linked = self._links = self._count = self._articles = 0
+        self._pieces: list[tuple[int, str, bool]] = []
+        self._tags = self._links = self._articles = 0
+        self._held: Counter[str] = Counter()  # open elements by name
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._tags += 1
         if tag == "br":
-            self._text.append(" ")
+            self._add(" ")
         if tag in BLOCK_TAGS:
             self._end_block()
         if tag in VOID_TAGS:
             return
         if tag == "a":
             self._links += 1
-        if tag not in _IN_HEAD and any(e.tag == "head" for e in self._open[:3]):
+        if tag not in _IN_HEAD and self._held["head"] and any(e.tag == "head" for e in self._open[:3]):
             self._close(next(i for i, e in enumerate(self._open) if e.tag == "head"))
-        self._end_implied(tag)
-        above = bool(self._open) and self._open[-1].quiet
-        quiet = above or _noisy(tag, attrs, self._articles > 0)
-        self._count += 1
-        self._articles += tag in ("article", "main")
-        self._open.append(_Element(tag, self._count, quiet))
-        self.names[self._count] = tag
+        if any(self._held[name] for name in _ENDED_BY.get(tag, ())):
+            self._end_implied(tag)
+        above = self._open[-1].number if self._open else 0
+        number = len(self.names)
+        self.names.append(tag)
+        self.parents.append(above)
+        self.last.append(number)
+        self.silent.append(self.silent[above] or tag in SILENT_TAGS or _hidden(attrs))
+        self.noise.append(tag in ASIDE_TAGS or (tag == "header" and not self._articles)
+                          or (tag not in _WHOLE and tag not in _HEADINGS and _named_noise(attrs)))
+        self._articles += tag in _ARTICLES
+        self._held[tag] += 1
+        self._open.append(_Element(tag, number))
 
     def _end_implied(self, tag: str) -> None:
         """A start tag that ends the nearest open element of its kind, but none outside a list, table or section."""
@@ -128,7 +160,9 @@ class PageBlocks(HTMLParser):
 
     def _close(self, i: int) -> None:
         for e in self._open[i:]:
-            self._articles -= e.tag in ("article", "main")
+            self._articles -= e.tag in _ARTICLES
+            self._held[e.tag] -= 1
+            self.last[e.number] = len(self.names) - 1
             if e.tag == "a" and self._links:
                 self._links -= 1
         del self._open[i:]
@@ -141,25 +175,26 @@ class PageBlocks(HTMLParser):
         self._tags += 1
         if tag in BLOCK_TAGS:
             self._end_block()
+        if not self._held[tag]:
+            return
         for i in range(len(self._open) - 1, -1, -1):
             if self._open[i].tag == tag:
                 self._close(i)
                 return
 
+    def _add(self, text: str) -> None:
+        element = self._open[-1].number if self._open else 0
+        if not self.silent[element]:
+            self._pieces.append((element, text, self._links > 0))
+
     def handle_data(self, data: str) -> None:
-        if self._open and self._open[-1].quiet:
-            return
-        self._text.append(data)
-        if self._links:
-            self._linked += len(data)
+        self._add(data)
 
     def _end_block(self) -> None:
-        text = " ".join("".join(self._text).split())
-        if text:
-            self.blocks.append(_Block(text, self._tags, self._linked, tuple(e.number for e in self._open)))
-            self._tags = 0
-        self._text.clear()
-        self._linked = 0
+        if any(t and not t.isspace() for _, t, _ in self._pieces):
+            self.blocks.append(_Block(self._pieces, self._tags, self._open[-1].number if self._open else 0))
+            self._tags, self._pieces = 0, []
+        self._pieces.clear()
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         # "<![" outside of SVG and MathML starts a comment that ends at ">", whatever stands in it
@@ -168,6 +203,59 @@ class PageBlocks(HTMLParser):
     def close(self) -> None:
         super().close()
         self._end_block()
+        self._close(0)
+        self.last[0] = len(self.names) - 1
+
+    def within(self, chosen: set[int]) -> list[bool]:
+        """Of each element, whether it is one of those chosen or inside of one."""
+        out = [0 in chosen]
+        for number in range(1, len(self.names)):
+            out.append(number in chosen or out[self.parents[number]])
+        return out
+
+    def nearest(self, names: frozenset[str]) -> tuple[list[int], list[int]]:
+        """Of each element, the outermost and the innermost of these names around it, itself included; 0 if none."""
+        outer, inner = [0], [0]
+        for number in range(1, len(self.names)):
+            above = self.parents[number]
+            inner.append(number if self.names[number] in names else inner[above])
+            outer.append(outer[above] or inner[number])
+        return outer, inner
+
+    def around(self, elements: list[int], names: frozenset[str]) -> int:
+        """The innermost element of these names that holds all of `elements`; 0 if there is none."""
+        low, high = min(elements), max(elements)
+        at = low
+        while at and not (self.names[at] in names and self.last[at] >= high):
+            at = self.parents[at]
+        return at
+
+    def spoken(self, share: float) -> list[_Block]:
+        """Blocks without what stands in noise. An element marked as noise that holds more than `share` of all text that
+        is not linked is none."""
+        weight = [0] * len(self.names)
+        for b in self.blocks:
+            for element, text, linked in b.pieces:
+                weight[element] += 0 if linked else len(text.strip())
+        for number in range(len(self.names) - 1, 0, -1):
+            weight[self.parents[number]] += weight[number]
+        quiet = [False]
+        for number in range(1, len(self.names)):
+            quiet.append(quiet[self.parents[number]] or (self.noise[number] and weight[number] <= share * weight[0]))
+        out: list[_Block] = []
+        tags = 0
+        readers = -1  # the last element of what follows a heading of readers' comments
+        for b in self.blocks:
+            kept = [(t, linked) for element, t, linked in b.pieces if not quiet[element]]
+            b.text = " ".join("".join(t for t, _ in kept).split())
+            b.linked = sum(len(t) for t, linked in kept if linked)
+            tags += b.tags
+            if b.text and self.names[b.element] in _HEADINGS and out and _READERS.fullmatch(b.text):
+                readers = max(readers, self.last[self.parents[b.element]])
+            if b.text and b.element > readers:
+                b.tags, tags = tags, 0
+                out.append(b)
+        return out
 
 
 @dataclass(frozen=True)
@@ -175,6 +263,7 @@ class RatioParams:
     sigma: float = 1.0  # of the Gaussian, in blocks
     reach: int = 2  # blocks on each side
     max_linked: float = 0.5  # a block with a larger share of link text is no content
+    most: float = 0.8  # an element marked as noise is none if it holds more than this share of the text
 
 
 def smoothed(values: list[float], params: RatioParams) -> list[float]:
@@ -187,14 +276,15 @@ def smoothed(values: list[float], params: RatioParams) -> list[float]:
     return out
 
 
-def _of_text(b: _Block, names: dict[int, str]) -> bool:
-    return any(names[e] in _TEXT_TAGS for e in b.path[-2:])
-
-
-def content_blocks(blocks: list[_Block], names: dict[int, str], params: RatioParams = RatioParams()) -> list[str]:
+def content_blocks(page: PageBlocks, params: RatioParams = RatioParams()) -> list[str]:
     """Texts of the blocks of the content region, in page order."""
+    blocks = page.spoken(params.most)
     if not blocks:
         return []
+
+    def of_text(b: _Block) -> bool:
+        return page.names[b.element] in _TEXT_TAGS or page.names[page.parents[b.element]] in _TEXT_TAGS
+
     linked = [b.linked > params.max_linked * len(b.text) for b in blocks]
     smooth = smoothed([0.0 if far else len(b.text) / max(1, b.tags) for b, far in zip(blocks, linked)], params)
     mean = sum(smooth) / len(smooth)
@@ -204,26 +294,26 @@ def content_blocks(blocks: list[_Block], names: dict[int, str], params: RatioPar
     if not heaviest:
         return []
     # what the region has to hold: clustered blocks of their own weight or in an element of article text
-    core = [i for i, b in enumerate(blocks) if hot[i] and not linked[i]
-            and (len(b.text) / max(1, b.tags) >= threshold or _of_text(b, names))]
-    core = core or [i for i, is_hot in enumerate(hot) if is_hot]
-    marked = {i: [e for e in blocks[i].path if names[e] in ("article", "main")] for i in core}
-    inside = [i for i in core if marked[i]]
-    if 2 * sum(len(b.text) for b, is_hot in zip(blocks, hot) if is_hot
-               and any(names[e] in ("article", "main") for e in b.path)) > heaviest and inside:
+    core = [b.element for i, b in enumerate(blocks) if hot[i] and not linked[i]
+            and (len(b.text) / max(1, b.tags) >= threshold or of_text(b))]
+    core = core or [b.element for b, is_hot in zip(blocks, hot) if is_hot]
+    article, _ = page.nearest(_ARTICLES)
+    inside = [e for e in core if article[e]]
+    if 2 * sum(len(b.text) for b, is_hot in zip(blocks, hot) if is_hot and article[b.element]) > heaviest and inside:
         # the article or main element that holds all such blocks of these elements, else the outermost ones together
-        shared = set.intersection(*(set(marked[i]) for i in inside))
-        regions = {max(shared)} if shared else {marked[i][0] for i in inside}
-        return [b.text for b in blocks if not regions.isdisjoint(b.path)]
-    holders = {i: [e for e in blocks[i].path if names[e] in _CONTAINERS] for i in core}
-    shared = set.intersection(*(set(h) for h in holders.values()))
+        shared = page.around(inside, _ARTICLES)
+        held = page.within({shared} if shared else {article[e] for e in inside})
+        return [b.text for b in blocks if held[b.element]]
+    shared = page.around(core, _CONTAINERS)
     if shared:
-        return [b.text for b in blocks if max(shared) in b.path]
+        held = page.within({shared})
+        return [b.text for b in blocks if held[b.element]]
     # the page itself is the region: its ends are cut to clustered blocks, to those that hold article text and to
     # all of the innermost containers of content; blocks of links stay in such containers only
-    around = {h[-1] for h in holders.values() if h}
-    held = [not around.isdisjoint(b.path) for b in blocks]
-    keep = [i for i, b in enumerate(blocks) if held[i] or not linked[i] and (hot[i] or _of_text(b, names))]
+    _, container = page.nearest(_CONTAINERS)
+    within = page.within({container[e] for e in core if container[e]})
+    held = [within[b.element] for b in blocks]
+    keep = [i for i, b in enumerate(blocks) if held[i] or not linked[i] and (hot[i] or of_text(b))]
     return [b.text for i, b in enumerate(blocks) if keep and keep[0] <= i <= keep[-1] and (held[i] or not linked[i])]
 
 
@@ -231,10 +321,13 @@ def main_text(html: str | None, params: RatioParams = RatioParams()) -> str:
     """The blocks of the article, joined by an empty line; '' for null, empty or textless pages."""
     if not html:
         return ""
+    # a tag that the page's end cuts off is none; the parser would look for the end of each such tag anew
+    end = html.rfind(">") + 1
+    broken = _TAG_START.search(html, end)
     page = PageBlocks()
-    page.feed(html)
+    page.feed(html[:broken.start()] if broken else html)
     page.close()
-    return "\n\n".join(content_blocks(page.blocks, page.names, params))
+    return "\n\n".join(content_blocks(page, params))
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from burstline.llm.html_text import extract_text, main_text
@@ -41,6 +43,36 @@ def test_region_holds_all_content():
         assert main_text(html).split("\n\n") == want
 
 
+def test_names_alone_do_not_decide():
+    rest = "<footer>Foot</footer><div class=ad>Buy now</div>"
+    pages = {
+        f"<body><div class='widget'><h1>T</h1>{STORY}{STORY}</div>{rest}</body>": ["T", 1, 1],
+        f"<body><form id=aspnetForm><div class=menu><a href=x>Home</a></div><article><h1>T</h1>{STORY}</article>{rest}</form></body>": ["T", 1],
+        f"<article>{STORY}<h2 id='Related_work'>Related work</h2><p>Older.</p><h2 id='Notices'>Notices</h2>{STORY}</article>":
+            [1, "Related work", "Older.", "Notices", 1],
+        f"<article>{STORY}<section id='social-impact'><p>Impact.</p></section><table class='share-prices'><tr><td>12<td>13</table></article>":
+            [1, "Impact.", "12", "13"],
+        f"<article>{STORY}<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></article>": [1, "Let x=1 be."],
+        f"<article>{STORY}<div class='social-links'>Tell others</div><div class='related-posts'><p>Read on</p></div></article>": [1],
+        f"<article>{STORY}{STORY}<h3>3 Comments</h3><div><p>I disagree with all of this, and so should you.</p></div></article>": [1, 1],
+        f"<article><h2>Comments</h2>{STORY}</article>": ["Comments", 1],
+        f"<body><nav class=comments><div class=sidebar><div class=ads><p>{'alpha ' * 60}</p></div></div></nav></body>": [("alpha " * 60).strip()],
+    }
+    for html, want in pages.items():
+        assert main_text(html).split("\n\n") == [FIRST if w == 1 else w for w in want], html
+
+
+def test_hostile_pages_take_little_time():
+    n = 100_000
+    pages = ["<div>x " * n + STORY, "<b>" * n + "<p>x" * 1000, "<a " * n, "<a " * n + ">", "<a href='" * n, "<!--" * n, "<![CDATA[" * n,
+             "<?" * n, "</" * n, "<" * n, "&" * n, "&#" * n, "</x>" * n, "<p><i>" * n, "<div>" * n + "</p>" * n, "<ul><li>x" * n,
+             "<div class=ad>x " * n, "<script>" * n, "<title>" * n, "<textarea>x" * n, "<a b=" * n + ">", "<table><tr><td>x" * n]
+    for html in pages:
+        start = time.process_time()
+        main_text(html)
+        assert time.process_time() - start < 20, html[:20]
+
+
 def test_no_content_and_broken_markup():
     assert main_text(None) == main_text("") == main_text("<p>") == main_text("<script>x</script>") == ""
     for broken in ("<![", "<!DOCTYPE", "<![foo[ x", "<article><p>a</p", "</p></div>", "&#xFFFFFFFF; <p", "<a <b>c"):
