@@ -1,6 +1,7 @@
 """URL filtering: listed site rules first, then association rules mined from labelled URLs.
 
-Spark's FP-growth finds the combinations of URL tokens that go with a bad label. Rules are pruned by
+Spark's FP-growth finds the combinations of URL tokens that go with a bad label: among the tokens of bad rows, without
+those that all rows share and with one for all that always come together. Rules are pruned by
 support and confidence, and by a shorter rule that is at least as sure. To match, an inverted index
 holds each rule under its rarest token: a URL meets only the rules of tokens it has, and the rest of
 such a rule is checked on the spot.
@@ -12,14 +13,15 @@ import string
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstline.lineage import cut
 
 # rules go to every task below this many, else they are joined
 SMALL_TABLE = 10_000
-_BAD = "label=bad"
+# share of all labelled rows from which on a token makes no rule
+_EVERYWHERE = 0.99
 
 
 @dataclass(frozen=True)
@@ -73,34 +75,54 @@ def site_rule(host: Column, path: Column, rules: list[SiteRule]) -> tuple[Column
     return name, verdict
 
 
+def _items(rows: DataFrame, least: float) -> DataFrame:
+    """(row, items) of the bad rows: tokens that can make a rule, one for all that occur in the same rows.
+
+    Tokens that fewer than `least` bad rows hold make none, and those that nearly all rows hold (`_EVERYWHERE`) tell
+    nothing: either would only multiply the combinations.
+    """
+    each = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    n = rows.count()
+    seen = (each.groupBy("token").agg(
+        F.count("*").alias("df"), F.count_if("bad").alias("bad"),
+        F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("two"))
+        .where((F.col("bad") >= least) & (F.col("df") < _EVERYWHERE * n)))
+    chosen = seen.groupBy("df", "one", "two").agg(F.min("token").alias("token")).select("token")
+    return each.where("bad").join(chosen, "token").groupBy("row").agg(F.collect_list("token").alias("items"))
+
+
 def mine_rules(labelled: DataFrame, params: MiningParams = MiningParams()) -> DataFrame:
     """(antecedent, confidence, support, key) from `labelled` (url, bad boolean); `key` is the rarest token.
 
-    A null url or label is left out. With fewer than `min_rows` bad rows there are no rules.
+    Combinations are mined from the bad rows, and then counted in all of them. Of tokens that occur in the same rows,
+    the first one stands for all. A null url or label is left out. With fewer than `min_rows` bad rows there are no rules.
     """
     rows = cut(labelled.where("url IS NOT NULL AND bad IS NOT NULL").select(
-        F.when(F.col("bad"), F.array_union(url_tokens(F.col("url")), F.array(F.lit(_BAD))))
-        .otherwise(url_tokens(F.col("url"))).alias("items")))
+        F.monotonically_increasing_id().alias("row"), "bad", url_tokens(F.col("url")).alias("tokens")))
     schema = "antecedent array<string>, confidence double, support double, key string"
-    if rows.where(F.array_contains("items", _BAD)).count() < params.min_rows:
+    n, n_bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    if n_bad < params.min_rows:
         return rows.sparkSession.createDataFrame([], schema)
-    support = min(1.0, max(params.min_support, params.min_rows / rows.count()))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=params.min_confidence).fit(rows)
-    rules = cut(model.associationRules.where(F.col("consequent") == F.array(F.lit(_BAD)))
-                .where(F.size("antecedent") <= params.max_tokens)
-                .select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
+    least = max(params.min_support * n, params.min_rows)
+    items = cut(_items(rows, least))
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(items.count(), 1))).fit(items).freqItemsets
+    found = cut(found.where((F.size("items") <= params.max_tokens) & (F.col("freq") >= least))
+                .select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("hits")))
+    df = cut(rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")))
+    rare = found.select("*", F.explode("antecedent").alias("token")).join(df, "token").groupBy("antecedent", "hits").agg(
+        F.min_by("token", F.struct("df", "token")).alias("key"))
+    # rows that hold all tokens of a combination are found under its rarest one
+    held = (rows.select("tokens", F.explode("tokens").alias("key")).join(rare, "key")
+            .where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("antecedent", "hits", "key").agg(F.count("*").alias("n")))
+    rules = cut(held.withColumn("confidence", F.col("hits") / F.col("n")).where(F.col("confidence") >= params.min_confidence)
+                .select("antecedent", "confidence", (F.col("hits") / F.lit(n)).alias("support"), "key"))
     # a rule falls if part of it is a rule that is as sure: parts are looked up by their content
     part = F.posexplode("antecedent").alias("at", "without")
     fewer = (rules.select("antecedent", "confidence", part)
              .select("antecedent", "confidence", F.array_except("antecedent", F.array("without")).alias("part"))
              .join(rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("other")), "part")
              .where("other >= confidence").select("antecedent").distinct())
-    rules = rules.join(fewer, "antecedent", "left_anti")
-    df = rows.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    first = Window.partitionBy("antecedent").orderBy("df", "token")
-    return cut(rules.select("*", F.explode("antecedent").alias("token")).join(df, "token")
-               .withColumn("nth", F.row_number().over(first)).where("nth = 1")
-               .select("antecedent", "confidence", "support", F.col("token").alias("key")))
+    return cut(rules.join(fewer, "antecedent", "left_anti").select("antecedent", "confidence", "support", "key"))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -58,3 +59,17 @@ def test_mined_rules_against_brute_force(spark):
     for i, r in got.items():
         assert (r.verdict == "block") == any(set(x.antecedent) <= tokens[i] for x in rules)
     assert got[0].verdict == "block" and got[3].verdict == "allow"
+
+
+def test_many_shared_tokens_are_mined_in_seconds(spark):
+    words = "/".join(f"w{k}x" for k in "abcdefghijklmnopqrst")  # twenty tokens that all urls hold
+    always = "-".join(f"v{k}y" for k in "abcdefghijklmnopqrst")  # and twenty that always come together
+    rows = [(f"http://s{i % 7}.org/{words}/{'casino' if i % 4 == 0 else 'garden'}/{always if i % 3 else 'plain'}/{i}",
+             i % 4 == 0 and i % 20 != 0) for i in range(600)]
+    start = time.perf_counter()
+    rules = mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), MiningParams(min_rows=10)).collect()
+    assert time.perf_counter() - start < 60
+    assert ["p=casino"] in [r.antecedent for r in rules] and all(r.confidence >= 0.6 for r in rules)
+    judged = judge_urls(spark.createDataFrame([(1, "http://new.net/casino"), (2, "http://new.net/garden")], "page_id long, url string"),
+                        spark.createDataFrame(rules), SITES)
+    assert {r.page_id: r.verdict for r in judged.collect()} == {1: "block", 2: "allow"}
