@@ -71,11 +71,13 @@ class WordTokenizer:
         self._known_parts: dict[str, bytes] = {}
         self._held = 0
 
+    def _encoded(self, letters: str) -> bytes:
+        return b"".join([self._ids[t.id] for t in self._model.tokenize(letters)])
+
     def _part(self, part: str) -> bytes:
         ids = self._known_parts.get(part)
         if ids is None:
-            letters = part if part.isascii() else "".join(map(self._letters.__getitem__, part.encode()))
-            ids = b"".join([self._ids[t.id] for t in self._model.tokenize(letters)])
+            ids = self._encoded(part if part.isascii() else "".join(map(self._letters.__getitem__, part.encode())))
             self._known_parts[part] = ids
             self._held += _ENTRY + len(part) + len(ids)
         return ids
@@ -122,7 +124,8 @@ class WordTokenizer:
         for w in words:
             ids = self._known.get(w)
             if ids is None:
-                ids = self._word(w)
+                # most are parts in lower case already
+                ids = self._encoded(w) if w.isascii() and w.isalpha() and w.islower() else self._word(w)
                 if self._held > MEMORY:
                     self.forget()
                 self._known[w] = ids
