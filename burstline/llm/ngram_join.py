@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,14 +59,18 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-(percent * n) // 100) + 1
 
 
+# bytes of texts whose sets are made together
+_BATCH = 2 << 20
+
+
 # ---- sets of shingles -------------------------------------------------------------------------------------
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[range, list[np.ndarray]]]:
     """The sorted distinct shingle hashes of each text, in parts of bounded size."""
-    raw = texts.cast(pa.binary()).to_pylist()
-    for part in batches(raw, [len(t) for t in raw]):
-        yield part, [np.unique(s) for s in shingles_of(*words_of([raw[i] for i in part], lower=True), size)]
+    for part in batches(texts, pc.binary_length(texts).to_pylist(), _BATCH):
+        raw = texts.slice(part.start, len(part)).cast(pa.binary()).to_pylist()
+        yield part, [np.unique(s) for s in shingles_of(*words_of(raw, lower=True), size)]
 
 
 def _identity(sets: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +27,15 @@ from pyspark.sql import functions as F
 from burstline.lineage import cut
 from burstline.llm.hashing import batches
 from burstline.llm.text import text_or_empty
-from burstline.llm.tokens import tokenizer
+from burstline.llm.tokens import tokenizer, unload
 from burstline.llm.workers import tidy
 
 _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
            "sequence_tokens long")
 # sequences of packed tails are numbered from here, those of single documents from 0
 _PACKED = 1 << 62
-# characters of texts that are tokenised together
-_BATCH = 1 << 21
+# bytes of texts that are tokenised together
+_BATCH = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -56,9 +57,9 @@ def _tokenized(docs: DataFrame, path: str, params: PackParams) -> DataFrame:
         words, end = tokenizer(path), np.array([params.end_id], "<u4")
         number = TaskContext.get().partitionId() << 33
         for f in frames:
-            texts = f.column("text").to_pylist()
-            for part in batches(texts, [len(t) + 64 for t in texts], _BATCH):
-                ids, bounds = words.encode(texts[part.start:part.stop])
+            texts = f.column("text")
+            for part in batches(texts, (pc.binary_length(texts).to_numpy() + 64).tolist(), _BATCH):
+                ids, bounds = words.encode(texts.slice(part.start, len(part)).to_pylist())
                 tokens, first, crcs, tails = [], [], [], []
                 for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     whole, text = (hi - lo + 1) // size, np.concatenate([ids[lo:hi], end])
@@ -71,7 +72,7 @@ def _tokenized(docs: DataFrame, path: str, params: PackParams) -> DataFrame:
                     [f.column("doc_id").slice(part.start, len(part)), pa.array(tokens, pa.int64()), pa.array(first, pa.int64()),
                      pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())],
                     ["doc_id", "doc_tokens", "first", "crcs", "tail"])
-        words.forget()
+        unload(path)
 
     return docs.mapInArrow(tidy(run), "doc_id long, doc_tokens long, first long, crcs array<long>, tail binary")
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import regex
 
 # bytes that words, and parts of words, with their ids may take in a worker; beyond, all are forgotten
-MEMORY = 48 << 20
+MEMORY = 32 << 20
 # characters beyond printable Latin letters, line ends and blanks
 _ODD_LETTER = "[^\n\x20-\x7e\u00a1-\u00ac\u00ae-\u012f]"
 _ENTRY = 160  # a word and its ids in a dictionary, besides their characters and bytes
@@ -66,7 +66,7 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        """Give back the memory of words: for workers that go on to other work."""
+        """Give back the memory of words."""
         self._known: dict[str, bytes] = {}
         self._known_parts: dict[str, bytes] = {}
         self._held = 0
@@ -166,3 +166,8 @@ def tokenizer(path: str) -> WordTokenizer:
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
     return _loaded[path]
+
+
+def unload(path: str) -> None:
+    """Give back a tokenizer's memory: for workers that go on to other work."""
+    _loaded.pop(path, None)
