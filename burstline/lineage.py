@@ -9,12 +9,14 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: tempfile.TemporaryDirectory | None = None
 _written: list[str] = []
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,7 +40,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/burstline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete what `cut` wrote for these tables, once nothing reads them any more."""
+    for table in tables:
+        path = _path_of.pop(table)
+        _written.remove(path)
+        delete_folder(table.sparkSession, path)
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
