@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstline.lineage import cut
+from burstline.lineage import cut, free
 from burstline.llm.hashing import batches, mixed
 from burstline.llm.text import text_or_empty
 
@@ -456,7 +456,9 @@ def _later_copies(rows: DataFrame) -> DataFrame:
     """(id, key, n_bytes) of the rows whose whole text a row with a smaller id has. What they hold, that row holds."""
     digests = cut(rows.select("id", "key", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")))
     least = digests.groupBy("digest", "n_bytes").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    return cut(digests.join(least, ["digest", "n_bytes"]).where("id > least").select("id", "key", "n_bytes").distinct())
+    copies = cut(digests.join(least, ["digest", "n_bytes"]).where("id > least").select("id", "key", "n_bytes").distinct())
+    free(digests)
+    return copies
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -480,10 +482,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     again = cut(_again(others.select("text"), key_bits, _key_bytes(total), params))
     bitmap, wide = _filter(again, key_bits, params)
     made = cut(_segments(others.select("text", "id", "key"), bitmap, wide, _common(again), bits, params))
-    spans = _spans(made, cut(_judged(made, params)), params).groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
+    free(again)
+    judged = cut(_judged(made, params))
+    spans = _spans(made, judged, params).groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
     gone = copies.where(F.col("n_bytes") >= params.length).select(
         "id", "key", F.array(F.lit(_ALL)).alias("spans"))
     spans = cut(spans.unionByName(gone))
+    free(made, judged, copies)
 
     def applied(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:

@@ -35,7 +35,7 @@ _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
 # sequences of packed tails are numbered from here, those of single documents from 0
 _PACKED = 1 << 62
 # bytes of texts that are tokenised together
-_BATCH = 1 << 20
+_BATCH = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -92,11 +92,14 @@ def _statistics(tails: DataFrame, size: int) -> tuple[np.ndarray, float]:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short, df = short_ids(size), np.zeros(size + 2, np.int64)
         for f in frames:
-            for t in f.column("tail").to_pylist():
-                ids = _ids(t, short)
-                df[np.unique(ids)] += 1
-                df[-1] += len(ids)
-                df[-2] += 1
+            tails = f.column("tail").to_pylist()
+            for lo in range(0, len(tails), 256):
+                part = [_ids(t, short) for t in tails[lo:lo + 256]]
+                lengths = [len(t) for t in part]
+                owner = np.repeat(np.arange(len(part)) * size, lengths)
+                df[:size] += np.bincount(np.unique(owner + np.concatenate(part)) % size, minlength=size)
+                df[-1] += sum(lengths)
+                df[-2] += len(part)
         at = np.flatnonzero(df)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["token", "df"])

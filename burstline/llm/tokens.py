@@ -120,17 +120,16 @@ class WordTokenizer:
         return pa.concat_arrays([parts, rest.flatten()]), np.stack([places[:-1][rank], places[1:][rank]])
 
     def _lookup(self, words: list[str]) -> list[bytes]:
-        out = []
-        for w in words:
-            ids = self._known.get(w)
+        out = list(map(self._known.get, words))
+        for k, ids in enumerate(out):
             if ids is None:
+                w = words[k]
                 # most are parts in lower case already
-                ids = self._encoded(w) if w.isascii() and w.isalpha() and w.islower() else self._word(w)
+                ids = out[k] = self._encoded(w) if w.isascii() and w.isalpha() and w.islower() else self._word(w)
                 if self._held > MEMORY:
                     self.forget()
                 self._known[w] = ids
                 self._held += _ENTRY + len(w) + len(ids)
-            out.append(ids)
         return out
 
 
