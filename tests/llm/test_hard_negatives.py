@@ -1,12 +1,10 @@
 import math
 import random
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from burstline.llm import op12
 from burstline.llm.hard_negatives import MiningParams, integer_vectors, mine
 
 SCHEMA = "vec_id long, embedding array<float>, label int, row string, rank string, anchor string, vector string, slice string"
@@ -76,11 +74,3 @@ def test_no_rows_no_anchors(spark):
     docs = frame(spark, vectors())
     assert mine(integer_vectors(docs.limit(0)), is_anchor=F.col("id") % 50 == 0).count() == 0
     assert mine(integer_vectors(docs), is_anchor=F.col("id") < 0).count() == 0
-
-
-def test_query_equals_sql(spark, sf_dir):
-    got = got_rows(op12.op12_hard_negatives(spark, sf_dir))
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
-    want = sorted(str(tuple(r)) for r in con.execute(op12.ORACLE).fetchall())
-    assert got == want and got
