@@ -59,8 +59,8 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-(percent * n) // 100) + 1
 
 
-# bytes of texts whose sets are made together
-_BATCH = 2 << 20
+# bytes of texts whose sets are made together; within as many, common shingles are told by their counts
+_BATCH = 4 << 20
 
 
 # ---- sets of shingles -------------------------------------------------------------------------------------
