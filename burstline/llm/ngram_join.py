@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstline.lineage import cut
@@ -426,7 +426,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, params: JoinParams) ->
 
 def linked_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                      params: JoinParams = JoinParams()) -> DataFrame:
-    """One row per row: doc_id, n_shingles, component_id, and class_id, a hash that equal sets share.
+    """One row per row: doc_id, n_shingles, component_id, and class_id, the smallest id with an equal set.
 
     Texts are lower-cased (A-Z) and cut into words at space and 0x09-0x0D; a set holds the distinct shingles
     of `size` words, of a shorter text the whole sequence. Two rows link when 100 * shared >= percent * all;
@@ -438,11 +438,12 @@ def linked_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     base, classes = _groups(docs, id_col, text_col, params)
     least = classes.groupBy("root").agg(F.min("least")["doc_id"].alias("component"))
-    parts = cut(classes.join(least, "root").select("h", "component"))
+    parts = cut(classes.join(least, "root").select("h", "component", F.col("least.doc_id").alias("class")))
     # a class that a third of all rows share is one row here and many there: Spark splits such joins
-    return base.join(parts, "h", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.col("h").alias("class_id"))
+    def of(name: str) -> Column:
+        return F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col(name)).alias(name + "_id")
+
+    return base.join(parts, "h", "left").select("doc_id", F.col("n").alias("n_shingles"), of("component"), of("class"))
 
 
 def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",

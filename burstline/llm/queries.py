@@ -22,6 +22,7 @@ QUERIES = {
 ORACLE = {
     "op2_line_dedup": op2.ORACLE,
     "op6_exact_dedup": op6.ORACLE,
+    "op7_ngram_join": op7.ORACLE,
     "op9_mixing": op9.ORACLE,
     "op11_decontamination": op11.ORACLE,
     "op12_hard_negatives": op12.ORACLE,
