@@ -28,14 +28,14 @@ from burstline.lineage import cut
 from burstline.llm.hashing import batches
 from burstline.llm.text import text_or_empty
 from burstline.llm.tokens import tokenizer, unload
-from burstline.llm.workers import tidy
+from burstline.llm.workers import text_batches, tidy
 
 _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
            "sequence_tokens long")
 # sequences of packed tails are numbered from here, those of single documents from 0
 _PACKED = 1 << 62
 # bytes of texts that are tokenised together
-_BATCH = 1 << 21
+_BATCH = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -255,7 +255,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     if params.window & (params.window - 1):
         raise ValueError("the window must be a power of two")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    made = cut(_tokenized(rows, tokenizer_path, params))
+    with text_batches(docs.sparkSession):
+        made = cut(_tokenized(rows, tokenizer_path, params))
     single = made.select("doc_id", "doc_tokens", "first", F.posexplode("crcs").alias("i", "crc")).select(
         "doc_id", (F.col("i").cast("long") * params.window).alias("start"), F.lit(params.window).cast("long").alias("length"),
         F.col("crc").alias("ids_crc32"), "doc_tokens", (F.col("first") + F.col("i")).alias("sequence_id"),

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from burstline.lineage import cut
 from burstline.llm.text import text_or_empty
-from burstline.llm.workers import give_back
+from burstline.llm.workers import give_back, text_batches
 
 NGRAM = 4  # characters of a hashed n-gram
 _BUCKET_BITS = 11
@@ -227,9 +227,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, host: Column, path: Colum
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     model = fit_document_model(texts, labels, params)
-    own = cut(_sites_of(docs.select(F.col(id_col).alias("doc_id"), host.alias("h"), path.alias("p"),
-                                    model.log_odds(text_or_empty(text_col)).alias("own")),
-                        F.col("h"), F.col("p")).select("doc_id", "host", "path", "own"))
+    with text_batches(docs.sparkSession):
+        own = cut(_sites_of(docs.select(F.col(id_col).alias("doc_id"), host.alias("h"), path.alias("p"),
+                                        model.log_odds(text_or_empty(text_col)).alias("own")),
+                            F.col("h"), F.col("p")).select("doc_id", "host", "path", "own"))
     sites, mean = site_posteriors(own.select("host", "path", _probability(F.col("own")).alias("p")))
     return QualityModel(model, sites, mean, host, path, params), own
 

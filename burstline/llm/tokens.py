@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import regex
 
 # bytes that words, and parts of words, with their ids may take in a worker; beyond, all are forgotten
-MEMORY = 32 << 20
+MEMORY = 24 << 20
 # characters beyond printable Latin letters, line ends and blanks
 _ODD_LETTER = "[^\n\x20-\x7e\u00a1-\u00ac\u00ae-\u012f]"
 _ENTRY = 160  # a word and its ids in a dictionary, besides their characters and bytes

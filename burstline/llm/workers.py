@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def give_back() -> None:
@@ -26,3 +30,15 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
             give_back()
 
     return whole
+
+
+@contextlib.contextmanager
+def text_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs run inside hand at most so many rows at a time to Python: whole texts are long rows. The session's own
+    setting comes back after."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
