@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstline.functions import text as tx
+from burstline.lineage import cut
+
+# bits of a block of the filter that rare terms are held back by, and the most blocks it has: 32 MB
+_BLOCK_BITS = 1 << 15
+_MOST_BLOCKS = 8192
+# bits of the filter per term that passes it
+_BITS_PER_TERM = 16
 
 
 def post_terms(eligible: DataFrame) -> DataFrame:
@@ -14,6 +21,49 @@ def post_terms(eligible: DataFrame) -> DataFrame:
     return tokens.select("window_id", "post_id", "ts", F.explode(tx.ngrams(F.col("tokens"))).alias("term"))
 
 
+def _bits(key: Column) -> list[Column]:
+    """The three bits of a key of 48 bits inside its block."""
+    return [F.shiftrightunsigned(key, k).bitwiseAND(F.lit(_BLOCK_BITS - 1)) for k in (0, 15, 30)]
+
+
+def _word(bit: Column) -> Column:
+    return F.shiftright(bit, 6).cast("int")
+
+
+def _mask(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def frequent_terms(terms: DataFrame, floor: int) -> DataFrame:
+    """`terms` without nearly all of those that fewer than `floor` posts of their window hold.
+
+    Most terms of a window occur once. So hashes are counted, not terms, and those that come `floor` times are kept
+    as bits of a filter, which goes to every task: at most 32 MB, however many there are. No term that
+    occurs often enough is lost; a rare one that passes by chance is left to `vocabulary`, which counts the terms.
+    """
+    if floor < 2:
+        return terms
+    keyed = terms.withColumn("_key", F.shiftrightunsigned(F.xxhash64("window_id", "term"), 16))
+    often = cut(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= floor).select("_key"))
+    blocks = min(_MOST_BLOCKS, often.count() * _BITS_PER_TERM // _BLOCK_BITS + 1)
+    block = F.pmod(F.xxhash64("_key"), F.lit(blocks))
+
+    words = _BLOCK_BITS // 64
+    number = F.col("id")
+    empty = terms.sparkSession.range(blocks * words).select(
+        F.floor(number / words).alias("block"), F.pmod(number, F.lit(words)).cast("int").alias("word"),
+        F.lit(0).cast("long").alias("mask"))
+    bits = often.select(block.alias("block"), F.explode(F.array(*_bits(F.col("_key")))).alias("bit")).select(
+        "block", _word(F.col("bit")).alias("word"), _mask(F.col("bit")).alias("mask"))
+    filled = (bits.unionByName(empty).groupBy("block", "word").agg(F.bit_or("mask").alias("mask"))
+              .groupBy("block").agg(F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("words"))
+              .select("block", F.transform("words", lambda w: w["mask"]).alias("words")))
+    found = keyed.withColumn("block", block).join(F.broadcast(cut(filled)), "block")
+    for bit in _bits(F.col("_key")):
+        found = found.filter(F.get("words", _word(bit)).bitwiseAND(_mask(bit)) != 0)
+    return found.select(*terms.columns)
+
+
 def share_or_floor(count: Column, share: float, floor: int) -> Column:
     return F.greatest(F.floor(count * F.lit(share)), F.lit(floor).cast("bigint"))
 

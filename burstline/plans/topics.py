@@ -1,7 +1,7 @@
 """Batch job: extracted posts to topics, stage by stage.
 
 Steps that several later steps read are cut (written to the shared folder once), when they are first asked for: the
-eligible posts, the vocabulary, the pruned posts, their patterns, the cluster labels, the headlines and their groups.
+eligible posts, their frequent terms, the vocabulary, the pruned posts, their patterns, the cluster labels, the headlines and their groups.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ class Corpus:
 
     @cached_property
     def _terms(self) -> DataFrame:
-        return ft.post_terms(self.eligible)
+        return cut(ft.frequent_terms(ft.post_terms(self.eligible), self.params.min_df_floor))
 
     @cached_property
     def vocab(self) -> DataFrame:
