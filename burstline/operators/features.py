@@ -13,6 +13,8 @@ _BLOCK_BITS = 1 << 15
 _MOST_BLOCKS = 8192
 # bits of the filter per term that passes it
 _BITS_PER_TERM = 16
+# hashes of terms that a task counts: fewer of them in up to so many tasks, more beyond that
+_FEW_KEYS, _MANY_PARTS, _TASK_KEYS = 1_000_000, 200, 4_000_000
 
 
 def post_terms(eligible: DataFrame) -> DataFrame:
@@ -34,17 +36,24 @@ def _mask(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def frequent_terms(terms: DataFrame, floor: int) -> DataFrame:
-    """`terms` without nearly all of those that fewer than `floor` posts of their window hold.
+def frequent_terms(eligible: DataFrame, floor: int) -> DataFrame:
+    """`post_terms` without nearly all of those that fewer than `floor` posts of their window hold.
 
     Most terms of a window occur once. So hashes are counted, not terms, and those that come `floor` times are kept
     as bits of a filter, which goes to every task: at most 32 MB, however many there are. No term that
     occurs often enough is lost; a rare one that passes by chance is left to `vocabulary`, which counts the terms.
+
+    Nothing is gained by counting before the shuffle, where the counts of a whole split would outgrow memory: hashes
+    are dealt out as they come, to as many tasks as hold their counts.
     """
+    terms = post_terms(eligible)
     if floor < 2:
         return terms
+    expected = 2 * (eligible.agg(F.sum(F.size("bag"))).first()[0] or 0)
+    parts = max(min(_MANY_PARTS, expected // _FEW_KEYS + 1), expected // _TASK_KEYS)
     keyed = terms.withColumn("_key", F.shiftrightunsigned(F.xxhash64("window_id", "term"), 16))
-    often = cut(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= floor).select("_key"))
+    often = cut(keyed.select("_key").repartition(parts, "_key").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+                .filter(F.col("_n") >= floor).select("_key"))
     blocks = min(_MOST_BLOCKS, often.count() * _BITS_PER_TERM // _BLOCK_BITS + 1)
     block = F.pmod(F.xxhash64("_key"), F.lit(blocks))
 

@@ -39,7 +39,7 @@ class Corpus:
 
     @cached_property
     def _terms(self) -> DataFrame:
-        return cut(ft.frequent_terms(ft.post_terms(self.eligible), self.params.min_df_floor))
+        return cut(ft.frequent_terms(self.eligible, self.params.min_df_floor))
 
     @cached_property
     def vocab(self) -> DataFrame:

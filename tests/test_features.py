@@ -31,7 +31,7 @@ def test_frequent_terms_lose_no_vocabulary(spark, monkeypatch, most_blocks):
     posts = eligible(spark)
     terms = ft.post_terms(posts)
     for floor in (1, 2, 4):
-        few = ft.frequent_terms(terms, floor)
+        few = ft.frequent_terms(posts, floor)
         vocab = ft.vocabulary(terms, posts, floor, 0.01)
         assert vocab.count() > 0
         assert rows_of(ft.vocabulary(few, posts, floor, 0.01)) == rows_of(vocab)
