@@ -33,7 +33,10 @@ from burstline.llm.hashing import batches, mixed
 from burstline.llm.text import text_or_empty
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+_FIRST = np.uint64(0xFFFFFFFF00000000)
 _END = 255  # never a byte of UTF-8
+_COLUMNS = 6  # of the transform that are written in one pass
+_NEAR = 1 << 15  # places that are worked on at a time, whose numbers fit in a core's own cache
 _NO_ID = (1 << 63) - 1
 
 
@@ -59,33 +62,37 @@ _MAX_COMMON = 200_000
 
 
 def _anchor_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the 16 bytes from each place on."""
+    """Hash of the 16 bytes from each place on, block by block, so that all steps of a block stay near."""
     raw = np.append(data, np.zeros(24, np.uint8))
-    n = len(data) + 8
-    eight = np.empty(n, np.uint64)
-    for k in range(8):
-        part = np.frombuffer(raw, "<u8", count=(len(raw) - k) // 8, offset=k)
-        own = eight[k::8]
-        own[:] = part[:len(own)]
-    # 16 bytes are two numbers of 8
-    x = eight[:-8] * _C1 + (eight[8:] ^ (eight[8:] >> np.uint64(31))) * _C2
-    x ^= x >> np.uint64(29)
-    x *= _C3
-    x ^= x >> np.uint64(32)
-    return x
+    out = np.empty(len(data), np.uint64)
+    for lo in range(0, len(data), _NEAR):
+        n = min(_NEAR, len(data) - lo)
+        eight = np.empty(n + 8, np.uint64)
+        for k in range(8):
+            own = eight[k::8]
+            own[:] = np.frombuffer(raw, "<u8", count=len(own), offset=lo + k)
+        # 16 bytes are two numbers of 8
+        x = eight[:-8] * _C1 + (eight[8:] ^ (eight[8:] >> np.uint64(31))) * _C2
+        x ^= x >> np.uint64(29)
+        x *= _C3
+        np.bitwise_xor(x, x >> np.uint64(32), out=out[lo:lo + n])
+    return out
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
-    """Place of the first least of `width` neighbours from each place on, as far as there are so many."""
-    at, done = np.arange(len(x), dtype=np.int32), 1
-    while done < width:
-        step = min(done, width - done)
-        left, right = at[:len(at) - step], at[step:]
-        worse, better = x[:len(x) - step], x[step:]
-        less = better < worse
-        at, x = np.where(less, right, left), np.where(less, better, worse)
-        done += step
-    return at
+    """Place of the first least, by the first 32 bits, of `width` neighbours from each place on, as far as there are so many."""
+    out = np.empty(max(len(x) - width + 1, 0), np.int32)
+    for lo in range(0, len(out), _NEAR):
+        n = min(_NEAR, len(out) - lo)
+        # the place in the block stands behind the bits
+        least = (x[lo:lo + n + width - 1] & _FIRST) | np.arange(n + width - 1, dtype=np.uint64)
+        done = 1
+        while done < width:
+            step = min(done, width - done)
+            least = np.minimum(least[:-step], least[step:])
+            done += step
+        out[lo:lo + n] = (least & ~_FIRST).astype(np.int32) + np.int32(lo)
+    return out
 
 
 def runs_of(texts: list[bytes], params: RepeatParams) -> tuple:
@@ -306,36 +313,90 @@ def _segments(rows: DataFrame, bitmap: np.ndarray, wide: int, common: np.ndarray
 # ---- suffix order -----------------------------------------------------------------------------------------
 
 
+def _pushed(old: np.ndarray, at: np.ndarray, values: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """`old` at the places `kept` and `values` at the places `at` of a longer array, in one pass."""
+    out = np.empty(len(kept), old.dtype)
+    out[kept] = old
+    out[at] = values
+    return out
+
+
+def _ranked(text: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+    """Symbols (of the places `among` has) with their places as one number each, in order.
+
+    Blocks are put in order by themselves, then their runs of each symbol in a row.
+    """
+    blocks, bounds = [], []
+    for lo in range(0, len(text), _NEAR):
+        own = text[lo:lo + _NEAR]
+        order = np.argsort(own, kind="stable")
+        if among is not None:
+            order = order[among[lo:lo + _NEAR][order]]
+        symbols = own[order].astype(np.int64)
+        blocks.append((symbols << 40) | (order + lo))
+        bounds.append(np.searchsorted(symbols, np.arange(257)).tolist())
+    return np.concatenate([k[b[c]:b[c + 1]] for c in range(256) for k, b in zip(blocks, bounds) if b[c] < b[c + 1]] or [np.empty(0, np.int64)])
+
+
 def suffix_order(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Places of all suffixes of the segments data[...:end] in lexicographic order; equal ones by segment.
 
-    Column-wise: `text` is the transform so far, the symbol in front of each suffix in order, `places` the
-    suffixes themselves. Empty suffixes stand first. A suffix longer by the symbol c comes, among those that
-    begin with c, in the order of what follows: its rank is the rank of its symbol in the transform.
+    Column-wise: `text` is the transform so far, the symbol in front of each suffix in order. Empty suffixes stand
+    first. A suffix longer by the symbol c comes, among those that begin with c, in the order of what follows:
+    its rank is the rank of its symbol in the transform.
+
+    The transform is not rewritten for each column. New rows go to a small table beside it, where each knows how many
+    rows of the transform stand before it, and so its rank is counted in both; after `_COLUMNS` columns one
+    sequential pass writes them into the transform. Where the suffixes stand is read off the last one: from the rank
+    of a suffix that of the suffix longer by one symbol follows, column after column.
     """
     starts = np.append(0, ends[:-1])
-    active = np.arange(len(ends))
-    places = ends.astype(np.int32)
-    text = data[ends - 1]
-    at = np.arange(len(ends))  # where the last suffix of each active segment stands
     first = len(ends)
-    level = ends.copy()
+    text = data[ends - 1]
+    active = np.arange(first)  # segments in the order of their last suffixes, which stand in the transform at `at`
+    at = np.arange(first)
+    level = ends.copy()  # where these suffixes begin
     while len(active):
-        order = np.argsort(text, kind="stable")
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        new = first + rank[at].astype(np.int64)
-        level = level - 1
-        before = np.where(level > starts[active], data[level - 1], _END).astype(np.uint8)
-        old = np.ones(len(places) + len(active), bool)
-        old[new] = False
-        # one sequential pass writes the next transform and suffixes
-        grown, grown_text = np.empty(len(old), np.int32), np.empty(len(old), np.uint8)
-        grown[old], grown_text[old] = places, text
-        grown[new], grown_text[new] = level, before
-        places, text = grown, grown_text
-        more = before != _END
-        active, at, level = active[more], new[more], level[more]
+        settled = np.ones(len(text), bool)
+        settled[at] = False
+        older = _ranked(text, settled)  # symbols whose longer suffixes are in the transform
+        # beside it: the last suffixes and, from column to column, what is new
+        front, beside, before = at, text[at], at
+        own = np.zeros(len(at), bool)  # new rows
+        near = np.arange(len(at))
+        for _ in range(_COLUMNS):
+            symbol = beside[near].astype(np.int64)
+            order = np.argsort(beside[near], kind="stable")
+            active, symbol, near = active[order], symbol[order] << 40, near[order]
+            ahead = first + np.searchsorted(older, symbol | before[near])
+            rank = np.empty(len(beside), np.int64)
+            rank[np.argsort(beside, kind="stable")] = np.arange(len(beside))
+            near = rank[near] + np.searchsorted(front, ahead)
+            level = level[order] - 1
+            added = np.where(level > starts[active], data[level - 1], _END).astype(np.uint8)
+            kept = np.ones(len(beside) + len(active), bool)
+            kept[near] = False
+            beside, before, own = (_pushed(x, near, y, kept) for x, y in ((beside, added), (before, ahead), (own, True)))
+            more = added != _END
+            active, near, level = active[more], near[more], level[more]
+            if not len(active):
+                break
+        # one sequential pass writes the next transform
+        fresh = np.flatnonzero(own)
+        to = before[fresh] + np.arange(len(fresh))
+        kept = np.ones(len(text) + len(fresh), bool)
+        kept[to] = False
+        text = _pushed(text, to, beside[fresh], kept)
+        at = to[(np.cumsum(own) - 1)[near]]
+    rank = np.empty(len(text), np.int32)
+    rank[_ranked(text) & ((1 << 40) - 1)] = np.arange(first, first + len(text), dtype=np.int32)
+    places = np.empty(len(text), np.int32)
+    places[:first] = ends
+    at, level, stop = np.arange(first), ends, starts
+    while len(at):
+        more = level > stop
+        at, level, stop = rank[at[more]], level[more] - 1, stop[more]
+        places[at] = level
     return places
 
 

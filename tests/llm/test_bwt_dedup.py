@@ -2,6 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from burstline.llm import bwt_dedup
 from burstline.llm.bwt_dedup import RepeatParams, remove_repeats, suffix_order
 from tests.llm.cases import as_text, table, texts
 
@@ -50,3 +51,18 @@ def test_columns_give_the_suffix_order(segments):
         i = k if k < len(ends) else int(np.searchsorted(ends, p, side="right"))
         got.append(b"" if k < len(ends) else b"".join(segments)[p:ends[i]])
     assert got == [s for s, _ in sorted(whole)]
+
+
+def test_many_columns_are_written_in_one_pass(monkeypatch):
+    rng = np.random.default_rng(5)
+    segments = [bytes(rng.integers(0, 4, n).astype(np.uint8)) for n in rng.integers(1, 60, 80)]
+    segments += [s[5:] for s in segments if len(s) > 5]
+    passes = []
+    ranked = bwt_dedup._ranked
+    monkeypatch.setattr(bwt_dedup, "_ranked", lambda *a: passes.append(1) or ranked(*a))
+    monkeypatch.setattr(bwt_dedup, "_NEAR", 50)  # symbols are put in order over many blocks
+    data, ends = np.frombuffer(b"".join(segments), np.uint8), np.cumsum([len(s) for s in segments])
+    places = suffix_order(data, ends)
+    assert len(passes) <= 60 // bwt_dedup._COLUMNS + 2
+    want = sorted((s[k:], i, k) for i, s in enumerate(segments) for k in range(len(s)))
+    assert places[len(ends):].tolist() == [int(ends[i]) - len(segments[i]) + k for _, i, k in want]
