@@ -72,7 +72,6 @@ def _tokenized(docs: DataFrame, path: str, params: PackParams) -> DataFrame:
                     [f.column("doc_id").slice(part.start, len(part)), pa.array(tokens, pa.int64()), pa.array(first, pa.int64()),
                      pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())],
                     ["doc_id", "doc_tokens", "first", "crcs", "tail"])
-        unload(path)
 
     return docs.mapInArrow(tidy(run), "doc_id long, doc_tokens long, first long, crcs array<long>, tail binary")
 
@@ -86,10 +85,11 @@ def _ids(tail: bytes, short: bool) -> np.ndarray:
     return np.frombuffer(tail, "<u2" if short else "<u4")
 
 
-def _statistics(tails: DataFrame, size: int) -> tuple[np.ndarray, float]:
+def _statistics(tails: DataFrame, size: int, path: str) -> tuple[np.ndarray, float]:
     """How many tails hold each token, and their mean length. One number a token of the vocabulary."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unload(path)  # kept from task to task until here: the workers that tokenised go on with this
         short, df = short_ids(size), np.zeros(size + 2, np.int64)
         for f in frames:
             tails = f.column("tail").to_pylist()
@@ -263,7 +263,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         F.lit(0).cast("long").alias("offset"), F.lit(params.window).cast("long").alias("sequence_tokens"))
     tails = made.where(F.length("tail") > 0).select("doc_id", "doc_tokens", "tail")
     size = tokenizer(tokenizer_path).size
-    df, mean = _statistics(tails, size)
+    df, mean = _statistics(tails, size, tokenizer_path)
     n, df = max(1, int(df[-2])), df[:-2]
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     idf[df < 2] = 0  # no other tail has it

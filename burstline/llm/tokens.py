@@ -12,10 +12,12 @@ import pyarrow.compute as pc
 import regex
 
 # bytes that words, and parts of words, with their ids may take in a worker; beyond, all are forgotten
-MEMORY = 24 << 20
+MEMORY = 48 << 20
 # characters beyond printable Latin letters, line ends and blanks
 _ODD_LETTER = "[^\n\x20-\x7e\u00a1-\u00ac\u00ae-\u012f]"
 _ENTRY = 160  # a word and its ids in a dictionary, besides their characters and bytes
+_TOGETHER = 128  # words that go to the model in one call
+_LAST = 0xF0000  # letters that end a word are written as private characters from here on
 
 
 _BLANK, _LETTER, _NUMERAL, _OTHER = range(4)
@@ -63,6 +65,7 @@ class WordTokenizer:
         self._special = sorted({t["content"][:2] for t in steps["added_tokens"]})
         self._letters = byte_letters()
         self._ids = [i.to_bytes(4, "little") for i in range(self.size)]
+        self._many = _model_of_many(steps["model"])
         self.forget()
 
     def forget(self) -> None:
@@ -74,16 +77,40 @@ class WordTokenizer:
     def _encoded(self, letters: str) -> bytes:
         return b"".join([self._ids[t.id] for t in self._model.tokenize(letters)])
 
+    def _spelt(self, part: str) -> str:
+        """A part in the letters of the vocabulary."""
+        return part if part.isascii() else "".join(map(self._letters.__getitem__, part.encode()))
+
+    def _together(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts in the letters of the vocabulary, many in one call of the model."""
+        if self._many is None:
+            return list(map(self._encoded, parts))
+        model, last, ends = self._many
+        out: list[bytes] = []
+        for lo in range(0, len(parts), _TOGETHER):
+            some = parts[lo:lo + _TOGETHER]
+            joined = "".join([p[:-1] + last.get(p[-1], p[-1]) for p in some])
+            ids = np.array([t.id for t in model.tokenize(joined)], "<u4")
+            raw, at = ids.tobytes(), (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            if len(at) == len(some) and at[-1] == len(raw):
+                out += [raw[a:b] for a, b in zip([0, *at], at)]
+            else:  # a letter that the vocabulary lacks
+                out += map(self._encoded, some)
+        return out
+
     def _part(self, part: str) -> bytes:
         ids = self._known_parts.get(part)
         if ids is None:
-            ids = self._encoded(part if part.isascii() else "".join(map(self._letters.__getitem__, part.encode())))
+            ids = self._encoded(self._spelt(part))
             self._known_parts[part] = ids
             self._held += _ENTRY + len(part) + len(ids)
         return ids
 
+    def _plain(self, word: str) -> bool:
+        return word.isprintable() and (word.isascii() or max(word) < "İ") and not any(s in word for s in self._special)
+
     def _word(self, word: str) -> bytes:
-        if word.isprintable() and (word.isascii() or max(word) < "İ") and not any(s in word for s in self._special):
+        if self._plain(word):
             low = word.lower()
             return self._part(low) if low.isalpha() else b"".join(map(self._part, self._parts.findall(low)))
         return np.array(self._encoder.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -121,18 +148,55 @@ class WordTokenizer:
 
     def _lookup(self, words: list[str]) -> list[bytes]:
         out = list(map(self._known.get, words))
-        for k, ids in enumerate(out):
-            if ids is None:
-                w = words[k]
-                # most are parts in lower case already
-                ids = out[k] = self._encoded(w) if w.isascii() and w.isalpha() and w.islower() else self._word(w)
-                if self._held > MEMORY:
-                    self.forget()
-                self._known[w] = ids
-                self._held += _ENTRY + len(w) + len(ids)
+        new = [k for k, ids in enumerate(out) if ids is None]
+        letters, rest = [], []
+        for k in new:  # most are single parts
+            w = words[k]
+            if w.isascii() and w.isalpha() and w.islower():
+                letters.append((k, w))
+            elif self._plain(w) and (low := w.lower()).isalpha():
+                letters.append((k, self._spelt(low)))
+            else:
+                rest.append(k)
+        for (k, _), ids in zip(letters, self._together([p for _, p in letters])):
+            out[k] = ids
+        for k in rest:
+            out[k] = self._word(words[k])
+        for k in new:
+            if self._held > MEMORY:
+                self.forget()
+            self._known[words[k]] = out[k]
+            self._held += _ENTRY + len(words[k]) + len(out[k])
         return out
 
 
+def _model_of_many(model: dict) -> tuple | None:
+    """(model, last letters, whether an id ends a word) for words without anything between them, or None.
+
+    The file's pieces and merges with each letter that ends a word written as one character of its own: nothing merges
+    across the end of a word, so the ids of many words in a row are those of each.
+    """
+    from tokenizers.models import BPE
+
+    suffix = model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or not suffix or any(model.get(k) for k in (
+            "dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return None
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    lasts = sorted(v[0] for v in model["vocab"] if len(v) == 1 + len(suffix) and v.endswith(suffix))
+    last = {c: chr(_LAST + i) for i, c in enumerate(lasts)}
+    if any(a.endswith(suffix) for a, _ in merges) or any(
+            v.endswith(suffix) and v[:-len(suffix)][-1:] not in last for v in model["vocab"]):
+        return None
+
+    def renamed(piece: str) -> str:
+        return piece[:-len(suffix) - 1] + last[piece[-len(suffix) - 1]] if piece.endswith(suffix) else piece
+
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    ends[[i for v, i in model["vocab"].items() if v.endswith(suffix)]] = True
+    return BPE({renamed(v): i for v, i in model["vocab"].items()}, [(renamed(a), renamed(b)) for a, b in merges]), last, ends
+
+
 def _parts(low: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(strings, bounds): runs of letters, single numerals, runs of other characters and runs of white space of texts
     without odd letters, each word with an apostrophe in one."""

@@ -81,3 +81,14 @@ def test_neighbours_are_looked_up_until_none_is_left():
     pieces = shard.window()
     taken = [tails[i][0] for i, _, _ in pieces]
     assert sum(n for _, _, n in pieces) == 256 and set(taken) == {7}
+
+
+def test_many_words_go_to_the_model_at_once(monkeypatch):
+    rows = ["the quick brown fox", "Der schöne Übermut naïve éé", "x " * 5 + "zzzzqqqq", "it's 2024 ok\nno", "a_b ＡＢ ﬁn İstanbul"]
+    own, library = WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    alone, encoded = [], own._encoded
+    monkeypatch.setattr(own, "_encoded", lambda letters: alone.append(letters) or encoded(letters))
+    monkeypatch.setattr(tokens, "_TOGETHER", 3)
+    ids, bounds = own.encode(rows)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t, add_special_tokens=False).ids for t in rows]
+    assert not [w for w in alone if w.isalpha() and w.isascii() and len(w) > 2]
