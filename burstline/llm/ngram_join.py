@@ -46,7 +46,7 @@ _FILTER_BITS = 1 << 25
 class JoinParams:
     size: int = 4  # words in a shingle
     percent: int = 85  # least similarity: 100 * shared >= percent * all
-    groups: int = 128  # coordinates of a point, more for large sets
+    groups: int = 512  # coordinates of a point, more for large sets
     leaf: int = 512  # points in a leaf that is worked on by itself
 
 
@@ -172,6 +172,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, params: JoinParams, seed: int)
 
 # ---- verification and points ------------------------------------------------------------------------------
 
+# the largest count of a group in a point
+_FULL = 15
+
 
 def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
@@ -191,43 +194,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFram
 
 
 def point(members: np.ndarray, groups: int) -> bytes:
-    """Counts of the shingles in the groups, 16 bits each; the largest number stands for all beyond.
+    """Counts of the shingles in the groups, 4 bits each, two groups a byte; the largest number stands for all beyond.
 
-    There are `groups` of them, for large sets a multiple by a power of two, so that a group has few members.
+    There are `groups` of them, for large sets a multiple by a power of two, so that a group has few members: the fewer,
+    the nearer the bound is to what two sets share, and the fewer variants of one text are let through.
     """
-    while groups * 8 < len(members) and groups < 8192:
+    groups += groups % 2
+    while groups * 2 < len(members) and groups < 32768:
         groups *= 2
     counts = np.bincount((mixed(members) % np.uint64(groups)).astype(np.int64), minlength=groups)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
+    counts = np.minimum(counts, _FULL).astype(np.uint8)
+    return (counts[:groups // 2] | counts[groups // 2:] << 4).tobytes()
+
+
+def width_of(point: bytes) -> int:
+    return 2 * len(point)
 
 
 def unpacked(points: list[bytes], width: int) -> np.ndarray:
     """One row a point, brought to `width` groups: those whose numbers agree modulo `width` add up.
 
-    A count beyond 16 bits becomes so large that no bound can rule it out.
+    A count beyond 4 bits becomes so large that no bound can rule it out.
     """
     out = np.empty((len(points), width), np.int64)
-    sizes = np.fromiter((len(p) // 2 for p in points), np.int64, len(points))
+    sizes = np.fromiter(map(width_of, points), np.int64, len(points))
     for size in np.unique(sizes):
         rows = np.flatnonzero(sizes == size)
-        own = np.frombuffer(b"".join([points[i] for i in rows]), "<u2").astype(np.int64)
-        own[own == 65535] = 1 << 40
-        out[rows] = own.reshape(len(rows), size // width, width).sum(axis=1)
+        two = np.frombuffer(b"".join([points[i] for i in rows]), np.uint8).reshape(len(rows), size // 2)
+        own = np.concatenate([two & 15, two >> 4], axis=1)
+        folds = own.reshape(len(rows), size // width, width)
+        small = size // width * _FULL < 256
+        out[rows] = folds.sum(axis=1, dtype=np.uint8 if small else np.int64)
+        full = np.flatnonzero((own == _FULL).any(axis=1))
+        out[rows[full]] += (folds[full] == _FULL).sum(axis=1) << 40
     return out
 
 
 def possible(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of points (sizes n and m) the sum of smaller coordinates cannot rule out."""
     out = (100 * m >= percent * n) & (100 * n >= percent * m)
-    width = np.fromiter((min(len(a), len(b)) // 2 for a, b in zip(x, y)), np.int64, len(n))
-    for w in np.unique(width[out]):
-        rows = np.flatnonzero(out & (width == w))
-        for part in np.array_split(rows, len(rows) * int(w) // (2 << 20) + 1):
-            shared = np.minimum(unpacked([x[i] for i in part], int(w)), unpacked([y[i] for i in part], int(w))).sum(axis=1)
-            out[part] = shared >= needed(n[part], m[part], percent)
+    width = np.fromiter((min(width_of(a), width_of(b)) for a, b in zip(x, y)), np.int64, len(n))
+    for w in np.unique(width[out]).tolist():
+        # most are ruled out by fewer groups already
+        for few in (_coarse(w), w):
+            rows = np.flatnonzero(out & (width == w))
+            for part in np.array_split(rows, len(rows) * few // (2 << 20) + 1):
+                shared = np.minimum(unpacked([x[i] for i in part], few), unpacked([y[i] for i in part], few)).sum(axis=1)
+                out[part] = shared >= needed(n[part], m[part], percent)
     return out
 
 
+def _coarse(width: int) -> int:
+    return width // 4 if width % 4 == 0 else width
+
+
 class CountTree:
     """An R-tree of points in two levels, packed by size and then by the coordinate that varies most.
 
@@ -307,7 +327,7 @@ def _searched(batch: pd.DataFrame, percent: int) -> pd.DataFrame:
     for lo, hi in zip(starts[~few], ends[~few]):
         cut_at = lo + int((~other[lo:hi]).sum())
         one, two = np.arange(lo, cut_at), np.arange(cut_at, hi)
-        width = min(len(p) for p in points[lo:hi]) // 2
+        width = _coarse(min(map(width_of, points[lo:hi])))
         a = CountTree(unpacked(points[lo:cut_at], width), n[one])
         b = CountTree(unpacked(points[cut_at:hi], width), n[two]) if len(two) else a
         x, y = a.pairs(b, percent)

@@ -3,7 +3,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from burstline.llm.ngram_join import CountTree, JoinParams, linked_documents, needed, one_of_each_group, point, unpacked
+from burstline.llm.ngram_join import CountTree, JoinParams, linked_documents, needed, one_of_each_group, point, possible, unpacked
 from tests.llm.cases import CLASHING, as_text, shingles, table, texts
 
 
@@ -66,3 +66,29 @@ def test_tree_loses_no_pair():
             both = len(np.intersect1d(sets[a], sets[b]))
             if both >= needed(len(sets[a]), len(sets[b]), 80):
                 assert (a, b) in found
+
+
+def _shared_and_possible(sets, percent):
+    a, b = np.triu_indices(len(sets), 1)
+    points = [point(s, JoinParams().groups) for s in sets]
+    n = np.array([len(s) for s in sets])
+    both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    return (both >= needed(n[a], n[b], percent),
+            possible([points[i] for i in a], [points[j] for j in b], n[a], n[b], percent))
+
+
+def test_variants_that_are_not_alike_enough_are_ruled_out():
+    rng = np.random.default_rng(4)
+    text = rng.integers(0, 1 << 60, 400).astype(np.uint64)
+    variants = [np.concatenate([rng.permutation(text)[30:], rng.integers(0, 1 << 60, 30).astype(np.uint64)]) for _ in range(60)]
+    linked, found = _shared_and_possible([np.unique(v) for v in variants], 80)
+    assert not linked.any() and found.mean() < 0.05
+
+
+def test_bound_loses_no_pair_of_large_sets():
+    rng = np.random.default_rng(5)
+    large = rng.integers(0, 1 << 60, 300_000).astype(np.uint64)  # groups beyond 4 bits
+    fewer = rng.integers(0, 1 << 60, 1500).astype(np.uint64)
+    sets = [large, large[:270_000], large[15_000:], fewer, fewer[:1300], fewer[250:]]
+    linked, found = _shared_and_possible([np.unique(s) for s in sets], 80)
+    assert linked.sum() >= 4 and found[linked].all() and not found[[2, 3, 4]].any()
