@@ -96,11 +96,13 @@ def with_tokens(posts: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> Dat
         worded, bag=tx.token_bag(F.col("users"), F.col("hashtags"), F.col("words"), stop_words))
 
 
-def eligible_posts(tokens: DataFrame) -> DataFrame:
-    """Keep posts with few mentions and tags, enough words, and not all in capitals."""
+def is_eligible() -> Column:
+    """Whether a post has few mentions and tags, enough words, and not all in capitals."""
     joined = F.array_join("words", " ")
-    return tokens.filter(
-        (F.size("users") < 3) & (F.size("hashtags") < 3)
-        & (F.size("words") > 3) & (F.size("bag") >= 4)
-        & (F.upper(joined) != joined)
-    )
+    return ((F.size("users") < 3) & (F.size("hashtags") < 3)
+            & (F.size("words") > 3) & (F.size("bag") >= 4)
+            & (F.upper(joined) != joined))
+
+
+def eligible_posts(tokens: DataFrame) -> DataFrame:
+    return tokens.filter(is_eligible())

@@ -1,7 +1,7 @@
 """Batch job: extracted posts to topics, stage by stage.
 
 Steps that several later steps read are cut (written to the shared folder once), when they are first asked for: the
-eligible posts, their frequent terms, the vocabulary, the pruned posts, their patterns, the cluster labels, the headlines and their groups.
+posts, the frequent terms of the eligible ones, the vocabulary, the pruned posts, their patterns, the cluster labels, the headlines and their groups.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from burstline.functions import text as tx
 from burstline.functions.words import SPAM_PHRASES, STOP_WORDS
 from burstline.lineage import cut, written_tables_freed
 from burstline.operators import clusters as cl
@@ -26,16 +28,32 @@ from burstline.sources.topics import write_topics_tsv
 
 
 class Corpus:
-    """Posts of all windows and what is left of them after each filter. Each table is made when it is first read."""
+    """Posts of all windows and what is left of them after each filter. Each table is made when it is first read.
 
-    def __init__(self, windowed: DataFrame, sequence: DataFrame, params: TopicParams,
+    Without a `sequence`, the windows are those of the posts, and the source is read once.
+    """
+
+    def __init__(self, windowed: DataFrame, sequence: DataFrame | None, params: TopicParams,
                  stop_words: Sequence[str] = STOP_WORDS) -> None:
-        self.windowed, self.sequence, self.params, self._stop_words = windowed, sequence, params, stop_words
+        self.windowed, self._sequence, self.params, self._stop_words = windowed, sequence, params, stop_words
+
+    @cached_property
+    def _posts(self) -> DataFrame:
+        """All posts; of those that are not eligible no more than the ids."""
+        tokens = tx.with_columns_once(fl.with_tokens(self.windowed, self._stop_words),
+                                      eligible=F.coalesce(fl.is_eligible(), F.lit(False)))
+        return cut(tokens.select("window_id", "post_id", "ts", "eligible", *[
+            F.when(F.col("eligible"), F.col(c)).alias(c) for c in ("text", "media_urls", "bag")]))
+
+    @cached_property
+    def sequence(self) -> DataFrame:
+        if self._sequence is not None:
+            return self._sequence
+        return wn.window_sequence(self._posts, self.params.history_windows)
 
     @cached_property
     def eligible(self) -> DataFrame:
-        tokens = fl.with_tokens(self.windowed, self._stop_words)
-        return cut(fl.eligible_posts(tokens).select("window_id", "post_id", "ts", "text", "media_urls", "bag"))
+        return self._posts.filter("eligible").drop("eligible")
 
     @cached_property
     def _terms(self) -> DataFrame:
@@ -54,7 +72,7 @@ class Corpus:
         return cut(ft.patterns(self.pruned))
 
     def stats(self) -> DataFrame:
-        return ft.window_stats(self.sequence, self.windowed, self.eligible, self.vocab, self.pruned)
+        return ft.window_stats(self.sequence, self._posts, self.eligible, self.vocab, self.pruned)
 
 
 class TopicTables:
@@ -125,7 +143,10 @@ def window_corpus(posts: DataFrame, params: TopicParams | None = None, *,
                   stop_words: Sequence[str] = STOP_WORDS, **windowing) -> Corpus:
     params = params or TopicParams()
     windowed, sequence = window_posts(posts, params, **windowing)
-    return Corpus(windowed, sequence, params, stop_words)
+    drops = windowing.get("drop_trigger")
+    # a window may have lost its only post
+    lost = windowing.get("anchored", False) if drops is None else drops
+    return Corpus(windowed, sequence if lost else None, params, stop_words)
 
 
 def term_weights(corpus: Corpus, lexicon: DataFrame | None = None) -> DataFrame:

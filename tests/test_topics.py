@@ -83,3 +83,12 @@ def test_results_do_not_depend_on_partitioning(spark, run):
 
 def test_no_posts(spark):
     assert pt.detect_topics(golden(spark).filter("false"), TopicParams()).topics.count() == 0
+
+
+def test_aligned_posts_are_read_once(spark, tmp_path):
+    golden(spark).write.parquet(str(tmp_path / "posts"))
+    corpus = pt.window_corpus(spark.read.parquet(str(tmp_path / "posts")), TopicParams(), dedupe=False)
+    for table in (corpus.sequence, pt.term_weights(corpus), corpus.stats()):
+        assert not any(str(tmp_path) in f for f in table.inputFiles())
+    sizes = {r.window_label: r.n_posts for r in corpus.stats().selectExpr("date_format(window_start, 'HH:mm') window_label", "n_posts").collect()}
+    assert sizes == {"10:00": 25, "10:15": 11, "10:30": 2, "12:30": 1}
