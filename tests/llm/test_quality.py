@@ -96,3 +96,9 @@ def test_labels_of_one_kind_or_none(spark):
     assert keep_good(docs, none, **site()).count() == docs.count()
     bad = spark.createDataFrame([(1, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     assert keep_good(docs, bad, params=QualityParams(max_train_rows=1), **site()).count() == 0
+
+
+def test_texts_are_judged_once(spark):
+    rows, labels, _ = corpus(3)
+    left = keep_good(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), **site())
+    assert left._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
