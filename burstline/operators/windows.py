@@ -199,6 +199,8 @@ def with_trigger(windowed: DataFrame, open_anchor: int | None = None, by: str |
         earliest = windowed.sparkSession.range(1).select(F.lit("").alias("_stream"), F.lit(open_anchor).alias("_earliest"))
     triggers = (firsts.join(earliest if by else F.broadcast(earliest), "_stream").filter(F.col("window_id") > F.col("_earliest"))
                 .select("_stream", "window_id", F.col("_first.post_id").alias("post_id"), F.lit(True).alias("trigger")))
+    if not by:
+        triggers = cut(triggers)  # one row per window: written, they are seen to be few, and the posts stay where they are
     return (keyed.join(triggers, ["_stream", "window_id", "post_id"], "left")
             .select(*windowed.columns, F.coalesce("trigger", F.lit(False)).alias("trigger")))
 

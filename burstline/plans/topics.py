@@ -125,8 +125,7 @@ def window_posts(posts: DataFrame, params: TopicParams, anchored: bool = False,
         posts = first_by_post_id(posts)
     clean = fl.spam_filter(posts, spam_phrases)
     if anchored:
-        if dedupe:
-            clean = cut(clean)  # read for the seconds and again for the posts
+        clean = cut(clean)  # read for the seconds, the posts, their sequence, the tail and the triggers
         windowed = wn.anchored_windows(clean, params.window_minutes)
     else:
         windowed = wn.aligned_windows(clean, params.window_minutes)

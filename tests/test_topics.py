@@ -92,3 +92,12 @@ def test_aligned_posts_are_read_once(spark, tmp_path):
         assert not any(str(tmp_path) in f for f in table.inputFiles())
     sizes = {r.window_label: r.n_posts for r in corpus.stats().selectExpr("date_format(window_start, 'HH:mm') window_label", "n_posts").collect()}
     assert sizes == {"10:00": 25, "10:15": 11, "10:30": 2, "12:30": 1}
+
+
+def test_anchored_posts_are_read_once(spark, tmp_path):
+    golden(spark).write.parquet(str(tmp_path / "posts"))
+    posts = spark.read.parquet(str(tmp_path / "posts"))
+    corpus = pt.window_corpus(posts, TopicParams(), anchored=True, dedupe=False)
+    for table in (corpus.windowed, corpus.sequence, corpus.stats()):
+        assert not any(str(tmp_path) in f for f in table.inputFiles())
+    assert "SortMergeJoin" not in corpus.windowed._jdf.queryExecution().executedPlan().toString()
